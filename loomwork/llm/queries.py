@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomwork.llm import chat
+from loomwork.llm import chat, rules
 
 QUERIES = {
     "op5_chat": chat.op5_chat,
+    "op8_rules": rules.op8_rules,
 }
 
 ORACLE_SQL = {
     "op5_chat": chat.OP5_SQL,
+    "op8_rules": rules.OP8_SQL,
 }
