@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from loomwork.llm import chat, rules
+from loomwork.llm import chat, langid, quality, rules
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
+    "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
     "op8_rules": rules.op8_rules,
 }
