@@ -49,6 +49,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Whole texts go to Python in small Arrow batches, so a worker's memory doesn't follow the table.
+
+    Spark reads these settings when a plan is made ready to run, so they stay set for the session.
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def words(text: Column) -> Column:
     """Array of `[^\\x20\\x09-\\x0D]+` of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomwork.llm import ngrams
-from loomwork.llm.common import table
+from loomwork.llm.common import table, text_batches
 
 SAMPLE_PER_LANG = 400
 SIZES, BITS = (1, 2, 3), 12
@@ -117,6 +117,7 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and lang_ambiguous; reads nothing but the text."""
+    text_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

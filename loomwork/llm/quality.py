@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.llm import ngrams
-from loomwork.llm.common import table
+from loomwork.llm.common import table, text_batches
 
 SAMPLE_PER_CLASS = 1_500
 SIZES, BITS = (1, 2, 3, 4), 16
@@ -124,6 +124,7 @@ def train(labelled: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted; reads nothing but the text."""
+    text_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

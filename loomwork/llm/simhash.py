@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import partitions, table, written
+from loomwork.llm.common import partitions, table, text_batches, written
 from loomwork.llm.components import stars
 
 RADIUS = 3
@@ -53,8 +53,10 @@ def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([fingerprint(t) for t in part], dtype="int64")
 
 
-def fingerprints(text: Column) -> Column:
-    return F.pandas_udf(_fingerprints, "long")(text)
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) of docs(doc_id, text)."""
+    text_batches(docs.sparkSession)
+    return docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fp"))
 
 
 class Forest:
@@ -155,8 +157,8 @@ def components(prints: DataFrame) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints(F.col("text")).alias("fp"))
-    return components(written(docs, "prints")).select(
+    prints = written(fingerprints(table(spark, sf_dir, "documents")), "prints")
+    return components(prints).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -164,7 +166,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of every component, the document with the smallest doc_id stays."""
     columns = docs.columns
-    prints = written(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "prints")
+    prints = written(fingerprints(docs), "prints")
     keep = components(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*columns)
     ids = prints.groupBy("doc_id").count().where("count > 1")
