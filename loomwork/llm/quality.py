@@ -4,7 +4,7 @@ Indicators of hashed byte n-grams are scaled by their log-count ratios between t
 the scaled rows by dual coordinate descent, and a logistic curve over its margins gives scores from 0 to 1.
 
 The model is fitted on a bounded sample: at most `SAMPLE_PER_CLASS` labelled texts of a class, those with the smallest
-hashes of doc_id and text. Scoring reads whole texts.
+hashes of doc_id. Scoring reads whole texts.
 
 Defined cases: a null or empty text has no indicator and gets the score of the bias alone; labels that are null, or of
 documents that do not exist, are not learned from; several labels of one document all count; with one class only, every
@@ -109,16 +109,19 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     return Model((w * r).astype(np.float32), (r * r).astype(np.float32), b, slope, shift)
 
 
-def train(labelled: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """From rows (doc_id, text, label) with label 0 or 1: the per_class rows of each class with the smallest hashes."""
-    rows = labelled.where(F.col("label").isin(0, 1)).select(
-        "label", F.xxhash64("doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("text")
-    )
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """From docs (doc_id, text) and labels (doc_id, label 0 or 1): the per_class labels of each class with the smallest hashes.
+
+    The sample is chosen from the labels alone, so only its rows' texts are fetched, by a broadcast of at most
+    per_class rows for each class.
+    """
+    rows = labels.where(F.col("label").isin(0, 1)).select("label", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
     buckets = Window.partitionBy("label", F.pmod("h", F.lit(64))).orderBy("h")
-    picked = rows.select("label", "h").distinct().withColumn("r", F.row_number().over(buckets)).where(F.col("r") <= per_class)
+    picked = rows.withColumn("r", F.row_number().over(buckets)).where(F.col("r") <= per_class)
     limits = picked.groupBy("label").agg(F.expr(f"array_max(slice(array_sort(collect_list(h)), 1, {per_class}))").alias("most"))
-    sample = rows.join(F.broadcast(limits), "label").where("h <= most").select("label", "h", "text").dropDuplicates(["label", "h"])
-    found = sorted((h, label, text) for label, h, text in sample.collect())
+    sample = rows.join(F.broadcast(limits), "label").where("h <= most").select("label", "doc_id")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    found = sorted(tuple(r) for r in docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", text).collect())
     return fit([t.encode("utf-8", "replace") for *_, t in found], [int(x) for _, x, _ in found])
 
 
@@ -144,4 +147,4 @@ def held_out() -> Column:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return score(docs, train(docs.where(~F.col("held_out")).join(labels, "doc_id"))).drop("text")
+    return score(docs, train(docs, labels.where(~held_out()))).drop("text")
