@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomwork.llm import chat, langid, quality, rules, sharding, simhash, suffixes
+from loomwork.llm import chat, debruijn, langid, quality, rules, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
     "op6_suffixes": suffixes.op6_suffixes,
+    "op7_debruijn": debruijn.op7_debruijn,
     "op8_rules": rules.op8_rules,
     "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,

@@ -100,7 +100,7 @@ Cut = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
 
 
 def _send_keys(cut: Cut, n: int) -> Callable:
-    """cut(text) -> key of each window; windows that occur again in the same text (indices)."""
+    """cut(text) -> the key of each window; the keys of windows that occur again in the same text."""
 
     def flush(vals: list, of: list, ts: list) -> pa.RecordBatch:
         v, t = np.concatenate(vals), np.repeat(np.arange(len(of)), of)
@@ -126,7 +126,7 @@ def _send_keys(cut: Cut, n: int) -> Callable:
                 if not len(keys):
                     continue
                 keys = keys >> np.uint64(64 - SIX)
-                for v, own in ((np.unique(keys[runs(keys)[0]]), t), (np.unique(keys[again]), t ^ 1)):
+                for v, own in ((np.unique(keys[runs(keys)[0]]), t), (np.unique(again >> np.uint64(64 - SIX)), t ^ 1)):
                     # A key of windows that occur twice in one text is sent under a second name too.
                     if len(v):
                         vals.append(v), of.append(len(v)), ts.append(own)
@@ -205,6 +205,11 @@ def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[
     return send
 
 
+def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """(doc, t, text) of docs(doc_id, text): the document's place in order, a number for its text, and the text."""
+    return docs.select(*more, order_key().alias("doc"), F.xxhash64(text_key()).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def first_copies(base: DataFrame) -> DataFrame:
     """base(doc, key, t) -> key and first, the smallest document with that text."""
     return base.groupBy("key").agg(F.min("doc").alias("first"), F.first("t").alias("t"))

@@ -32,9 +32,9 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    none = np.empty(0, np.int64)
+    none = np.empty(0, np.uint64)
     if len(data) < LENGTH:
-        return np.empty(0, np.uint64), none
+        return none, none
     a = np.frombuffer(data, np.uint8).astype(np.uint64)
     return R.least_of(R.rolled(R.mixed(a + np.uint64(1)), INNER), LENGTH - INNER + 1), none
 
@@ -193,17 +193,13 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(R.order_key().alias("doc"), F.xxhash64(R.text_key()).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-
-
 def first_copies_cut(docs: DataFrame, first: DataFrame) -> DataFrame:
     """(doc, t, n_removed, n_spans, kept_sha256, rest) of the first copies that lose something, each once.
 
     rest is what remains as text: a character that a removed string cuts in two goes with it.
     """
     text_batches(docs.sparkSession)
-    texts = _texts(docs)
+    texts = R.texts(docs)
     found = R.slices(texts, first, cut, body).mapInArrow(_runs_to_remove, "doc long, t long, spans binary")
     spans = found.groupBy("doc", "t").agg(F.collect_list("spans").alias("spans"))
     return texts.join(spans, ["doc", "t"]).mapInArrow(
