@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomwork.llm import chat, debruijn, decontam, langid, quality, rules, sharding, simhash, suffixes
+from loomwork.llm import chat, debruijn, decontam, langid, packing, quality, rules, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_decontam": decontam.op2_decontam,
+    "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
     "op6_suffixes": suffixes.op6_suffixes,
