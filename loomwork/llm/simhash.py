@@ -152,7 +152,8 @@ def components(prints: DataFrame) -> DataFrame:
     )
     least = grouped.join(first, "fp").groupBy("root").agg(F.min("first").alias("least"))
     linked = grouped.join(least, "root").select("fp", "least")
-    named = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the last join has no aggregate in its stage and a fingerprint of very many rows can be split.
+    named = written(first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
     return prints.join(named, "fp")
 
 
