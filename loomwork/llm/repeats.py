@@ -9,7 +9,7 @@ equal keys, and neighbouring windows mostly share one, so a text has far fewer k
    sent to the bucket of its key; equal slices of a task travel as one with a list of their places.
 3. The operator compares the windows of each bucket exactly and returns runs of windows to remove.
 
-All later copies of a text start in its first copy, so they need none of this. Buckets are as many as
+All later copies of a text start in its first copy, so they need none of this. Buckets follow
 spark.sql.shuffle.partitions, so a task holds a bounded share of keys or slices if that setting follows the data.
 """
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import partitions, text_batches
 
-FLUSH = 24 << 20
+#: Bytes that a task gathers before it sends them on; slice buckets to a key bucket, so that a task's windows stay small.
+FLUSH, FINER = 8 << 20, 4
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIX = 48
 
@@ -227,9 +228,9 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable) -> Data
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"))
     wanted = first.select(F.col("first").alias("doc"), "t").join(wanted, "t")
     found = texts.select("doc", "t", "text").join(wanted, ["doc", "t"]).mapInArrow(
-        _send_slices(cut, body, n), "bucket int, body binary, places binary"
+        _send_slices(cut, body, FINER * n), "bucket int, body binary, places binary"
     )
-    return found.repartitionById(n, "bucket")
+    return found.repartitionById(FINER * n, "bucket")
 
 
 def bodies(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[np.ndarray]]:

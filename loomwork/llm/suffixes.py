@@ -56,14 +56,14 @@ def multikey(buffer: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray
 
     All groups of a level are partitioned at once: ordered by group, then by the next character.
     """
-    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    order, group = np.arange(len(at), dtype=np.int32), np.zeros(len(at), np.int32)
     for level in range(depth):
         key = characters(buffer, at[order] + 8 * level)
         step = np.lexsort((key, group))
         order, group, key = order[step], group[step], key[step]
         fresh = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
         alone = fresh & np.append(fresh[1:], True)
-        group = np.cumsum(fresh)[~alone]
+        group = np.cumsum(fresh, dtype=np.int32)[~alone]
         order = order[~alone]
         if not len(order):
             break
@@ -146,8 +146,8 @@ def _runs_to_remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     size = np.array([len(x) for x in texts])
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
     windows = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts)), windows)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + base[owner]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
+    at = np.arange(len(owner)) + np.repeat(base - np.cumsum(windows) + windows, windows)
     first = np.array([p[0, 0] for p in places])  # the smallest document with this slice
     order, label = equal_strings(buffer, at)
     # For every window, the smallest document that has its string.
