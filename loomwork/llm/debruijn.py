@@ -111,7 +111,8 @@ def compacted(stretches: DataFrame) -> DataFrame:
     A join finds the stretches that continue another; those without a predecessor head a path, and the
     stretches after a head, along one offset between text and source, belong to it.
     """
-    s = stretches.distinct().withColumn("offset", F.col("start") - F.col("source_start"))
+    # Written, as the join meets them twice.
+    s = written(stretches.distinct(), "stretches").withColumn("offset", F.col("start") - F.col("source_start"))
     line = ["doc", "t", "source_doc", "offset"]
     tails = s.select(*line, F.col("end").alias("start")).distinct().withColumn("follows", F.lit(True))
     marked = s.join(tails, [*line, "start"], "left").withColumn("head", F.col("follows").isNull())
