@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomwork.plans import matching
+
+_PARTS = (matching,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}

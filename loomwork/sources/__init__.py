@@ -1 +1 @@
-
+"""Sources: tables with declared schemas, pages, files, and generated fixtures."""

@@ -1 +1 @@
-
+"""Micro-batch jobs: the crawl queue, due sources, pages that changed."""
