@@ -93,6 +93,11 @@ def from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def sent(keys: np.ndarray) -> np.ndarray:
+    """48 bits of each key. Least hashes crowd at the low end, so they are mixed anew before they choose buckets."""
+    return mixed(keys) >> np.uint64(64 - SIX)
+
+
 def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> np.uint64(SIX - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
 
@@ -126,8 +131,8 @@ def _send_keys(cut: Cut, n: int) -> Callable:
                 keys, again = cut((text or "").encode("utf-8", "replace"))
                 if not len(keys):
                     continue
-                keys = keys >> np.uint64(64 - SIX)
-                for v, own in ((np.unique(keys[runs(keys)[0]]), t), (np.unique(again >> np.uint64(64 - SIX)), t ^ 1)):
+                keys, again = sent(keys), sent(again)
+                for v, own in ((np.unique(keys[runs(keys)[0]]), t), (np.unique(again), t ^ 1)):
                     # A key of windows that occur twice in one text is sent under a second name too.
                     if len(v):
                         vals.append(v), of.append(len(v)), ts.append(own)
@@ -185,7 +190,7 @@ def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[
         for batch in batches:
             for doc, t, text, vals in zip(*(batch[c].to_pylist() for c in ("doc", "t", "text", "vals")), strict=True):
                 data = text.encode("utf-8", "replace")
-                keys = cut(data)[0] >> np.uint64(64 - SIX)
+                keys = sent(cut(data)[0])
                 starts, ends = runs(keys)
                 mine = np.isin(keys[starts], from_six(b"".join(vals)))
                 starts, ends = starts[mine], ends[mine]
