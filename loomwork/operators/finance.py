@@ -25,6 +25,6 @@ def schedule(loans: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("before", F.greatest(F.lit(0.0), left(F.col("period") - 1)))
     rows = rows.withColumn("interest", F.col("before") * F.col("r")).withColumn("part", F.least(F.col("e") - F.col("interest"), F.col("before")))
     return rows.select(
-        key, "period", F.round(F.col("part") + F.col("interest"), 2).alias("emi"), F.round("part", 2).alias("principal"),
+        key, F.col("period").cast("long").alias("period"), F.round(F.col("part") + F.col("interest"), 2).alias("emi"), F.round("part", 2).alias("principal"),
         F.round("interest", 2).alias("interest"), F.round(F.greatest(F.lit(0.0), F.col("before") - F.col("part")), 2).alias("balance"),
     )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.plans import matching
+from loomwork.plans import extraction, history, matching, scalars
 
-_PARTS = (matching,)
+_PARTS = (matching, scalars, history, extraction)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}

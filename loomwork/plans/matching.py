@@ -156,7 +156,7 @@ def radius_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("state"))
     partners = view(spark, sf_dir, views.PARTNERS).join(nation, "s_nationkey", "left").withColumn("mapped", F.col("partner_id") % 3 == 0)
-    return geo.region_search(partners, "an").select("partner_id", "state", "mapped")
+    return geo.region_search(partners, "ion_1").select("partner_id", "state", "mapped")
 
 
 def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ ORACLE_SQL = {
     "radius_ladder": f"""with {_PARTNER_SEARCH}
     select matched_radius_km, count(distinct user_id) as users, count(*) as hits from m where distance_km <= matched_radius_km group by 1""",
     "region_search": f"""with q as (select p.*, n_name as state, partner_id % 3 = 0 as mapped from {views.sql(views.PARTNERS)} p
-      left join nation on s_nationkey = n_nationkey), f as (select *, bool_or(mapped) over () as anyone from q where state ilike '%an%' or state is null or state = '')
+      left join nation on s_nationkey = n_nationkey), f as (select *, bool_or(mapped) over () as anyone from q where state ilike '%ion_1%' or state is null or state = '')
     select partner_id, state, mapped from f where mapped or not anyone""",
     "rule_rows": f"""with {_RULES}
     select op as operator, case when t = 'project_type' and v is null then 'warning' when v is null then 'warning' when v then 'pass' else 'fail' end as symbol,

@@ -69,7 +69,7 @@ LOANS = (
     "orders",
     [
         "o_orderkey as loan_id",
-        "case when o_orderkey % 97 = 0 then cast(0 as double) else o_totalprice end as principal",
+        "case when o_orderkey % 97 = 0 then cast(0 as double) else o_totalprice + cast(0.00137 as double) end as principal",
         "case o_orderkey % 10 when 0 then null when 1 then cast(0 as double) else cast(4 + o_orderkey % 9 as double) end as rate",
         "cast(12 + (o_orderkey % 6) * 12 as int) as tenure",
         "cast(case o_orderkey % 4 when 0 then 6 when 1 then 12 else 0 end as int) as moratorium",
