@@ -78,7 +78,7 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A whole bucket -> stretches of edges that start earlier elsewhere: doc, t, start, end, and where the earliest begin."""
+    """A whole bucket -> stretches of edges that start earlier elsewhere: doc, k, start, end, and where the earliest begin."""
     texts, places = R.bodies(batches)
     if not texts:
         return
@@ -102,18 +102,18 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = np.concatenate(out)
     for at_ in range(0, len(rows), 100_000):
         part = rows[at_ : at_ + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, c]) for c in range(6)], ["doc", "t", "start", "end", "source_doc", "source_start"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, c]) for c in range(6)], ["doc", "k", "start", "end", "source_doc", "source_start"])
 
 
 def compacted(stretches: DataFrame) -> DataFrame:
-    """Stretches that continue each other, in the text and at the source, become one path (doc, t, start, end, source_doc, source_start).
+    """Stretches that continue each other, in the text and at the source, become one path (doc, k, start, end, source_doc, source_start).
 
     A join finds the stretches that continue another; those without a predecessor head a path, and the
     stretches after a head, along one offset between text and source, belong to it.
     """
     # Written, as the join meets them twice.
     s = written(stretches.distinct(), "stretches").withColumn("offset", F.col("start") - F.col("source_start"))
-    line = ["doc", "t", "source_doc", "offset"]
+    line = ["doc", "k", "source_doc", "offset"]
     tails = s.select(*line, F.col("end").alias("start")).distinct().withColumn("follows", F.lit(True))
     marked = s.join(tails, [*line, "start"], "left").withColumn("head", F.col("follows").isNull())
     path = F.count_if("head").over(Window.partitionBy(*line).orderBy("start", "end"))
@@ -144,22 +144,22 @@ def repeated_spans(docs: DataFrame, first: DataFrame) -> DataFrame:
     """The compacted paths of the first copies of texts, with their source coordinates; starts and ends count windows."""
     text_batches(docs.sparkSession)
     found = R.slices(R.texts(docs), first, cut, body).mapInArrow(
-        _stretches, "doc long, t long, start long, end long, source_doc long, source_start long"
+        _stretches, "doc long, k long, start long, end long, source_doc long, source_start long"
     )
     return compacted(found)
 
 
 def first_copies_cut(docs: DataFrame, first: DataFrame) -> DataFrame:
     """(doc, t, n_removed, rest) of the first copies that lose words, each once; rest is the kept words with single blanks."""
-    spans = repeated_spans(docs, first).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = R.by_text(repeated_spans(docs, first).groupBy("doc", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans")), first)
     return R.texts(docs).join(spans, ["doc", "t"]).mapInArrow(_rest, "doc long, t long, n_removed long, rest string")
 
 
 def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = R.texts(docs, "doc_id", R.text_key().alias("key")).withColumn("w", words(F.col("text")))
+    own = R.texts(docs, "doc_id", F.unhex(R.text_key()).alias("key")).withColumn("w", words(F.col("text")))
     base = written(
-        own.select("doc_id", "doc", "key", "t", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("sha")), "texts"
+        own.select("doc_id", "doc", "key", "t", F.size("w").cast("long").alias("n_words"), F.unhex(F.sha2(F.array_join("w", " "), 256)).alias("sha")), "texts"
     )
     first = R.first_copies(base)
     done = first_copies_cut(docs, first).select("doc", "t", "n_removed", F.sha2("rest", 256).alias("kept")).distinct()
@@ -171,6 +171,6 @@ def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
             "doc_id",
             "n_words",
             F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-            F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+            F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
         )
     )

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwork.llm.common import partitions, text_batches
 
@@ -28,6 +29,8 @@ from loomwork.llm.common import partitions, text_batches
 FLUSH, FINER = 8 << 20, 4
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIX = 48
+#: Bits of a place that hold its window; above them is the number of the text among those of its document.
+PLACE = 40
 
 
 def order_key() -> Column:
@@ -188,7 +191,7 @@ def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[
         found: dict[tuple[int, bytes], list] = {}
         held = 0
         for batch in batches:
-            for doc, t, text, vals in zip(*(batch[c].to_pylist() for c in ("doc", "t", "text", "vals")), strict=True):
+            for doc, k, text, vals in zip(*(batch[c].to_pylist() for c in ("doc", "k", "text", "vals")), strict=True):
                 data = text.encode("utf-8", "replace")
                 keys = sent(cut(data)[0])
                 starts, ends = runs(keys)
@@ -200,8 +203,8 @@ def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[
                     if who is None:
                         who = found[b, s] = []
                         held += len(s) + 200
-                    who += (doc, t, at)
-                    held += 96
+                    who += (doc, k << PLACE | at)
+                    held += 72
             if held > FLUSH:
                 yield flush(found)
                 found, held = {}, 0
@@ -217,21 +220,25 @@ def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
 
 
 def first_copies(base: DataFrame) -> DataFrame:
-    """base(doc, key, t) -> key and first, the smallest document with that text."""
-    return base.groupBy("key").agg(F.min("doc").alias("first"), F.first("t").alias("t"))
+    """base(doc, key, t) -> key, t, first, the smallest document with that text, and k, a number for the text there.
+
+    k is 0 but where rows of one doc_id have several texts; it goes where t, eight random bytes, would be carried along.
+    """
+    first = base.groupBy("key").agg(F.min("doc").alias("first"), F.min("t").alias("t"))
+    return first.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy("t", "key")).cast("long") - 1)
 
 
 def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable) -> DataFrame:
-    """texts(doc, t, text), first(key, first, t) -> (bucket, body, places), dealt by bucket.
+    """texts(doc, t, text), first(first, t, k) -> (bucket, body, places), dealt by bucket.
 
-    places: int64 triples doc, t, first window of the slice.
+    places: int64 pairs of doc, and k with the slice's first window.
     """
     text_batches(texts.sparkSession)
     n = partitions(texts.sparkSession)
     keys = texts.select("t", "text").mapInArrow(_send_keys(cut, n), "bucket int, vals binary, ts binary, counts binary")
     shared = keys.repartitionById(n, "bucket").mapInArrow(_shared_keys, "t long, vals binary")
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"))
-    wanted = first.select(F.col("first").alias("doc"), "t").join(wanted, "t")
+    wanted = first.select(F.col("first").alias("doc"), "t", "k").join(wanted, "t")
     found = texts.select("doc", "t", "text").join(wanted, ["doc", "t"]).mapInArrow(
         _send_slices(cut, body, FINER * n), "bucket int, body binary, places binary"
     )
@@ -239,34 +246,40 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable) -> Data
 
 
 def bodies(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct slices of a bucket, and the places of each as rows (doc, t, window) in ascending order."""
+    """The distinct slices of a bucket, and the places of each as rows (doc, k, window) in ascending order."""
     found: dict[bytes, list[bytes]] = {}
     for batch in batches:
         for s, w in zip(batch["body"].to_pylist(), batch["places"].to_pylist(), strict=True):
             found.setdefault(s, []).append(w)
     places = []
     for w in found.values():
-        p = np.frombuffer(b"".join(w), np.int64).reshape(-1, 3)
+        p = np.frombuffer(b"".join(w), np.int64).reshape(-1, 2)
+        p = np.column_stack([p[:, 0], p[:, 1] >> PLACE, p[:, 1] & ((1 << PLACE) - 1)])
         places.append(p[np.lexsort((p[:, 2], p[:, 1], p[:, 0]))] if len(p) > 1 else p)
     return list(found), places
 
 
-def spans_by_text(doc: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, t, spans): int64 pairs of start and end, joined where they touch."""
+def spans_by_text(doc: np.ndarray, k: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, k, spans): int64 pairs of start and end, joined where they touch."""
     if not len(doc):
         return
-    order = np.lexsort((start, t, doc))
-    doc, t, start, end = doc[order], t[order], start[order], end[order]
-    begins = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])))
+    order = np.lexsort((start, k, doc))
+    doc, k, start, end = doc[order], k[order], start[order], end[order]
+    begins = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (k[1:] != k[:-1])))
     stops = np.append(begins[1:], len(doc))
     for at in range(0, len(begins), 20_000):
         own = list(zip(begins[at : at + 20_000], stops[at : at + 20_000], strict=True))
         data = [np.stack(united(start[a:z], end[a:z]), 1).astype("<i8").tobytes() for a, z in own]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[[a for a, _ in own]]), pa.array(t[[a for a, _ in own]]), pa.array(data, pa.binary())], ["doc", "t", "spans"]
+            [pa.array(doc[[a for a, _ in own]]), pa.array(k[[a for a, _ in own]]), pa.array(data, pa.binary())], ["doc", "k", "spans"]
         )
 
 
+def by_text(spans: DataFrame, first: DataFrame) -> DataFrame:
+    """spans(doc, k, ...) with t for k."""
+    return spans.join(first.select(F.col("first").alias("doc"), "k", "t"), ["doc", "k"]).drop("k")
+
+
 def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans that are sorted by start."""
     if len(start) < 2:

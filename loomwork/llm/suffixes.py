@@ -165,10 +165,10 @@ def _runs_to_remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         s = gone[brk]
         e = gone[np.append(np.flatnonzero(brk)[1:] - 1, len(gone) - 1)]
         for o, a, z in zip(owner[s].tolist(), (at[s] - base[owner[s]]).tolist(), (at[e] - base[owner[e]]).tolist(), strict=True):
-            for d, t, w in places[o].tolist():
+            for d, k, w in places[o].tolist():
                 if d != first[o]:
                     break
-                out.append((d, t, w + a, w + z + LENGTH))
+                out.append((d, k, w + a, w + z + LENGTH))
     # In all other documents: every window, since the smallest one has the whole slice.
     whole = [(p[p[:, 0] != p[0, 0]], len(x)) for p, x in zip(places, texts, strict=True) if p[-1, 0] != p[0, 0]]
     rows = [np.array(out, np.int64).reshape(-1, 4), *(np.column_stack([p, p[:, 2] + n]) for p, n in whole)]
@@ -200,8 +200,8 @@ def first_copies_cut(docs: DataFrame, first: DataFrame) -> DataFrame:
     """
     text_batches(docs.sparkSession)
     texts = R.texts(docs)
-    found = R.slices(texts, first, cut, body).mapInArrow(_runs_to_remove, "doc long, t long, spans binary")
-    spans = found.groupBy("doc", "t").agg(F.collect_list("spans").alias("spans"))
+    found = R.slices(texts, first, cut, body).mapInArrow(_runs_to_remove, "doc long, k long, spans binary")
+    spans = R.by_text(found.groupBy("doc", "k").agg(F.collect_list("spans").alias("spans")), first)
     return texts.join(spans, ["doc", "t"]).mapInArrow(
         _rest, "doc long, t long, n_removed long, n_spans long, kept_sha256 string, rest string"
     )
@@ -213,10 +213,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.select(
             "doc_id",
             R.order_key().alias("doc"),
-            R.text_key().alias("key"),
+            F.unhex(R.text_key()).alias("key"),
             F.xxhash64(R.text_key()).alias("t"),
             F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-            F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"),
+            F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"),
         ),
         "texts",
     )
@@ -232,7 +232,7 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
             "n_bytes",
             F.when(copy, F.col("n_bytes")).otherwise(lost).alias("n_removed"),
             F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-            F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+            F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
         )
     )
 
@@ -240,7 +240,7 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: texts lose their repeated strings, documents that lose all go; n_chars follows the text."""
     columns = docs.columns
-    own = docs.withColumns({"_doc": R.order_key(), "_key": R.text_key(), "_t": F.xxhash64(R.text_key())})
+    own = docs.withColumns({"_doc": R.order_key(), "_key": F.unhex(R.text_key()), "_t": F.xxhash64(R.text_key())})
     first = R.first_copies(written(own.select(*(F.col(f"_{c}").alias(c) for c in ("doc", "key", "t"))), "texts"))
     done = written(first_copies_cut(docs, first).select("doc", "t", "rest").dropDuplicates(["doc", "t"]), "rests")
     copies = first.select(F.col("key").alias("_key"), F.col("first").alias("_first"))
