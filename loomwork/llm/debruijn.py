@@ -78,10 +78,18 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A whole bucket -> stretches of edges that start earlier elsewhere: doc, k, start, end, and where the earliest begin."""
-    texts, places = R.bodies(batches)
-    if not texts:
-        return
+    """A whole bucket -> stretches of edges that start earlier elsewhere: doc, k, start, end, and where earlier ones begin."""
+    texts, places, gone = R.bodies(batches)
+    rows = [np.column_stack([gone[:, :3], gone[:, 2] + gone[:, 3], gone[:, 4:]])]
+    if texts:
+        rows += _compared(texts, places)
+    rows = np.concatenate(rows)
+    for at in range(0, len(rows), 100_000):
+        part = rows[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, c]) for c in range(6)], ["doc", "k", "start", "end", "source_doc", "source_start"])
+
+
+def _compared(texts: list[bytes], places: list[np.ndarray]) -> list[np.ndarray]:
     owner, place, edge = edges(texts)
     # Slices are met with the earliest of their places; the others follow it window by window.
     doc, at = (np.array([p[0, c] for p in places])[owner] for c in (0, 2))
@@ -99,10 +107,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = places[o]
         p = p[(p[:, 0] != sd) | (p[:, 2] + a != sa)]
         out.append(np.column_stack([p[:, 0], p[:, 1], p[:, 2] + a, p[:, 2] + z + 1, np.full(len(p), sd), np.full(len(p), sa)]))
-    rows = np.concatenate(out)
-    for at_ in range(0, len(rows), 100_000):
-        part = rows[at_ : at_ + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, c]) for c in range(6)], ["doc", "k", "start", "end", "source_doc", "source_start"])
+    return out
 
 
 def compacted(stretches: DataFrame) -> DataFrame:
@@ -140,18 +145,18 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc"], batch["t"], pa.array(removed, pa.int64()), pa.array(rest, pa.string())], ["doc", "t", "n_removed", "rest"])
 
 
-def repeated_spans(docs: DataFrame, first: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
     """The compacted paths of the first copies of texts, with their source coordinates; starts and ends count windows."""
     text_batches(docs.sparkSession)
-    found = R.slices(R.texts(docs), first, cut, body).mapInArrow(
+    found = R.slices(R.texts(docs), first, cut, body, again=True, hot=hot).mapInArrow(
         _stretches, "doc long, k long, start long, end long, source_doc long, source_start long"
     )
     return compacted(found)
 
 
-def first_copies_cut(docs: DataFrame, first: DataFrame) -> DataFrame:
+def first_copies_cut(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
     """(doc, t, n_removed, rest) of the first copies that lose words, each once; rest is the kept words with single blanks."""
-    spans = R.by_text(repeated_spans(docs, first).groupBy("doc", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans")), first)
+    spans = R.by_text(repeated_spans(docs, first, hot).groupBy("doc", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans")), first)
     return R.texts(docs).join(spans, ["doc", "t"]).mapInArrow(_rest, "doc long, t long, n_removed long, rest string")
 
 

@@ -6,7 +6,9 @@ equal keys, and neighbouring windows mostly share one, so a text has far fewer k
 1. Keys. Each distinct key of a text goes to the bucket of its hash; a bucket returns the keys that two different texts have.
    Copies of a whole text count as one text.
 2. Slices. Every first copy of a text meets its shared keys again. Each run of windows with one shared key is cut out as a slice and
-   sent to the bucket of its key; equal slices of a task travel as one with a list of their places.
+   sent to the bucket of its key. Of equal slices a task sends only the earliest: the others start later than that one, so all
+   their windows go, and are told so to the bucket of their document. A key of more than `HOT` texts would gather their
+   slices in one bucket, so its windows are sent one by one, each to the bucket of its own hash.
 3. The operator compares the windows of each bucket exactly and returns runs of windows to remove.
 
 All later copies of a text start in its first copy, so they need none of this. Buckets follow
@@ -19,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +32,8 @@ from loomwork.llm.common import partitions, text_batches
 FLUSH, FINER = 8 << 20, 4
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIX = 48
+#: Texts of a key above which its windows are spread by themselves.
+HOT = 50_000
 #: Bits of a place that hold its window; above them is the number of the text among those of its document.
 PLACE = 40
 
@@ -149,8 +154,12 @@ def _send_keys(cut: Cut, n: int) -> Callable:
     return send
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A whole bucket -> for each text the keys that another text has as well."""
+def _shared_keys(hot: int) -> Callable:
+    """A whole bucket -> for each text the keys that another text has as well, and those of them that are hot."""
+    return lambda batches: _shared(batches, hot)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     vals, ts = [], []
     for batch in batches:
         for v, t, c in zip(batch["vals"].to_pylist(), batch["ts"].to_pylist(), batch["counts"].to_pylist(), strict=True):
@@ -164,52 +173,89 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     v, t = v[order], t[order]
     starts, ends = runs(v)
     shared = np.repeat(np.minimum.reduceat(t, starts) != np.maximum.reduceat(t, starts), ends - starts)
-    v, t = v[shared], t[shared]
+    many = np.repeat(ends - starts > hot, ends - starts)
+    v, t, many = v[shared], t[shared], many[shared]
     order = np.lexsort((v, t))
-    v, t = v[order], t[order]
+    v, t, many = v[order], t[order], many[order]
     starts, ends = runs(t)
     for at in range(0, len(starts), 20_000):
         part = range(at, min(at + 20_000, len(starts)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(t[starts[part.start : part.stop]]), pa.array([six(np.unique(v[starts[i] : ends[i]])) for i in part], pa.binary())],
-            ["t", "vals"],
-        )
-
-
-def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int) -> Callable:
-    def flush(found: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
             [
-                pa.array([b for b, _ in found], pa.int32()),
-                pa.array([s for _, s in found], pa.binary()),
-                pa.array([np.array(w, np.int64).tobytes() for w in found.values()], pa.binary()),
+                pa.array(t[starts[part.start : part.stop]]),
+                pa.array([six(np.unique(v[starts[i] : ends[i]])) for i in part], pa.binary()),
+                pa.array([six(np.unique(v[starts[i] : ends[i]][many[starts[i] : ends[i]]])) for i in part], pa.binary()),
             ],
-            ["bucket", "body", "places"],
+            ["t", "vals", "hot"],
         )
 
+
+class _Slices:
+    """What a task has gathered: for each slice its earliest places, and the places that come later."""
+
+    def __init__(self, n: int, again: bool):
+        self.n, self.again = n, again  # again: a later place in the same document counts as later
+        self.found: dict[tuple[int, bytes], list[int]] = {}
+        self.later: list[int] = []
+        self.held = 0
+
+    def add(self, bucket: int, body: bytes, windows: int, doc: int, place: int) -> None:
+        own = self.found.get((bucket, body))
+        if own is None:
+            self.found[bucket, body] = [doc, place]
+            self.held += len(body) + 250
+            return
+        if doc == own[0] and not self.again:
+            own += (doc, place)
+        elif (doc, place) < (own[0], own[1]):
+            for d, p in zip(own[::2], own[1::2], strict=True):
+                self.later += (d, p, windows, doc, place)
+            own[:] = doc, place
+        else:
+            self.later += (doc, place, windows, own[0], own[1])
+        self.held += 120
+
+    def batch(self) -> pa.RecordBatch:
+        bucket, body = [b for b, _ in self.found], [s for _, s in self.found]
+        places = [np.array(w, np.int64).tobytes() for w in self.found.values()]
+        if self.later:
+            rows = np.array(self.later, np.int64).reshape(-1, 5)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            to = bucket_of(mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(64 - SIX), self.n)
+            order = np.argsort(to, kind="stable")
+            to, rows = to[order], rows[order]
+            for a, z in zip(*runs(to), strict=True):
+                bucket.append(int(to[a]))
+                body.append(b"")
+                places.append(rows[a:z].tobytes())
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((bucket, body, places), kinds, strict=True)], ["bucket", "body", "places"])
+
+
+def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int, again: bool) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, bytes], list] = {}
-        held = 0
+        out = _Slices(n, again)
         for batch in batches:
-            for doc, k, text, vals in zip(*(batch[c].to_pylist() for c in ("doc", "k", "text", "vals")), strict=True):
+            for doc, k, text, vals, hot in zip(*(batch[c].to_pylist() for c in ("doc", "k", "text", "vals", "hot")), strict=True):
                 data = text.encode("utf-8", "replace")
                 keys = sent(cut(data)[0])
                 starts, ends = runs(keys)
                 mine = np.isin(keys[starts], from_six(b"".join(vals)))
                 starts, ends = starts[mine], ends[mine]
+                many = np.isin(keys[starts], from_six(b"".join(hot)))
+                if many.any():  # each window by itself, to a bucket of its own
+                    single = np.concatenate([np.arange(a, z) for a, z in zip(starts[many], ends[many], strict=True)])
+                    for s, at in zip(body(data, single, single + 1), single.tolist(), strict=True):
+                        out.add(xxhash.xxh3_64_intdigest(s) % n, s, 1, doc, k << PLACE | at)
+                    starts, ends = starts[~many], ends[~many]
                 buckets = bucket_of(keys[starts], n).tolist()
-                for b, s, at in zip(buckets, body(data, starts, ends), starts.tolist(), strict=True):
-                    who = found.get((b, s))
-                    if who is None:
-                        who = found[b, s] = []
-                        held += len(s) + 200
-                    who += (doc, k << PLACE | at)
-                    held += 72
-            if held > FLUSH:
-                yield flush(found)
-                found, held = {}, 0
-        if found:
-            yield flush(found)
+                for b, s, at, end in zip(buckets, body(data, starts, ends), starts.tolist(), ends.tolist(), strict=True):
+                    out.add(b, s, end - at, doc, k << PLACE | at)
+            if out.held > FLUSH:
+                yield out.batch()
+                out = _Slices(n, again)
+        if out.found:
+            yield out.batch()
 
     return send
 
@@ -228,35 +274,43 @@ def first_copies(base: DataFrame) -> DataFrame:
     return first.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy("t", "key")).cast("long") - 1)
 
 
-def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable) -> DataFrame:
+def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT) -> DataFrame:
     """texts(doc, t, text), first(first, t, k) -> (bucket, body, places), dealt by bucket.
 
-    places: int64 pairs of doc, and k with the slice's first window.
+    places: int64 pairs of doc, and k with the slice's first window. Rows with an empty body hold places of which all windows go:
+    int64 rows of such a pair, the number of windows, and the pair of an earlier place of the same slice.
+    again: a later place in the same document counts as later, too.
     """
     text_batches(texts.sparkSession)
     n = partitions(texts.sparkSession)
     keys = texts.select("t", "text").mapInArrow(_send_keys(cut, n), "bucket int, vals binary, ts binary, counts binary")
-    shared = keys.repartitionById(n, "bucket").mapInArrow(_shared_keys, "t long, vals binary")
-    wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"))
+    shared = keys.repartitionById(n, "bucket").mapInArrow(_shared_keys(hot), "t long, vals binary, hot binary")
+    wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"), F.collect_list("hot").alias("hot"))
     wanted = first.select(F.col("first").alias("doc"), "t", "k").join(wanted, "t")
     found = texts.select("doc", "t", "text").join(wanted, ["doc", "t"]).mapInArrow(
-        _send_slices(cut, body, FINER * n), "bucket int, body binary, places binary"
+        _send_slices(cut, body, FINER * n, again), "bucket int, body binary, places binary"
     )
     return found.repartitionById(FINER * n, "bucket")
 
 
-def bodies(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct slices of a bucket, and the places of each as rows (doc, k, window) in ascending order."""
+def bodies(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    """The distinct slices of a bucket, the places of each as rows (doc, k, window) in ascending order, and what goes whole.
+
+    What goes whole: rows doc, k, window, number of windows, and doc and window of an earlier place of the same.
+    """
     found: dict[bytes, list[bytes]] = {}
     for batch in batches:
         for s, w in zip(batch["body"].to_pylist(), batch["places"].to_pylist(), strict=True):
             found.setdefault(s, []).append(w)
+    low = (1 << PLACE) - 1
+    gone = np.frombuffer(b"".join(found.pop(b"", [])), np.int64).reshape(-1, 5)
+    gone = np.column_stack([gone[:, 0], gone[:, 1] >> PLACE, gone[:, 1] & low, gone[:, 2], gone[:, 3], gone[:, 4] & low])
     places = []
     for w in found.values():
         p = np.frombuffer(b"".join(w), np.int64).reshape(-1, 2)
-        p = np.column_stack([p[:, 0], p[:, 1] >> PLACE, p[:, 1] & ((1 << PLACE) - 1)])
+        p = np.column_stack([p[:, 0], p[:, 1] >> PLACE, p[:, 1] & low])
         places.append(p[np.lexsort((p[:, 2], p[:, 1], p[:, 0]))] if len(p) > 1 else p)
-    return list(found), places
+    return list(found), places, gone
 
 
 def spans_by_text(doc: np.ndarray, k: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,9 +140,15 @@ def equal_strings(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _runs_to_remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A whole bucket of slices -> spans of bytes to remove, by text."""
-    texts, places = R.bodies(batches)
-    if not texts:
-        return
+    texts, places, gone = R.bodies(batches)
+    rows = [np.column_stack([gone[:, :3], gone[:, 2] + gone[:, 3] + LENGTH - 1])]
+    if texts:
+        rows += _compared(texts, places)
+    yield from R.spans_by_text(*np.concatenate(rows).T)
+
+
+def _compared(texts: list[bytes], places: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (doc, k, start, end) of bytes to remove, from the distinct slices of a bucket and their places."""
     buffer = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     size = np.array([len(x) for x in texts])
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -171,40 +178,31 @@ def _runs_to_remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 out.append((d, k, w + a, w + z + LENGTH))
     # In all other documents: every window, since the smallest one has the whole slice.
     whole = [(p[p[:, 0] != p[0, 0]], len(x)) for p, x in zip(places, texts, strict=True) if p[-1, 0] != p[0, 0]]
-    rows = [np.array(out, np.int64).reshape(-1, 4), *(np.column_stack([p, p[:, 2] + n]) for p, n in whole)]
-    yield from R.spans_by_text(*np.concatenate(rows).T)
+    return [np.array(out, np.int64).reshape(-1, 4), *(np.column_stack([p, p[:, 2] + n]) for p, n in whole)]
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def without(data: bytes, spans: list[bytes]) -> tuple[bytes, int, int]:
+    """What remains, how many bytes go, and in how many runs."""
+    start, end = R.joined_spans(spans)
+    edges = [0, *np.column_stack([start, end]).ravel().tolist(), len(data)]
+    return b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)), int((end - start).sum()), len(start)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, runs, sha, rest = [], [], [], []
-        for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-            data = text.encode("utf-8", "replace")
-            start, end = R.joined_spans(spans)
-            edges = [0, *np.column_stack([start, end]).ravel().tolist(), len(data)]
-            kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-            removed.append(int((end - start).sum()))
-            runs.append(len(start))
-            sha.append(hashlib.sha256(kept).hexdigest())
-            rest.append(kept.decode("utf-8", "ignore"))
+        texts = zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True)
+        out = [without(text.encode("utf-8", "replace"), spans) for text, spans in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch["doc"], batch["t"], pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(rest, pa.string())],
-            ["doc", "t", "n_removed", "n_spans", "kept_sha256", "rest"],
+            [batch["doc"], batch["t"], pa.array([n for _, n, _ in out], pa.int64()), pa.array([k for *_, k in out], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, *_ in out], pa.string())],
+            ["doc", "t", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
-def first_copies_cut(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc, t, n_removed, n_spans, kept_sha256, rest) of the first copies that lose something, each once.
-
-    rest is what remains as text: a character that a removed string cuts in two goes with it.
-    """
+def removed_spans(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
+    """(doc, t, spans): for every first copy of a text that loses something, its spans of bytes in packed parts."""
     text_batches(docs.sparkSession)
-    texts = R.texts(docs)
-    found = R.slices(texts, first, cut, body).mapInArrow(_runs_to_remove, "doc long, k long, spans binary")
-    spans = R.by_text(found.groupBy("doc", "k").agg(F.collect_list("spans").alias("spans")), first)
-    return texts.join(spans, ["doc", "t"]).mapInArrow(
-        _rest, "doc long, t long, n_removed long, n_spans long, kept_sha256 string, rest string"
-    )
+    found = R.slices(R.texts(docs), first, cut, body, again=False, hot=hot).mapInArrow(_runs_to_remove, "doc long, k long, spans binary")
+    return R.by_text(found.groupBy("doc", "k").agg(F.collect_list("spans").alias("spans")), first)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +219,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "texts",
     )
     first = R.first_copies(base)
-    done = first_copies_cut(docs, first).drop("rest").distinct()
+    digests = R.texts(docs).join(removed_spans(docs, first), ["doc", "t"]).mapInArrow(
+        _digests, "doc long, t long, n_removed long, n_spans long, kept_sha256 string"
+    )
+    done = digests.distinct()  # repeated rows
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     lost = F.coalesce("n_removed", F.lit(0))
     return (
@@ -237,17 +238,30 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: texts lose their repeated strings, documents that lose all go; n_chars follows the text."""
+def _rests(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, spans in parts:
+        out = [
+            text if s is None or text is None else without(text.encode("utf-8", "replace"), list(s))[0].decode("utf-8", "ignore")
+            for text, s in zip(texts, spans, strict=True)
+        ]
+        yield pd.Series(out, dtype=object)
+
+
+def cut_repeats(docs: DataFrame, hot: int = R.HOT) -> DataFrame:
+    """The pipeline's stage: texts lose their repeated strings, documents that lose all go; n_chars follows the text.
+
+    A character that a removed string cuts in two goes with it.
+    """
     columns = docs.columns
-    own = docs.withColumns({"_doc": R.order_key(), "_key": F.unhex(R.text_key()), "_t": F.xxhash64(R.text_key())})
-    first = R.first_copies(written(own.select(*(F.col(f"_{c}").alias(c) for c in ("doc", "key", "t"))), "texts"))
-    done = written(first_copies_cut(docs, first).select("doc", "t", "rest").dropDuplicates(["doc", "t"]), "rests")
-    copies = first.select(F.col("key").alias("_key"), F.col("first").alias("_first"))
-    rests = done.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("rest").alias("_rest"))
-    text = F.when(F.col("_rest").isNull(), F.col("text")).otherwise(F.col("_rest"))
-    out = own.join(copies, "_key").where((F.col("_doc") == F.col("_first")) | (F.octet_length(F.coalesce("text", F.lit(""))) < LENGTH))
-    out = out.join(rests, ["_doc", "_t"], "left").where(F.col("_rest").isNull() | (F.col("_rest") != "")).withColumn("text", text)
+    own = docs.withColumns({"_doc": R.order_key(), "_t": F.xxhash64(R.text_key())})
+    keys = own.select(F.col("_doc").alias("doc"), F.unhex(R.text_key()).alias("key"), F.col("_t").alias("t"))
+    first = R.first_copies(written(keys, "texts"))
+    spans = removed_spans(docs, first, hot)
+    # One small row for each first copy; documents meet it once, and later copies meet none.
+    known = first.select(F.col("first").alias("doc"), "t").join(spans, ["doc", "t"], "left")
+    known = known.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"), F.lit(True).alias("_first"))
+    out = own.join(known, ["_doc", "_t"], "left").where(F.col("_first") | (F.octet_length(F.coalesce("text", F.lit(""))) < LENGTH))
+    out = out.withColumn("_rest", F.pandas_udf(_rests, "string")("text", "_spans")).where(F.col("_spans").isNull() | (F.col("_rest") != ""))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_rest").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*columns)
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_rest")))
+    return out.withColumn("text", F.col("_rest")).select(*columns)
