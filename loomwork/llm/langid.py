@@ -151,9 +151,9 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents without a language, or between two languages, go."""
+    """The pipeline's stage: documents without a language go, and ambiguous ones of which no language holds half the weight."""
     model = train(docs.select("text", "lang"))
     columns = docs.columns
-    return identify(docs, model).where((F.col(LANG) != "und") & ~F.col(UNSURE)).select(*columns)
+    return identify(docs, model).where((F.col(LANG) != "und") & ~(F.col(UNSURE) & (F.col(SCORE) < 0.5))).select(*columns)
 
 
