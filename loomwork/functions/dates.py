@@ -71,7 +71,7 @@ def timeline_label(kind: Column, start: Column, end: Column, hindi: Column | Non
     say = lambda en, hi: F.when(hindi, hi).otherwise(en)
     na = say(F.lit("NA"), F.lit("उपलब्ध नहीं"))
     return (
-        F.when(kind == "lifetime", say(F.lit("Lifetime available"), F.lit("जीवन भर उपलब्ध")))
+        F.when(kind == "lifetime", say(F.lit("Lifetime"), F.lit("आजीवन")))
         .when(a.isNull() & z.isNull(), na)
         .when(a.isNull(), say(F.concat(F.lit("Until "), z), F.concat(F.lit("तक "), z)))
         .when(z.isNull(), say(F.concat(F.lit("From "), a), F.concat(a, F.lit(" से"))))

@@ -179,7 +179,7 @@ ORACLE_SQL = {
     "parsed_dates": """select o_orderkey, cast(try_cast(printf('%04d-%02d-%02d', 1995 + o_orderkey % 7, o_orderkey % 14, o_orderkey % 33) as date) as timestamp) as day from orders""",
     "timeline_labels": """with t as (select o_orderkey, o_orderkey % 5 = 0 as life, case when o_orderkey % 3 <> 0 then strftime(o_orderdate, '%d %b %Y') end as a,
         case when o_orderkey % 4 <> 0 then strftime(o_orderdate, '%d %b %Y') end as z from orders)
-      select o_orderkey, case when life then 'Lifetime available' when a is null and z is null then 'NA' when a is null then 'Until ' || z when z is null then 'From ' || a
+      select o_orderkey, case when life then 'Lifetime' when a is null and z is null then 'NA' when a is null then 'Until ' || z when z is null then 'From ' || a
         else a || ' to ' || z end as label from t""",
     "cosine_topk": """with x as (select label, arg_min(embedding, vec_id) as e from embeddings group by label),
       s as (select vec_id, list_cosine_similarity(embedding::double[], e::double[]) as s from embeddings cross join x)
