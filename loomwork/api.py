@@ -29,19 +29,32 @@ def listed_schemes(schemes: DataFrame) -> DataFrame:
 def recommend(profiles: DataFrame, schemes: DataFrame, stored_rules: DataFrame, as_of: str, weights: ranking.Weights = ranking.Weights()) -> tuple[DataFrame, DataFrame]:
     """(recommendations, near misses) of every profile: stored and derived rules as rows, scores, ranks, instalments of the top three.
 
-    Pairs come from an equi-join on the purpose family where a scheme has one. Near misses are looked for only for
-    profiles without a recommendation.
+    Candidates come from an equi-join on the purpose family where both sides have one, as a purpose that differs rules a
+    scheme out. Only profiles without a recommendation are then held against all schemes, for their near misses.
     """
     good, _ = schemas.accepted(profiles, schemas.profile_problem())
     live = listed_schemes(schemes).withColumnRenamed("id", "scheme_id")
     merged = rules.merged_rules(stored_rules, rules.derived_rules(live))
-    scored = _scored(good.select("profile_id").join(live.select("scheme_id"), F.lit(True)), good, live, merged, as_of, weights)
-    best = ranking.recommendations(scored)
+    candidates = _scored(_candidates(good, live, merged), good, live, merged, as_of, weights)
+    best = ranking.recommendations(candidates)
+    rest = good.join(candidates.where("eligible").select("profile_id").distinct(), "profile_id", "left_anti").select("profile_id")
+    others = _scored(rest.join(ranking.small(live.select("scheme_id")), F.lit(True)), good, live, merged, as_of, weights)
     loan = F.coalesce(F.nullif("loan_required", F.lit(0.0)), "max_loan", F.lit(0.0))
     terms = numbers.emi(loan, F.col("interest_rate"), F.coalesce("tenure", F.lit(0)), F.coalesce("moratorium", F.lit(0)), F.lit("monthly"))
     known = F.col("interest_rate").isNotNull() & (F.coalesce("tenure", F.lit(0)) != 0)
     best = best.withColumn("emi_estimate", F.when((F.col("rank") <= 3) & known, terms))
-    return best, ranking.near_misses(scored)
+    return best, ranking.near_misses(others)
+
+
+def _candidates(profiles: DataFrame, schemes: DataFrame, merged: DataFrame) -> DataFrame:
+    """(profile_id, scheme_id) that the purpose rules leave open."""
+    family = merged.where("rule_type = 'purpose' and operator = 'purpose_match'").select("scheme_id", purpose_family(F.col("str_value")).alias("family"))
+    s = schemes.select("scheme_id").join(family, "scheme_id", "left")
+    p = profiles.select("profile_id", F.nullif(purpose_family(F.col("purpose")), F.lit("")).alias("own"))
+    same = p.join(ranking.small(s), F.col("own") == F.col("family"))
+    anyone = p.join(ranking.small(s.where("family is null")), F.lit(True))
+    silent = p.where("own is null").join(ranking.small(s.where("family is not null")), F.lit(True))
+    return same.unionByName(anyone).unionByName(silent).select("profile_id", "scheme_id")
 
 
 def _scored(pairs: DataFrame, profiles: DataFrame, schemes: DataFrame, merged: DataFrame, as_of: str, weights: ranking.Weights) -> DataFrame:

@@ -66,6 +66,11 @@ def total_score(eligibility: Column, purpose: Column, loan: Column, cost: Column
     return F.round(parts / max(w.eligibility + w.purpose + w.loan_amount + w.project_cost + w.other, 1.0), 2)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it is as small as a dimension is, by count; else the join may shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def top(scored: DataFrame, k: int, partition: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """The first k rows of each partition; Spark limits each task to k rows of a partition before it shuffles."""
     w = Window.partitionBy(*partition).orderBy(*order)

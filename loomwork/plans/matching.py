@@ -30,11 +30,6 @@ def _schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _small(df: DataFrame, rows: int = ranking.BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension if it is as small as dimensions are; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _scored(pairs: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("checks", rules.hard_checks())
     passed = F.size(F.filter("checks", lambda c: c))
@@ -63,8 +58,8 @@ def _scored(pairs: DataFrame) -> DataFrame:
 
 def _candidates(profiles: DataFrame, schemes: DataFrame) -> DataFrame:
     """Pairs that the purpose rule allows: an equi-join on the family, and schemes without a family with everyone."""
-    same = profiles.join(_small(schemes.where("scheme_family is not null")), F.col("user_family") == F.col("scheme_family"))
-    anyone = profiles.join(F.broadcast(schemes.where("scheme_family is null")), F.lit(True))
+    same = profiles.join(ranking.small(schemes.where("scheme_family is not null")), F.col("user_family") == F.col("scheme_family"))
+    anyone = profiles.join(ranking.small(schemes.where("scheme_family is null")), F.lit(True))
     return same.unionByName(anyone)
 
 
@@ -77,7 +72,7 @@ def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, schemes = _profiles(spark, sf_dir), _schemes(spark, sf_dir)
     served = _scored(_candidates(profiles, schemes)).where("eligible").select("profile_id").distinct()
     rest = profiles.join(served, "profile_id", "left_anti")
-    missed = ranking.near_misses(_scored(rest.join(_small(schemes), F.lit(True))))
+    missed = ranking.near_misses(_scored(rest.join(ranking.small(schemes), F.lit(True))))
     return missed.select("profile_id", "scheme_id", "rank", "hard_fails", "soft_fails", "score")
 
 
