@@ -179,3 +179,16 @@ def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
         )
     )
+
+
+OP7_SQL = f"""
+with d as (select row_number() over () as r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from documents),
+k as (select r, doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as s from (select *, unnest(range(1, len(w) - {WINDOW - 2})) as i from d)),
+b as (select r, i from k qualify rank() over (partition by s order by doc_id, i) > 1),
+c as (select distinct r, unnest(range(i, i + {WINDOW})) as i from b),
+u as (select r, w, unnest(range(1, len(w) + 1)) as i from d),
+v as (select r, string_agg(w[i], ' ' order by i) as kept, count(*) as n from u anti join c using (r, i) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join v using (r)
+"""

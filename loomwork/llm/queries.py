@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_chat": chat.OP5_SQL,
+    "op6_suffixes": suffixes.OP6_SQL,
+    "op7_debruijn": debruijn.OP7_SQL,
     "op8_rules": rules.OP8_SQL,
 }

@@ -236,8 +236,10 @@ def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Slices(n, again)
         for batch in batches:
-            for doc, k, text, vals, hot in zip(*(batch[c].to_pylist() for c in ("doc", "k", "text", "vals", "hot")), strict=True):
-                data = text.encode("utf-8", "replace")
+            texts = batch["text"] if "text" in batch.schema.names else batch["rec"].field("text")
+            columns = (batch["doc"], batch["k"], texts, batch["vals"], batch["hot"])
+            for doc, k, text, vals, hot in zip(*(c.to_pylist() for c in columns), strict=True):
+                data = (text or "").encode("utf-8", "replace")
                 keys = sent(cut(data)[0])
                 starts, ends = runs(keys)
                 mine = np.isin(keys[starts], from_six(b"".join(vals)))
@@ -274,9 +276,12 @@ def first_copies(base: DataFrame) -> DataFrame:
     return first.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy("t", "key")).cast("long") - 1)
 
 
-def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT) -> DataFrame:
+def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text") -> DataFrame:
     """texts(doc, t, text), first(first, t, k) -> (bucket, body, places), dealt by bucket.
 
+    carried: the column that is shuffled to meet the shared keys, the text or `rec`, a struct with a field text. A later join that
+    carries the same columns by doc and t uses the same shuffle.
+
     places: int64 pairs of doc, and k with the slice's first window. Rows with an empty body hold places of which all windows go:
     int64 rows of such a pair, the number of windows, and the pair of an earlier place of the same slice.
     again: a later place in the same document counts as later, too.
@@ -287,7 +292,7 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again:
     shared = keys.repartitionById(n, "bucket").mapInArrow(_shared_keys(hot), "t long, vals binary, hot binary")
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"), F.collect_list("hot").alias("hot"))
     wanted = first.select(F.col("first").alias("doc"), "t", "k").join(wanted, "t")
-    found = texts.select("doc", "t", "text").join(wanted, ["doc", "t"]).mapInArrow(
+    found = texts.select("doc", "t", carried).join(wanted, ["doc", "t"]).mapInArrow(
         _send_slices(cut, body, FINER * n, again), "bucket int, body binary, places binary"
     )
     return found.repartitionById(FINER * n, "bucket")

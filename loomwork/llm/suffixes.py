@@ -198,10 +198,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def removed_spans(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
+def removed_spans(texts: DataFrame, first: DataFrame, hot: int = R.HOT, carried: str = "text") -> DataFrame:
     """(doc, t, spans): for every first copy of a text that loses something, its spans of bytes in packed parts."""
-    text_batches(docs.sparkSession)
-    found = R.slices(R.texts(docs), first, cut, body, again=False, hot=hot).mapInArrow(_runs_to_remove, "doc long, k long, spans binary")
+    text_batches(texts.sparkSession)
+    found = R.slices(texts, first, cut, body, again=False, hot=hot, carried=carried).mapInArrow(_runs_to_remove, "doc long, k long, spans binary")
     return R.by_text(found.groupBy("doc", "k").agg(F.collect_list("spans").alias("spans")), first)
 
 
@@ -219,7 +219,8 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "texts",
     )
     first = R.first_copies(base)
-    digests = R.texts(docs).join(removed_spans(docs, first), ["doc", "t"]).mapInArrow(
+    texts = R.texts(docs)
+    digests = texts.join(removed_spans(texts, first), ["doc", "t"]).mapInArrow(
         _digests, "doc long, t long, n_removed long, n_spans long, kept_sha256 string"
     )
     done = digests.distinct()  # repeated rows
@@ -253,15 +254,32 @@ def cut_repeats(docs: DataFrame, hot: int = R.HOT) -> DataFrame:
     A character that a removed string cuts in two goes with it.
     """
     columns = docs.columns
-    own = docs.withColumns({"_doc": R.order_key(), "_t": F.xxhash64(R.text_key())})
-    keys = own.select(F.col("_doc").alias("doc"), F.unhex(R.text_key()).alias("key"), F.col("_t").alias("t"))
-    first = R.first_copies(written(keys, "texts"))
-    spans = removed_spans(docs, first, hot)
+    texts = R.texts(docs, F.struct(*columns).alias("rec"))
+    first = R.first_copies(written(texts.select("doc", F.unhex(F.md5("text")).alias("key"), "t"), "texts"))
+    spans = removed_spans(texts, first, hot, "rec")
     # One small row for each first copy; documents meet it once, and later copies meet none.
-    known = first.select(F.col("first").alias("doc"), "t").join(spans, ["doc", "t"], "left")
-    known = known.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"), F.lit(True).alias("_first"))
-    out = own.join(known, ["_doc", "_t"], "left").where(F.col("_first") | (F.octet_length(F.coalesce("text", F.lit(""))) < LENGTH))
-    out = out.withColumn("_rest", F.pandas_udf(_rests, "string")("text", "_spans")).where(F.col("_spans").isNull() | (F.col("_rest") != ""))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_rest")))
-    return out.withColumn("text", F.col("_rest")).select(*columns)
+    known = first.select(F.col("first").alias("doc"), "t", F.lit(True).alias("kept")).join(spans, ["doc", "t"], "left")
+    short = F.octet_length(F.coalesce("rec.text", F.lit(""))) < LENGTH
+    out = texts.select("doc", "t", "rec").join(known, ["doc", "t"], "left").where(F.col("kept") | short)
+    out = out.withColumn("rest", F.pandas_udf(_rests, "string")("rec.text", "spans")).where(F.col("spans").isNull() | (F.col("rest") != ""))
+    new = {"text": F.col("rest"), "n_chars": F.when(F.col("spans").isNull(), F.col("rec.n_chars")).otherwise(F.length("rest"))} if "n_chars" in columns else {"text": F.col("rest")}
+    return out.select(*(new.get(c, F.col("rec")[c]).alias(c) for c in columns))
+
+
+OP6_SQL = f"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) as s
+  from (select *, unnest(range(0, cast(length(h) / 2 as bigint) - {LENGTH - 1})) as i from d)),
+m as (select s, min(doc_id) as first from w group by s having count(*) > 1),
+b as (select r, i from w join m using (s) where first < doc_id),
+g as (select r, i, coalesce(i - lag(i) over (partition by r order by i) > {LENGTH}, true) as fresh from b),
+k as (select r, i, sum(fresh::int) over (partition by r order by i) as run from g),
+s as (select r, min(i) as a, max(i) + {LENGTH} as z from k group by r, run),
+e as (select r, count(*) as n_spans, cast(sum(z - a) as bigint) as n_removed, max(z) as last from s group by r),
+p as (select r, lag(z, 1, 0) over (partition by r order by a) as x, a as y from s
+  union all select r, last, cast(length(h) / 2 as bigint) from e join d using (r)),
+q as (select r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as kept from p join d using (r) group by r)
+select doc_id, cast(length(h) / 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join e using (r) left join q using (r)
+"""

@@ -120,7 +120,7 @@ def test_hot_keys_change_no_result(spark, hot):
     d = documents(spark)
     base = R.texts(d, F.unhex(R.text_key()).alias("key")).select("doc", "key", "t")
     first = R.first_copies(base)
-    a, b = (suffixes.removed_spans(d, first, h).select("doc", "t", "spans").collect() for h in (hot, R.HOT))
+    a, b = (suffixes.removed_spans(R.texts(d), first, h).select("doc", "t", "spans").collect() for h in (hot, R.HOT))
     spans = lambda rows_: {(r.doc, r.t): [x.tolist() for x in R.joined_spans(r.spans)] for r in rows_}
     assert spans(a) == spans(b) != {}
     a, b = ({(r.doc, r.t): (r.n_removed, r.rest) for r in debruijn.first_copies_cut(d, first, h).collect()} for h in (hot, R.HOT))
