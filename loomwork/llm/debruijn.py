@@ -79,35 +79,36 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A whole bucket -> stretches of edges that start earlier elsewhere: doc, k, start, end, and where earlier ones begin."""
-    texts, places, gone = R.bodies(batches)
+    bucket = R.Bucket(batches)
+    gone = bucket.gone
     rows = [np.column_stack([gone[:, :3], gone[:, 2] + gone[:, 3], gone[:, 4:]])]
-    if texts:
-        rows += _compared(texts, places)
+    if bucket.texts:
+        rows.append(_compared(bucket))
     rows = np.concatenate(rows)
     for at in range(0, len(rows), 100_000):
         part = rows[at : at + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(part[:, c]) for c in range(6)], ["doc", "k", "start", "end", "source_doc", "source_start"])
 
 
-def _compared(texts: list[bytes], places: list[np.ndarray]) -> list[np.ndarray]:
-    owner, place, edge = edges(texts)
+def _compared(b: R.Bucket) -> np.ndarray:
+    """Stretches of the places of a bucket's slices, by the earliest source of every edge."""
+    owner, place, edge = edges(b.texts)
     # Slices are met with the earliest of their places; the others follow it window by window.
-    doc, at = (np.array([p[0, c] for p in places])[owner] for c in (0, 2))
-    at = at + place
+    first = b.begin[:-1][owner]
+    doc, at = b.doc[first], b.at[first] + place
     order = np.lexsort((at, doc, edge))
     starts, ends = R.runs(edge[order])
     earliest = np.empty(len(order), np.int64)
     earliest[order] = np.repeat(order[starts], ends - starts)
     source_doc, source_at = doc[earliest], at[earliest]
     cuts = np.append(True, (owner[1:] != owner[:-1]) | (source_doc[1:] != source_doc[:-1]) | (source_at[1:] != source_at[:-1] + 1))
-    first = np.flatnonzero(cuts)
-    last = np.append(first[1:], len(cuts)) - 1
-    out = []
-    for o, a, z, sd, sa in zip(*(x.tolist() for x in (owner[first], place[first], place[last], source_doc[first], source_at[first])), strict=True):
-        p = places[o]
-        p = p[(p[:, 0] != sd) | (p[:, 2] + a != sa)]
-        out.append(np.column_stack([p[:, 0], p[:, 1], p[:, 2] + a, p[:, 2] + z + 1, np.full(len(p), sd), np.full(len(p), sa)]))
-    return out
+    head = np.flatnonzero(cuts)
+    tail = np.append(head[1:], len(cuts)) - 1
+    entry, p = b.places_of(owner[head])
+    start, sd, sa = b.at[p] + place[head][entry], source_doc[head][entry], source_at[head][entry]
+    own = (b.doc[p] != sd) | (start != sa)  # the source itself stays
+    end = start + (place[tail] - place[head])[entry] + 1
+    return np.column_stack([b.doc[p], b.k[p], start, end, sd, sa])[own]
 
 
 def compacted(stretches: DataFrame) -> DataFrame:

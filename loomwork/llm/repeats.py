@@ -298,24 +298,40 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again:
     return found.repartitionById(FINER * n, "bucket")
 
 
-def bodies(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
-    """The distinct slices of a bucket, the places of each as rows (doc, k, window) in ascending order, and what goes whole.
+class Bucket:
+    """The distinct slices of a bucket, all their places in order, and what goes whole.
 
-    What goes whole: rows doc, k, window, number of windows, and doc and window of an earlier place of the same.
+    texts: the slices. of, doc, k, at: for each place its slice, document, text number and first window, ascending.
+    begin: where the places of each slice begin, one more at the end. gone: rows doc, k, window, number of windows, and document
+    and window of an earlier place of the same slice.
     """
-    found: dict[bytes, list[bytes]] = {}
-    for batch in batches:
-        for s, w in zip(batch["body"].to_pylist(), batch["places"].to_pylist(), strict=True):
-            found.setdefault(s, []).append(w)
-    low = (1 << PLACE) - 1
-    gone = np.frombuffer(b"".join(found.pop(b"", [])), np.int64).reshape(-1, 5)
-    gone = np.column_stack([gone[:, 0], gone[:, 1] >> PLACE, gone[:, 1] & low, gone[:, 2], gone[:, 3], gone[:, 4] & low])
-    places = []
-    for w in found.values():
-        p = np.frombuffer(b"".join(w), np.int64).reshape(-1, 2)
-        p = np.column_stack([p[:, 0], p[:, 1] >> PLACE, p[:, 1] & low])
-        places.append(p[np.lexsort((p[:, 2], p[:, 1], p[:, 0]))] if len(p) > 1 else p)
-    return list(found), places, gone
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        number: dict[bytes, int] = {}
+        ids, places, gone = [], [], []
+        for batch in batches:
+            for s, w in zip(batch["body"].to_pylist(), batch["places"].to_pylist(), strict=True):
+                if s:
+                    ids.append(number.setdefault(s, len(number)))
+                    places.append(w)
+                else:
+                    gone.append(w)
+        low = (1 << PLACE) - 1
+        g = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 5)
+        self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & low, g[:, 2], g[:, 3], g[:, 4] & low])
+        self.texts = list(number)
+        of = np.repeat(np.array(ids, np.int64), np.fromiter((len(w) // 16 for w in places), np.int64, len(places)))
+        p = np.frombuffer(b"".join(places), np.int64).reshape(-1, 2)
+        order = np.lexsort((p[:, 1] & low, p[:, 1] >> PLACE, p[:, 0], of))
+        self.of, p = of[order], p[order]
+        self.doc, self.k, self.at = p[:, 0], p[:, 1] >> PLACE, p[:, 1] & low
+        self.begin = np.searchsorted(self.of, np.arange(len(self.texts) + 1))
+
+    def places_of(self, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a list of slices: an index into the list and one into the places, for every place of every entry."""
+        n = self.begin[slices + 1] - self.begin[slices]
+        entry = np.repeat(np.arange(len(slices)), n)
+        return entry, np.arange(len(entry)) + np.repeat(self.begin[slices] - np.cumsum(n) + n, n)
 
 
 def spans_by_text(doc: np.ndarray, k: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:

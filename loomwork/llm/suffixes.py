@@ -44,23 +44,24 @@ def body(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [data[s : e + LENGTH - 1] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def characters(buffer: np.ndarray, at: np.ndarray, width: int = 8) -> np.ndarray:
-    """The width bytes at each place as one big-endian number."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(width):
-        out = (out << np.uint64(8)) | buffer[at + i]
+def characters(buffer: np.ndarray) -> np.ndarray:
+    """For each place but the last seven, the eight bytes that begin there as one big-endian number."""
+    n = len(buffer) - 7
+    out = buffer[:n].astype(np.uint64)
+    for i in range(1, 8):
+        out = (out << np.uint64(8)) | buffer[i : n + i]
     return out
 
 
-def multikey(buffer: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey(chars: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes (indices of at) that share depth characters with another, and their group; those alone are dropped.
 
     All groups of a level are partitioned at once: ordered by group, then by the next character.
     """
     order, group = np.arange(len(at), dtype=np.int32), np.zeros(len(at), np.int32)
     for level in range(depth):
-        key = characters(buffer, at[order] + 8 * level)
-        step = np.lexsort((key, group))
+        key = chars[at[order] + 8 * level]
+        step = np.lexsort((key, group)) if level else np.argsort(key)
         order, group, key = order[step], group[step], key[step]
         fresh = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
         alone = fresh & np.append(fresh[1:], True)
@@ -118,12 +119,13 @@ def blind_order(tails: list[bytes]) -> list[list[int]]:
 
 
 def equal_strings(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that agree over LENGTH bytes with another, by deep-shallow sorting: (indices of at, group)."""
-    order, group = multikey(buffer, at, SHALLOW)
+    """Suffixes that agree over LENGTH bytes with another, by deep-shallow sorting: (indices of at, group). Eight bytes follow the last."""
+    chars = characters(buffer)
+    order, group = multikey(chars, at, SHALLOW)
     if not len(order):
         return order, group
     rest = LENGTH - 8 * SHALLOW
-    tail = characters(buffer, at[order] + 8 * SHALLOW, rest)
+    tail = chars[at[order] + 8 * SHALLOW] >> np.uint64(64 - 8 * rest)
     starts, ends = R.runs(group)
     mixed = np.minimum.reduceat(tail, starts) != np.maximum.reduceat(tail, starts)
     label, fresh = group.copy(), int(group[-1]) + 1
@@ -140,22 +142,23 @@ def equal_strings(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _runs_to_remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A whole bucket of slices -> spans of bytes to remove, by text."""
-    texts, places, gone = R.bodies(batches)
+    bucket = R.Bucket(batches)
+    gone = bucket.gone
     rows = [np.column_stack([gone[:, :3], gone[:, 2] + gone[:, 3] + LENGTH - 1])]
-    if texts:
-        rows += _compared(texts, places)
+    if bucket.texts:
+        rows += _compared(bucket)
     yield from R.spans_by_text(*np.concatenate(rows).T)
 
 
-def _compared(texts: list[bytes], places: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows (doc, k, start, end) of bytes to remove, from the distinct slices of a bucket and their places."""
-    buffer = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-    size = np.array([len(x) for x in texts])
-    base = np.concatenate([[0], np.cumsum(size)[:-1]])
+def _compared(b: R.Bucket) -> list[np.ndarray]:
+    """Rows (doc, k, start, end) of bytes to remove, by comparing the windows of all slices of a bucket."""
+    buffer = np.frombuffer(b"".join(b.texts) + bytes(8), np.uint8)
+    size = np.array([len(x) for x in b.texts])
+    base = np.cumsum(size) - size
     windows = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), windows)
     at = np.arange(len(owner)) + np.repeat(base - np.cumsum(windows) + windows, windows)
-    first = np.array([p[0, 0] for p in places])  # the smallest document with this slice
+    first = b.doc[b.begin[:-1]]  # the smallest document with each slice
     order, label = equal_strings(buffer, at)
     # For every window, the smallest document that has its string.
     least = first[owner]
@@ -164,21 +167,19 @@ def _compared(texts: list[bytes], places: list[np.ndarray]) -> list[np.ndarray]:
         order, label = order[step], label[step]
         starts, ends = R.runs(label)
         least[order] = np.repeat(np.minimum.reduceat(first[owner[order]], starts), ends - starts)
-    # In the smallest document: windows whose string starts in a smaller one.
+    # In the smallest document: runs of windows whose string starts in a smaller one.
     gone = np.flatnonzero(least < first[owner])
-    out: list[tuple] = []
-    if len(gone):
-        brk = np.append(True, (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]]))
-        s = gone[brk]
-        e = gone[np.append(np.flatnonzero(brk)[1:] - 1, len(gone) - 1)]
-        for o, a, z in zip(owner[s].tolist(), (at[s] - base[owner[s]]).tolist(), (at[e] - base[owner[e]]).tolist(), strict=True):
-            for d, k, w in places[o].tolist():
-                if d != first[o]:
-                    break
-                out.append((d, k, w + a, w + z + LENGTH))
+    brk = np.append(len(gone) > 0, (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]]))[: len(gone)]
+    s = gone[brk]
+    e = gone[np.append(np.flatnonzero(brk)[1:] - 1, len(gone) - 1)] if len(gone) else gone
+    entry, place = b.places_of(owner[s].astype(np.int64))
+    own = b.doc[place] == first[b.of[place]]
+    entry, place = entry[own], place[own]
+    start = b.at[place] + (at[s] - base[owner[s]])[entry]
+    here = np.column_stack([b.doc[place], b.k[place], start, start + (at[e] - at[s])[entry] + LENGTH])
     # In all other documents: every window, since the smallest one has the whole slice.
-    whole = [(p[p[:, 0] != p[0, 0]], len(x)) for p, x in zip(places, texts, strict=True) if p[-1, 0] != p[0, 0]]
-    return [np.array(out, np.int64).reshape(-1, 4), *(np.column_stack([p, p[:, 2] + n]) for p, n in whole)]
+    other = b.doc != first[b.of]
+    return [here, np.column_stack([b.doc[other], b.k[other], b.at[other], b.at[other] + size[b.of[other]]])]
 
 
 def without(data: bytes, spans: list[bytes]) -> tuple[bytes, int, int]:
