@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions.text import extract
+from loomwork.session import checkpointed
 
 SILENT = ("script", "style", "noscript", "svg")
 #: Longest text that is stored of a document.
@@ -91,7 +92,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, most_depth: int, most_pages: int =
     for depth in range(1, most_depth + 1):
         front = seen.where(F.col("depth") == depth - 1)
         found = front.join(links, "url").select(F.col("next").alias("url")).distinct().join(seen, "url", "left_anti")
-        seen = seen.unionByName(found.join(pages.select("url"), "url", "left_semi").withColumn("depth", F.lit(depth))).checkpoint()
+        seen = checkpointed(seen.unionByName(found.join(pages.select("url"), "url", "left_semi").withColumn("depth", F.lit(depth))))
     host = F.try_parse_url("url", F.lit("HOST"))
     return seen.withColumn("_n", F.row_number().over(Window.partitionBy(host).orderBy("depth", "url"))).where(F.col("_n") <= most_pages).drop("_n")
 
