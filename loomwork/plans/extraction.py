@@ -100,7 +100,7 @@ def partner_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names against type names by spelling, then by shared words."""
     left = _read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" (No. "), F.col("p_size").cast("string"), F.lit(")")).alias("name")).distinct()
-    right = _read(spark, sf_dir, "part").where("p_size <= 5").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    right = _read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
     right = right.select(F.concat(names.normalised(F.col("p_name")), F.when(F.col("ord") % 2 == 0, "").otherwise(" mark ii")).alias("key"), "ord", F.col("p_name").alias("label"))
     return names.matched(left, right).select("name", "label")
 
@@ -156,7 +156,7 @@ ORACLE_SQL = {
     "partner_extraction": """select cast(floor(p_partkey / 2) as bigint) as doc_id, 'Centre ' || p_partkey as name, 'centre-' || p_partkey as canonical_key, 'S' || p_size as state,
       cast('28.' || (p_partkey % 90 + 10) as double) as latitude, 77.5::double as longitude from part""",
     "name_matching": """with l as (select distinct p_name || ' (No. ' || p_size || ')' as name, lower(p_name) as n from part),
-      r as (select p_name as label, min(p_partkey) as ord, lower(p_name) as base from part where p_size <= 5 group by p_name),
+      r as (select p_name as label, min(p_partkey) as ord, lower(p_name) as base from part group by p_name),
       k as (select label, ord, base || case when ord % 2 = 0 then '' else ' mark ii' end as key from r),
       x as (select name, label from l join k on n = key),
       y as (select name, label, row_number() over (partition by name order by len(list_intersect(string_split(n, ' '), string_split(key, ' '))) desc, ord) as rn

@@ -79,6 +79,7 @@ def merged_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All customers, as two overlapping states: what only one of them has are inserts, and rows that the batch leaves out."""
     c = _read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     old = c.where(k % 5 != 0).select(k.alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.when(k % 2 == 0, "2024-12-31").alias("valid_to"))
@@ -130,7 +131,7 @@ def change_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("entity_id")
     rows = view(spark, sf_dir, views.CHANGES).withColumns({"entity_type": F.when(e % 2 == 0, "scheme").otherwise("partner"), "entity_key": F.when(e % 3 == 0, F.concat(F.lit("key-"), e.cast("string")))})
-    schemes = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).where("id < 60")
+    schemes = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("name"))
     partners = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return runs.entity_names(rows, schemes, partners).select("id", "entity_name")
 
@@ -228,9 +229,9 @@ ORACLE_SQL = {
     "sensitivity": f"""with {_CHANGES}, t as (select field_name, case field_name when 'description' then true when 'tenure' then false else field_name in ('interest_rate', 'max_loan') end as is_sensitive from ch)
       select field_name, is_sensitive, not is_sensitive as auto_approve, count(*) as n from t group by 1, 2, 3""",
     "change_groups": f"with {_CHANGES} select entity_id, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as ids from ch group by 1",
-    "change_names": f"""with {_CHANGES} select ch.id, coalesce(case when entity_id % 2 = 0 then p_name else s_name end, case when entity_id % 3 = 0 then 'key-' || entity_id end,
+    "change_names": f"""with {_CHANGES} select ch.id, coalesce(case when entity_id % 2 = 1 then s_name when entity_id % 4 <> 0 then p_name end, case when entity_id % 3 = 0 then 'key-' || entity_id end,
         case when entity_id % 2 = 0 then 'scheme' else 'partner' end || ' #' || entity_id) as entity_name
-      from ch left join (select * from part where p_partkey < 60) on p_partkey = entity_id left join supplier on s_suppkey = entity_id""",
+      from ch left join part on p_partkey = entity_id left join supplier on s_suppkey = entity_id""",
     "run_states": """with e as (select user_id as run_id, ts, event_id, (['queued', 'running', 'running', 'running', 'success', 'failed'])[event_id % 6 + 1] as event from events),
       f as (select *, event in ('success', 'failed') as ends from e)
       select run_id, coalesce(arg_min(event, (ts, event_id)) filter (where ends), arg_max(event, (ts, event_id))) as status from f group by 1""",
