@@ -216,20 +216,26 @@ class _Slices:
         self.held += 120
 
     def batch(self) -> pa.RecordBatch:
-        bucket, body = [b for b, _ in self.found], [s for _, s in self.found]
-        places = [np.array(w, np.int64).tobytes() for w in self.found.values()]
+        """One row for each bucket: its slices one after the other with their sizes, their places, and the later places."""
+        own: dict[int, list] = {}
+        for (bucket, body), places in self.found.items():
+            own.setdefault(bucket, []).append((body, places))
+        gone: dict[int, bytes] = {}
         if self.later:
             rows = np.array(self.later, np.int64).reshape(-1, 5)
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             to = bucket_of(mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(64 - SIX), self.n)
             order = np.argsort(to, kind="stable")
             to, rows = to[order], rows[order]
-            for a, z in zip(*runs(to), strict=True):
-                bucket.append(int(to[a]))
-                body.append(b"")
-                places.append(rows[a:z].tobytes())
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((bucket, body, places), kinds, strict=True)], ["bucket", "body", "places"])
+            gone = {int(to[a]): rows[a:z].tobytes() for a, z in zip(*runs(to), strict=True)}
+        out = []
+        for bucket in sorted({*own, *gone}):
+            slices_ = sorted(own.get(bucket, ()))
+            sizes = np.array([(len(s), len(w) // 2) for s, w in slices_], "<u4")
+            places = np.array([x for _, w in slices_ for x in w], np.int64)
+            out.append((bucket, b"".join(s for s, _ in slices_), sizes.tobytes(), places.tobytes(), gone.get(bucket, b"")))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "bodies", "sizes", "places", "gone"])
 
 
 def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int, again: bool) -> Callable:
@@ -277,13 +283,11 @@ def first_copies(base: DataFrame) -> DataFrame:
 
 
 def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text") -> DataFrame:
-    """texts(doc, t, text), first(first, t, k) -> (bucket, body, places), dealt by bucket.
+    """texts(doc, t, text), first(first, t, k) -> packed rows of slices and their places (see `Bucket`), dealt by bucket.
 
     carried: the column that is shuffled to meet the shared keys, the text or `rec`, a struct with a field text. A later join that
     carries the same columns by doc and t uses the same shuffle.
 
-    places: int64 pairs of doc, and k with the slice's first window. Rows with an empty body hold places of which all windows go:
-    int64 rows of such a pair, the number of windows, and the pair of an earlier place of the same slice.
     again: a later place in the same document counts as later, too.
     """
     text_batches(texts.sparkSession)
@@ -293,7 +297,7 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again:
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"), F.collect_list("hot").alias("hot"))
     wanted = first.select(F.col("first").alias("doc"), "t", "k").join(wanted, "t")
     found = texts.select("doc", "t", carried).join(wanted, ["doc", "t"]).mapInArrow(
-        _send_slices(cut, body, FINER * n, again), "bucket int, body binary, places binary"
+        _send_slices(cut, body, FINER * n, again), "bucket int, bodies binary, sizes binary, places binary, gone binary"
     )
     return found.repartitionById(FINER * n, "bucket")
 
@@ -308,19 +312,20 @@ class Bucket:
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
         number: dict[bytes, int] = {}
-        ids, places, gone = [], [], []
+        ids, many, places, gone = [], [], [], []
         for batch in batches:
-            for s, w in zip(batch["body"].to_pylist(), batch["places"].to_pylist(), strict=True):
-                if s:
-                    ids.append(number.setdefault(s, len(number)))
-                    places.append(w)
-                else:
-                    gone.append(w)
+            for data, sizes, own, later in zip(*(batch[c].to_pylist() for c in ("bodies", "sizes", "places", "gone")), strict=True):
+                size = np.frombuffer(sizes, "<u4").reshape(-1, 2)
+                cuts = [0, *np.cumsum(size[:, 0]).tolist()]
+                ids += [number.setdefault(data[a:z], len(number)) for a, z in zip(cuts, cuts[1:])]
+                many.append(size[:, 1])
+                places.append(own)
+                gone.append(later)
         low = (1 << PLACE) - 1
         g = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 5)
         self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & low, g[:, 2], g[:, 3], g[:, 4] & low])
         self.texts = list(number)
-        of = np.repeat(np.array(ids, np.int64), np.fromiter((len(w) // 16 for w in places), np.int64, len(places)))
+        of = np.repeat(np.array(ids, np.int64), np.concatenate(many) if many else 0)
         p = np.frombuffer(b"".join(places), np.int64).reshape(-1, 2)
         order = np.lexsort((p[:, 1] & low, p[:, 1] >> PLACE, p[:, 0], of))
         self.of, p = of[order], p[order]
