@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.llm.common import partitions, text_batches
+from loomwork.llm.common import partitions, text_batches, written
 
 #: Bytes that a task gathers before it sends them on; slice buckets to a key bucket, so that a task's windows stay small.
 FLUSH, FINER = 8 << 20, 4
@@ -277,9 +277,10 @@ def first_copies(base: DataFrame) -> DataFrame:
     """base(doc, key, t) -> key, t, first, the smallest document with that text, and k, a number for the text there.
 
     k is 0 but where rows of one doc_id have several texts; it goes where t, eight random bytes, would be carried along.
+    Written, as several joins meet it; and as the join by text then has no aggregate in its stage, very many copies can be split.
     """
     first = base.groupBy("key").agg(F.min("doc").alias("first"), F.min("t").alias("t"))
-    return first.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy("t", "key")).cast("long") - 1)
+    return written(first.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy("t", "key")).cast("long") - 1), "firsts")
 
 
 def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text") -> DataFrame:
