@@ -146,11 +146,11 @@ def merged_rules(stored: DataFrame, derived: DataFrame) -> DataFrame:
     return kept.unionByName(added).unionByName(derived.where("rule_type = 'purpose'"))
 
 
-def hard_checks() -> Column:
-    """array<boolean> of the hard rules between profile columns and scheme columns of one row; null elements say nothing is known.
+def hard_checks() -> tuple[Column, Column, Column]:
+    """How many hard rules a scheme states, and how many of them the profile of the same row passes and fails.
 
-    Rules that a scheme does not state are left out. Expects the columns of `derived_rules` with s_ before purpose,
-    and user_family and scheme_family, the purpose families that a join has already made equal where both are set.
+    Plain sums of conditions, so a pair costs no array and no interpreted lambda. Expects the columns of a scheme named in
+    `derived_rules` (categories in lower case), those of a profile, and user_family and scheme_family.
     """
     income, loan = F.col("annual_family_income"), F.col("loan_required")
     gender = F.lower(F.trim("gender"))
@@ -165,6 +165,5 @@ def hard_checks() -> Column:
         (F.col("scheme_family").isNotNull(), F.col("user_family") == F.col("scheme_family")),
         (~target.isin("any", "both", "all"), gender.isin(UNSAID_GENDERS) | (gender == target)),
     ]
-    return F.transform(
-        F.filter(F.array(*(F.when(w, F.struct(p.alias("passed"))) for w, p in checks)), lambda x: x.isNotNull()), lambda x: x.passed
-    )
+    total = lambda conditions: sum((F.when(c, 1).otherwise(0) for c in conditions), F.lit(0))
+    return total(w for w, _ in checks), total(w & p for w, p in checks), total(w & ~p for w, p in checks)

@@ -23,32 +23,30 @@ def _schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.col("age_days")
     return out.withColumns(
         {
-            "categories": F.split("categories", ","),
-            "activities": F.split("activities", ","),
+            "categories": F.split(F.lower("categories"), ","),
+            "activities": F.split(F.lower("activities"), ","),
+            "meant": purpose_family(F.coalesce(F.nullif("purpose", F.lit("")), F.col("scheme_type"), F.lit(""))),
             "freshness": F.when(days <= dates.FRESH_DAYS, "Fresh").when(days <= dates.AGING_DAYS, "Aging").otherwise("Stale"),
         }
     )
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    pairs = pairs.withColumn("checks", rules.hard_checks())
-    passed = F.size(F.filter("checks", lambda c: c))
-    failed = F.size(F.filter("checks", lambda c: ~c))
+    stated, passed, failed = rules.hard_checks()
     project = F.lower(F.coalesce("project_type", F.lit("")))
-    soft = F.col("activities").isNotNull() & (project != "") & ~F.exists("activities", lambda a: F.lower(a) == project)
+    soft = F.col("activities").isNotNull() & (project != "") & ~F.array_contains("activities", project)
     pairs = pairs.withColumns(
         {
             "eligible": failed == 0,
             "hard_fails": failed.cast("long"),
             "soft_fails": F.coalesce(soft, F.lit(False)).cast("long"),
-            "eligibility": F.when(F.size("checks") == 0, 50.0).otherwise(F.round(passed / F.size("checks") * 100, 2)),
+            "eligibility": F.when(stated == 0, 50.0).otherwise(F.round(passed / stated * 100, 2)),
         }
     )
-    # The score compares with the purpose column, or the type where it is missing.
-    meant = purpose_family(F.coalesce(F.nullif("purpose", F.lit("")), F.col("scheme_type"), F.lit("")))
     score = ranking.total_score(
         F.col("eligibility"),
-        ranking.purpose_score((F.col("user_family") == meant) & (meant != ""), F.col("project_type"), F.col("activities")),
+        # The score compares with the purpose column, or the type where it is missing.
+        ranking.purpose_score((F.col("user_family") == F.col("meant")) & (F.col("meant") != ""), F.col("project_type"), F.col("activities")),
         ranking.loan_score(F.col("loan_required"), F.col("min_loan"), F.col("max_loan")),
         ranking.cost_score(F.col("project_cost"), F.col("loan_percentage")),
         ranking.other_score(F.col("state"), F.col("freshness"), F.col("age_days"), F.col("gender"), F.col("target_gender")),
