@@ -164,8 +164,9 @@ def first_copies_cut(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> Dat
 def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = R.texts(docs, "doc_id", F.unhex(R.text_key()).alias("key")).withColumn("w", words(F.col("text")))
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
     base = written(
-        own.select("doc_id", "doc", "key", "t", F.size("w").cast("long").alias("n_words"), F.unhex(F.sha2(F.array_join("w", " "), 256)).alias("sha")), "texts"
+        own.select("doc_id", "doc", "key", "t", n_bytes, F.size("w").cast("long").alias("n_words"), F.unhex(F.sha2(F.array_join("w", " "), 256)).alias("sha")), "texts"
     )
     first = R.first_copies(base)
     done = first_copies_cut(docs, first).select("doc", "t", "n_removed", F.sha2("rest", 256).alias("kept")).distinct()

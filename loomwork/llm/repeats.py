@@ -11,8 +11,9 @@ equal keys, and neighbouring windows mostly share one, so a text has far fewer k
    slices in one bucket, so its windows are sent one by one, each to the bucket of its own hash.
 3. The operator compares the windows of each bucket exactly and returns runs of windows to remove.
 
-All later copies of a text start in its first copy, so they need none of this. Buckets follow
-spark.sql.shuffle.partitions, so a task holds a bounded share of keys or slices if that setting follows the data.
+All later copies of a text start in its first copy, so they need none of this; a task sends the keys of equal texts once as long
+as it remembers them (`SEEN`). There are spark.sql.shuffle.partitions buckets, and more where they would hold over
+`BUCKET_BYTES` of distinct text (up to `MOST_BUCKETS`), so a task holds a bounded share of keys or slices.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from loomwork.llm.common import partitions, text_batches, written
 
 #: Bytes that a task gathers before it sends them on; slice buckets to a key bucket, so that a task's windows stay small.
 FLUSH, FINER = 8 << 20, 4
+#: Distinct text to a key bucket; the number of buckets that a shuffle bears.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
+#: Texts that a task remembers having sent the keys of.
+SEEN = 1 << 17
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIX = 48
 #: Texts of a key above which its windows are spread by themselves.
@@ -134,8 +139,14 @@ def _send_keys(cut: Cut, n: int) -> Callable:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vals, of, ts, held = [], [], [], 0
+        seen: set[int] = set()
         for batch in batches:
             for t, text in zip(batch["t"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if t in seen:
+                    continue
+                if len(seen) == SEEN:
+                    seen.clear()
+                seen.add(t)
                 keys, again = cut((text or "").encode("utf-8", "replace"))
                 if not len(keys):
                     continue
@@ -274,17 +285,22 @@ def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
 
 
 def first_copies(base: DataFrame) -> DataFrame:
-    """base(doc, key, t) -> key, t, first, the smallest document with that text, and k, a number for the text there.
+    """base(doc, key, t, n_bytes) -> key, t, n_bytes, first, the smallest document with that text, and k, a number for the text there.
 
     k is 0 but where rows of one doc_id have several texts; it goes where t, eight random bytes, would be carried along.
     Written, as several joins meet it; and as the join by text then has no aggregate in its stage, very many copies can be split.
     """
-    first = base.groupBy("key").agg(F.min("doc").alias("first"), F.min("t").alias("t"))
+    first = base.groupBy("key").agg(F.min("doc").alias("first"), F.min("t").alias("t"), F.min("n_bytes").alias("n_bytes"))
     return written(first.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy("t", "key")).cast("long") - 1), "firsts")
 
 
+def buckets(first: DataFrame) -> int:
+    total = first.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    return max(partitions(first.sparkSession), min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
+
+
 def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text") -> DataFrame:
-    """texts(doc, t, text), first(first, t, k) -> packed rows of slices and their places (see `Bucket`), dealt by bucket.
+    """texts(doc, t, text), first(first, t, k, n_bytes) -> packed rows of slices and their places (see `Bucket`), dealt by bucket.
 
     carried: the column that is shuffled to meet the shared keys, the text or `rec`, a struct with a field text. A later join that
     carries the same columns by doc and t uses the same shuffle.
@@ -292,7 +308,7 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again:
     again: a later place in the same document counts as later, too.
     """
     text_batches(texts.sparkSession)
-    n = partitions(texts.sparkSession)
+    n = buckets(first)
     keys = texts.select("t", "text").mapInArrow(_send_keys(cut, n), "bucket int, vals binary, ts binary, counts binary")
     shared = keys.repartitionById(n, "bucket").mapInArrow(_shared_keys(hot), "t long, vals binary, hot binary")
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"), F.collect_list("hot").alias("hot"))

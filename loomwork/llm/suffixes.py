@@ -256,7 +256,7 @@ def cut_repeats(docs: DataFrame, hot: int = R.HOT) -> DataFrame:
     """
     columns = docs.columns
     texts = R.texts(docs, F.struct(*columns).alias("rec"))
-    first = R.first_copies(written(texts.select("doc", F.unhex(F.md5("text")).alias("key"), "t"), "texts"))
+    first = R.first_copies(written(texts.select("doc", F.unhex(F.md5("text")).alias("key"), "t", F.octet_length("text").cast("long").alias("n_bytes")), "texts"))
     spans = removed_spans(texts, first, hot, "rec")
     # One small row for each first copy; documents meet it once, and later copies meet none.
     known = first.select(F.col("first").alias("doc"), "t", F.lit(True).alias("kept")).join(spans, ["doc", "t"], "left")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,10 +119,29 @@ def test_pipeline_stage_cuts_text_and_keeps_columns(spark):
 @pytest.mark.parametrize("hot", [0, 3])
 def test_hot_keys_change_no_result(spark, hot):
     d = documents(spark)
-    base = R.texts(d, F.unhex(R.text_key()).alias("key")).select("doc", "key", "t")
+    base = R.texts(d, F.unhex(R.text_key()).alias("key")).select("doc", "key", "t", F.octet_length("text").cast("long").alias("n_bytes"))
     first = R.first_copies(base)
     a, b = (suffixes.removed_spans(R.texts(d), first, h).select("doc", "t", "spans").collect() for h in (hot, R.HOT))
     spans = lambda rows_: {(r.doc, r.t): [x.tolist() for x in R.joined_spans(r.spans)] for r in rows_}
     assert spans(a) == spans(b) != {}
     a, b = ({(r.doc, r.t): (r.n_removed, r.rest) for r in debruijn.first_copies_cut(d, first, h).collect()} for h in (hot, R.HOT))
     assert a == b != {}
+
+
+def test_more_text_gets_more_buckets_and_the_same_result(spark, tmp_path, monkeypatch):
+    values = rows()
+    d = saved(spark, tmp_path, documents=documents(spark, values))
+    monkeypatch.setattr(R, "BUCKET_BYTES", 4_000)
+    monkeypatch.setattr(R, "MOST_BUCKETS", 23)
+    sizes = spark.createDataFrame([(50_000,), (60_000,)], "n_bytes long")
+    assert R.buckets(sizes) == 23 and R.buckets(sizes.where("n_bytes < 0")) == R.partitions(spark)
+    got = suffixes.op6_suffixes(spark, d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_bytes(values)
+
+
+def test_a_task_sends_the_keys_of_equal_texts_once():
+    text = " ".join(f"word{i}" for i in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array([8, 8, 10, 8], pa.int64()), pa.array([text, text, text + " more", text])], ["t", "text"])
+    out = [t for b in R._send_keys(suffixes.cut, 3)(iter([batch, batch])) for c in b["ts"].to_pylist() for t in np.frombuffer(c, np.int64).tolist()]
+    counts = Counter(out)
+    assert set(counts) == {8, 10} and max(counts.values()) <= 3  # once in each of the three buckets
