@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.llm import neardup
 from loomwork.llm.common import partitions, table, text_batches, written
 from loomwork.llm.components import stars
 
@@ -165,12 +166,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of every component, the document with the smallest doc_id stays."""
-    columns = docs.columns
-    prints = written(fingerprints(docs), "prints")
-    keep = components(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*columns)
-    ids = prints.groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if ids.take(1) else kept
-
-
+    """The pipeline's stage, by whole similarity instead of this module's three bits: see `neardup`."""
+    return neardup.one_of_each(docs)
