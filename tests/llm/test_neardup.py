@@ -64,3 +64,10 @@ def test_large_groups_are_joined_in_linear_pairs(spark):
 
 def test_empty_table(spark):
     assert neardup.one_of_each(documents(spark, []).coalesce(1)).count() == 0
+
+
+def test_one_doc_id_or_null_over_several_texts_loses_no_component(spark):
+    values = [(v if v else None, f"{w} text of its own with some more words", "en", "s", 1) for v, w in [(0, "one"), (0, "two"), (7, "three"), (7, "four"), (0, "two")]]
+    values.append((9, "one TEXT of its own with  some more words", "en", "s", 1))
+    got = neardup.one_of_each(documents(spark, values)).collect()
+    assert sorted((r.doc_id or 0, r.text.split()[0]) for r in got) == [(0, "two"), (7, "four"), (7, "three"), (9, "one")]
