@@ -100,6 +100,11 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _lettered(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield pd.Series([t is not None and has_letter(t) for t in part], dtype=bool)
+
+
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     """From rows (text, lang) with both set: the per_lang texts of each language with the smallest hashes."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"), "text")
@@ -151,9 +156,15 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents without a language go, and ambiguous ones of which no language holds half the weight."""
+    """The pipeline's stage: documents without a language go, and ambiguous ones of which no language holds half the weight.
+
+    Where no row has a lang to learn from, nothing is known of languages: only documents without a letter go.
+    """
     model = train(docs.select("text", "lang"))
     columns = docs.columns
+    if model is None:
+        text_batches(docs.sparkSession)
+        return docs.where(F.pandas_udf(_lettered, "boolean")("text"))
     return identify(docs, model).where((F.col(LANG) != "und") & ~(F.col(UNSURE) & (F.col(SCORE) < 0.5))).select(*columns)
 
 
