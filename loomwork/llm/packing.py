@@ -2,10 +2,12 @@
 
 Pieces of one length are interchangeable, so an instance is its histogram: at most `LENGTH` counts, whatever the input. A solution
 is a set of groups: patterns (lengths that share a sequence) with how many sequences have them. The algorithm (Falkenauer, 1996)
-works on groups: a crossover injects whole well-filled sequences of one parent into the other, sequences that held
-the same pieces are taken apart, and the pieces that this displaces are put back by best fit, largest first. Each island is a row
-of a DataFrame that evolves its own population in a task; after each epoch the states are written and every island's elite
-migrates to the next by a join. A bound (Martello and Toth's L2) ends the search when nothing can be gained.
+works on groups: a crossover injects whole well-filled sequences of one parent into the other, sequences that held the same pieces,
+and those that are badly filled, are taken apart, and the pieces that this displaces are put back by best fit, largest first.
+Each island is a row of a DataFrame that evolves its own population in a task, from best fit over the lengths in random orders; after each
+epoch the states are written and every island's elite migrates to the next by a join. A bound (Martello and Toth's L2) ends the search
+after an epoch when nothing can be gained any more. Should the islands end behind plain best-fit-decreasing, that packing
+joins all of them as a guest for a last epoch, so the result is never worse. `Report` says what happened.
 
 Texts are tokenized once, in the tasks that read them; each task numbers its pieces of every length, the counts of all tasks
 give the numbers offsets, and the plan says which numbers of a length go to which sequence. No piece is shuffled for packing but
@@ -20,8 +22,10 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -36,13 +40,26 @@ from loomwork.llm.common import table, text_batches, written
 
 LENGTH = 2048
 END = 0
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 3, 8, 20
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 4, 8, 4
+#: Room up to which a sequence counts as well filled.
+SLACK = 2
 SPECIAL = "<|endoftext|>"
 
 Pattern = tuple[int, ...]
 Groups = dict[Pattern, int]
 
 
+@dataclass(frozen=True)
+class Report:
+    """Numbers of sequences: best-fit-decreasing, the lower bound, and what the islands found; crossovers and epochs that ran."""
+
+    best_fit: int
+    bound: int
+    found: int
+    crossovers: int
+    epochs: int
+
+
 @cache
 def _encoders(vocabulary: str | None):
     """The tokenizer file's encoder, and a faster one over the same vocabulary for texts without its special token."""
@@ -180,9 +197,9 @@ def least_sequences(counts: np.ndarray) -> int:
 
 
 def crossover(one: Groups, two: Groups, rng: np.random.Generator) -> Groups:
-    """Well-filled sequences of `two` go whole into `one`; what they displace is put back by best fit."""
-    full = [p for p in two if sum(p) >= LENGTH - 2]
-    chosen = [p for p, x in zip(full, rng.random(len(full)), strict=True) if x < 0.25]
+    """Well-filled sequences of `two` go whole into `one`; what they displace, and what was badly filled, is put back by best fit."""
+    full = [p for p in two if sum(p) >= LENGTH - SLACK]
+    chosen = [p for p, x in zip(full, rng.random(len(full)), strict=True) if x < 0.5]
     child = dict(one)
     owed = np.zeros(LENGTH + 1, np.int64)
     injected: Groups = {}
@@ -193,20 +210,16 @@ def crossover(one: Groups, two: Groups, rng: np.random.Generator) -> Groups:
             for x in p:
                 owed[x] += n
     loose = np.zeros(LENGTH + 1, np.int64)
-    holders = sorted(child, key=lambda p: (sum(p), p))  # the emptiest are taken apart first
-    for p in holders:
-        want = max((int(owed[x]) for x in p), default=0)
-        n = min(child[p], want)
+    for p in sorted(child, key=lambda p: (sum(p), p)):  # the emptiest first
+        n = child[p] if sum(p) < LENGTH - SLACK else min(child[p], max((int(owed[x]) for x in p), default=0))
         if n:
             child[p] -= n
             if not child[p]:
                 del child[p]
             for x in p:
-                paid = min(n, int(owed[x]))
+                paid = min(n, int(owed[x]))  # the injected sequences have these already
                 owed[x] -= paid
                 loose[x] += n - paid
-        if not owed.any():
-            break
     child = best_fit_decreasing(loose, child)
     for p, n in injected.items():
         child[p] = child.get(p, 0) + n
@@ -230,16 +243,34 @@ def mutation(groups: Groups, rng: np.random.Generator) -> Groups:
     return rooms.groups()
 
 
-def evolve(population: list[Groups], bound: int, rng: np.random.Generator, generations: int = GENERATIONS) -> list[Groups]:
-    """The population after some generations, best first. The best is never lost."""
-    population = sorted(population, key=fitness)
+def random_fit(counts: np.ndarray, rng: np.random.Generator) -> Groups:
+    """Best fit over the lengths in a random order."""
+    rooms, lengths = Rooms(), np.flatnonzero(counts)
+    rng.shuffle(lengths)
+    for x in lengths.tolist():
+        rooms.best_fit(x, int(counts[x]))
+    return rooms.groups()
+
+
+def evolve(population: list[Groups], bound: int, rng: np.random.Generator, generations: int = GENERATIONS) -> tuple[list[Groups], int]:
+    """The population after some generations, one at least, best first, and how many crossovers made it. The best is never lost."""
+    population, crossovers = sorted(population, key=fitness), 0
     for _ in range(generations):
+        pairs = [sorted(rng.choice(len(population), 2, replace=False)) if len(population) > 1 else (0, 0) for _ in population]
+        young = []
+        for k, (a, b) in enumerate(pairs):
+            child = crossover(population[a], population[b], rng) if k % 2 else crossover(population[b], population[a], rng)
+            crossovers += 1
+            young.append(mutation(child, rng) if rng.random() < 0.2 else child)
+        known, ranked = set(), []
+        for groups in sorted([*population, *young], key=fitness):
+            if (f := fitness(groups)) not in known:  # copies of one solution would crowd the others out
+                known.add(f)
+                ranked.append(groups)
+        population = ranked[: max(2, len(population))]
         if size(population[0]) <= bound:
             break
-        parents = [population[min(rng.integers(0, len(population), 2))] for _ in range(2 * len(population))]
-        young = [crossover(a, b, rng) if a is not b else mutation(a, rng) for a, b in zip(parents[::2], parents[1::2], strict=True)]
-        population = sorted([*population, *young], key=fitness)[: max(2, len(population))]
-    return population
+    return population, crossovers
 
 
 def _stored(population: list[Groups]) -> str:
@@ -250,35 +281,47 @@ def _loaded(text: str) -> list[Groups]:
     return [{tuple(p): n for p, n in g} for g in json.loads(text)]
 
 
-def plan(spark: SparkSession, counts: np.ndarray, islands: int = ISLANDS, epochs: int = EPOCHS) -> Groups:
-    """The best groups that the islands find for counts[length] pieces of each length below LENGTH."""
+def evolved(spark: SparkSession, counts: np.ndarray, islands: int = ISLANDS, epochs: int = EPOCHS) -> tuple[Groups, Report]:
+    """The best groups that the islands find for counts[length] pieces of each length below LENGTH, and how they came about."""
     start, bound = best_fit_decreasing(counts), least_sequences(counts)
-    if size(start) <= bound:
-        return start
+    if not start:
+        return start, Report(0, bound, 0, 0, 0)
 
     def epoch(k: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 for island, state, guest in part[["island", "state", "guest"]].itertuples(index=False):
                     rng = np.random.default_rng([k, island])
-                    if state:
-                        population = _loaded(state) + (_loaded(guest) if guest else [])
-                    else:
-                        population = [start, *(mutation(start, rng) for _ in range(POPULATION - 1))]
-                    population = evolve(population, bound, rng)[:POPULATION]
-                    yield pd.DataFrame({"island": [island], "state": [_stored(population)], "elite": [_stored(population[:1])], "size": [size(population[0])]})
+                    population = _loaded(state) if state else [random_fit(counts, rng) for _ in range(POPULATION)]
+                    population, n = evolve(population + (_loaded(guest) if guest else []), bound, rng)
+                    best = population[:POPULATION]
+                    yield pd.DataFrame({"island": [island], "state": [_stored(best)], "elite": [_stored(best[:1])], "size": [size(best[0])], "fill": [fitness(best[0])[1]], "crossovers": [n]})
 
         return run
 
     state = spark.range(islands).select(F.col("id").alias("island"), F.lit("").alias("state"), F.lit("").alias("guest"))
-    for k in range(epochs):
+    crossovers = k = 0
+    while True:
         # repartitionById: each island is a task of its own
-        evolved = written(state.repartitionById(islands, F.col("island").cast("int")).mapInPandas(epoch(k), "island long, state string, elite string, size long"), "islands")
-        guests = evolved.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
-        state = evolved.select("island", "state").join(guests, "island")
-        if evolved.agg(F.min("size")).first()[0] <= bound:
+        own = written(
+            state.repartitionById(islands, F.col("island").cast("int")).mapInPandas(epoch(k), "island long, state string, elite string, size long, fill double, crossovers long"), "islands"
+        )
+        least, ran = own.agg(F.min("size"), F.sum("crossovers")).first()
+        crossovers, k = crossovers + ran, k + 1
+        if least <= bound or k > epochs or k == epochs and least <= size(start):
             break
-    return _loaded(evolved.orderBy("size", "island").select("elite").first()[0])[0]
+        guests = own.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
+        state = own.select("island", "state").join(guests, "island")
+        if k == epochs:
+            state = state.withColumn("guest", F.lit(_stored([start])))
+    best = _loaded(own.orderBy("size", "fill", "island").select("elite").first()[0])[0]
+    report = Report(size(start), bound, size(best), crossovers, k)
+    logging.getLogger(__name__).info("packing: %s", report)
+    return best, report
+
+
+def plan(spark: SparkSession, counts: np.ndarray, islands: int = ISLANDS, epochs: int = EPOCHS) -> Groups:
+    return evolved(spark, counts, islands, epochs)[0]
 
 
 class Places:

@@ -304,7 +304,8 @@ def test_groups_keep_every_piece():
             rooms.remove(min(fit))
         rooms.append((min(fit) if fit else 2048) - x)
     assert packing.size(best) == len(rooms) >= packing.least_sequences(counts)
-    population = packing.evolve([best, *(packing.mutation(best, rng) for _ in range(3))], 0, rng, 3)
+    population, crossovers = packing.evolve([best, *(packing.mutation(best, rng) for _ in range(3))], 0, rng, 3)
+    assert crossovers >= 3
     for groups in population:
         held = np.zeros(2049, int)
         for p, n in groups.items():
@@ -317,7 +318,26 @@ def test_groups_keep_every_piece():
 
 def test_islands_migrate(spark):
     counts = np.bincount(np.random.default_rng(6).integers(300, 1500, 400), minlength=2049)
-    groups = packing.plan(spark, counts, islands=2, epochs=2)
-    assert packing.least_sequences(counts) <= packing.size(groups) <= packing.size(packing.best_fit_decreasing(counts))
+    groups, report = packing.evolved(spark, counts, islands=2, epochs=2)
+    assert report.bound <= packing.size(groups) == report.found <= report.best_fit == packing.size(packing.best_fit_decreasing(counts))
+    held = sum(np.bincount(p, minlength=2049) * n for p, n in groups.items())
+    assert (held == counts).all() and report.crossovers > 0
+    assert packing.evolved(spark, np.zeros(2049, np.int64))[0] == {}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_crossovers_make_the_plan(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    counts = np.zeros(2049, np.int64)
+    for x, n in packing.pieces(docs).groupBy("length").count().collect():
+        counts[x] = n * (x < 2048)
+    _, report = packing.evolved(spark, counts)
+    assert report.crossovers > 0 and report.bound <= report.found <= report.best_fit
+
+
+def test_guests_from_best_fit_keep_the_result_from_falling_behind(spark):
+    counts = np.bincount(np.random.default_rng(7).integers(20, 900, 3000), minlength=2049)
+    _, report = packing.evolved(spark, counts, islands=2, epochs=1)
+    assert report.found <= report.best_fit and report.epochs <= 2
 
 
