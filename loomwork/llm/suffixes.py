@@ -1,10 +1,10 @@
 """Suffix-array dedup: bytes of strings of `LENGTH` bytes that also start in an earlier document are removed.
 
 The windows that may repeat (see `repeats`) are the suffixes of each bucket's slices, read up to LENGTH bytes. They are
-ordered by deep-shallow sorting: a multikey quicksort, whose characters are eight bytes, orders them to a shallow depth and lets
-go of every suffix that stands alone; groups that still agree there are ordered by blind tries, each of which holds only
-the places where its suffixes first differ. Neighbours in that order that agree over LENGTH bytes are one string; the smallest
-document that has it keeps it.
+ordered by deep-shallow sorting: a multikey quicksort, whose characters are eight bytes, orders them to a shallow depth of 16 bytes and
+lets go of every suffix that stands alone; groups that still agree there are ordered by blind tries, whose nodes hold only
+the places where their suffixes first differ. The leaves of the tries are the strings that agree over LENGTH bytes; the smallest
+document that has one keeps it.
 
 Defined cases: null is an empty text; texts shorter than LENGTH bytes are left alone; of documents with equal texts the one
 with the smallest doc_id keeps its bytes, and rows that repeat a doc_id are not earlier than each other; a null doc_id comes before
@@ -28,7 +28,7 @@ from loomwork.llm.common import table, text_batches, written
 
 LENGTH = 50
 INNER = 20
-SHALLOW = 6  # characters of eight bytes
+SHALLOW = 2  # characters of eight bytes
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -72,72 +72,60 @@ def multikey(chars: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray,
     return order, group
 
 
-class BlindTrie:
-    """A Patricia trie over strings of one length: leaves [string, None], inner nodes [None, (place, children by byte)].
+def _first_difference(chars: np.ndarray, at: np.ndarray, head: np.ndarray, length: int) -> np.ndarray:
+    """The byte at which the strings at `at` first differ from those at `head`; length if they agree that far."""
+    out = np.full(len(at), length, np.int16)
+    left = np.arange(len(at))
+    for c in range(-(-length // 8)):
+        x = chars[at[left] + 8 * c] ^ chars[head[left] + 8 * c]
+        if length < 8 * (c + 1):
+            x &= ~np.uint64(0) << np.uint64(8 * (8 * (c + 1) - length))
+        apart = x != 0
+        x = x[apart]
+        byte = sum((x >> np.uint64(8 * i) == 0).astype(np.int16) for i in range(1, 8))
+        out[left[apart]] = 8 * c + byte
+        left = left[~apart]
+        if not len(left):
+            break
+    return out
 
-    Inner nodes know only the place where their strings first differ; what lies between is never looked at twice.
-    """
 
-    def __init__(self, text: bytes):
-        self.root: list = [text, None]
-
-    def insert(self, text: bytes) -> None:
-        node = self.root
-        while node[1]:  # blindly down to some leaf
-            place, children = node[1]
-            node = children.get(text[place]) or next(iter(children.values()))
-        if node[0] == text:
-            return
-        differ = next(i for i, (a, b) in enumerate(zip(text, node[0], strict=True)) if a != b)
-        byte, node = node[0][differ], self.root
-        while node[1] and node[1][0] < differ:
-            node = node[1][1][text[node[1][0]]]
-        if node[1] and node[1][0] == differ:
-            node[1][1][text[differ]] = [text, None]
-        else:
-            node[:] = [None, (differ, {byte: [*node], text[differ]: [text, None]})]
-
-    def ordered(self) -> Iterator[bytes]:
-        todo = [self.root]
-        while todo:
-            text, inner = todo.pop()
-            if inner:
-                todo += [inner[1][k] for k in sorted(inner[1], reverse=True)]
-            else:
-                yield text
-
-
-def blind_order(tails: list[bytes]) -> list[list[int]]:
-    """Indices of the tails in lexical order, equal tails together."""
-    members: dict[bytes, list[int]] = {}
-    for i, t in enumerate(tails):
-        members.setdefault(t, []).append(i)
-    trie = BlindTrie(tails[0])
-    for t in members:
-        trie.insert(t)
-    return [members[t] for t in trie.ordered()]
+def blind_tries(buffer: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orders strings of `length` bytes within ascending groups, by one blind trie a group: (order, leaf), strings alone dropped.
+
+    A node of a trie knows only the place where its strings first differ, and branches on the byte there; a node whose strings differ
+    nowhere is a leaf, and its strings are equal. All tries grow at once, one level of branches a round.
+    """
+    chars = characters(buffer)
+    order, leaf, keep = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), np.bool_)
+    slots, node = order.copy(), group
+    while len(slots):
+        own = order[slots]
+        starts, ends = R.runs(node)
+        size = ends - starts
+        place = np.minimum.reduceat(_first_difference(chars, at[own], np.repeat(at[own[starts]], size), length), starts)
+        ended = np.repeat(place == length, size)
+        leaf[slots[ended]] = np.repeat(slots[starts], size)[ended]
+        slots, own, node = slots[~ended], own[~ended], node[~ended]
+        byte = buffer[at[own] + np.repeat(place, size)[~ended]]
+        step = np.lexsort((byte, node))
+        own, node, byte = own[step], node[step], byte[step]
+        order[slots] = own
+        fresh = np.append(True, (node[1:] != node[:-1]) | (byte[1:] != byte[:-1]))[: len(node)]
+        alone = fresh & np.append(fresh[1:], True)[: len(node)]
+        keep[slots[alone]] = False
+        leaf[slots[alone]] = slots[alone]
+        slots, node = slots[~alone], np.cumsum(fresh)[~alone]
+    return order[keep], leaf[keep]
 
 
 def equal_strings(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that agree over LENGTH bytes with another, by deep-shallow sorting: (indices of at, group). Eight bytes follow the last."""
-    chars = characters(buffer)
-    order, group = multikey(chars, at, SHALLOW)
+    """Suffixes that agree over LENGTH bytes with another, by deep-shallow sorting: (indices of at, in order; group). Eight bytes follow the last."""
+    order, group = multikey(characters(buffer), at, SHALLOW)
     if not len(order):
         return order, group
-    rest = LENGTH - 8 * SHALLOW
-    tail = chars[at[order] + 8 * SHALLOW] >> np.uint64(64 - 8 * rest)
-    starts, ends = R.runs(group)
-    mixed = np.minimum.reduceat(tail, starts) != np.maximum.reduceat(tail, starts)
-    label, fresh = group.copy(), int(group[-1]) + 1
-    keep = np.ones(len(order), np.bool_)
-    for a, z in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-        tails = [buffer[p : p + rest].tobytes() for p in (at[order[a:z]] + 8 * SHALLOW).tolist()]
-        for members in blind_order(tails):
-            where = np.array(members) + a
-            label[where] = fresh
-            keep[where] = len(members) > 1
-            fresh += 1
-    return order[keep], label[keep]
+    deep, leaf = blind_tries(buffer, at[order] + 8 * SHALLOW, group, LENGTH - 8 * SHALLOW)
+    return order[deep], leaf
 
 
 def _runs_to_remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

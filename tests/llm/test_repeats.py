@@ -88,12 +88,25 @@ def test_deep_shallow_sort_groups_equal_strings():
     assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
-def test_blind_trie_orders_like_sorting():
-    rng = random.Random(4)
-    tails = [bytes(rng.choice(b"abc") for _ in range(6)) for _ in range(300)]
-    got = suffixes.blind_order(tails)
-    assert [tails[m[0]] for m in got] == sorted(set(tails))
-    assert all(tails[i] == tails[m[0]] for m in got for i in m) and sum(map(len, got)) == 300
+@pytest.mark.parametrize("length", [2, 6, 8, 13])
+def test_blind_tries_order_like_sorting(length):
+    rng = random.Random(length)
+    tails = [bytes(rng.choice(b"abc") for _ in range(length)) for _ in range(300)] + [b"a" * length] * 3
+    group = np.sort(np.array([rng.randrange(4) for _ in tails]))
+    buffer = np.frombuffer(b"".join(tails) + bytes(8), np.uint8)
+    order_, leaf = suffixes.blind_tries(buffer, np.arange(len(tails)) * length, group, length)
+    keys = [(int(group[i]), tails[i]) for i in order_.tolist()]
+    many = Counter((int(g), t) for g, t in zip(group, tails, strict=True))
+    assert keys == sorted(k for k, n in many.items() for _ in range(n) if n > 1)
+    assert [a == b for a, b in zip(keys, keys[1:])] == (leaf[1:] == leaf[:-1]).tolist()
+
+
+def test_equal_strings_come_in_lexical_order():
+    rng = random.Random(6)
+    text = bytes(rng.choice(b"ab") for _ in range(80)) * 4 + b"#" + bytes(rng.choice(b"ab") for _ in range(80)) * 3
+    order_, _ = suffixes.equal_strings(np.frombuffer(text + bytes(8), np.uint8), np.arange(len(text) - 49))
+    found = [text[i : i + 50] for i in order_.tolist()]
+    assert found and found == sorted(found)
 
 
 def test_windows_share_their_keys():
