@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 #: The six ASCII blanks of `[^\x20\x09-\x0D]+`, as a Java character class.
 BLANKS = r"[ \t\n\x0B\f\r]+"
-DEFAULT_CHECKPOINTS = "/tmp/checkpoints"
+#: Stands in for spark.checkpoint.dir where that is unset and everything runs on one machine (tests).
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of an Arrow batch, so that a Python worker's memory follows neither the table nor its longest texts; one text is never split.
+BATCH_BYTES = 16 << 20
+#: Rows up to which a side of a join is broadcast, by count; such rows are a few numbers each.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a default only where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local master, one machine, may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext.getCheckpointDir():
         found = spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
-    return found or DEFAULT_CHECKPOINTS
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or LOCAL_CHECKPOINTS
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,12 +57,25 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Whole texts go to Python in small Arrow batches, so a worker's memory doesn't follow the table.
+    """Whole texts go to Python in small Arrow batches, bounded by rows and by bytes.
 
     Spark reads these settings when a plan is made ready to run, so they stay set for the session.
     """
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it is small by count; else the join may shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that clashes with none of these."""
+    taken = {c.lower() for c in columns}
+    return next(x for i in range(len(taken) + 1) if (x := f"_{name}{i or ''}") not in taken)
 
 
 def words(text: Column) -> Column:

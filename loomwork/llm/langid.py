@@ -11,7 +11,7 @@ hashes of their text, so the same rows give the same model wherever they lie. Pr
 Defined cases: a null text or one without any letter is `und` with score 0 and not ambiguous; rows with a null lang are never
 learned from but are predicted; empty tables give no rows; a table without learnable rows gives `und` throughout;
 repeated rows are predicted alike; other columns pass through untouched, unless they clash with the new names, in which
-case the new ones replace them.
+case the new ones replace them. `accepted`, the pipeline's stage, adds no columns and so leaves all as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomwork.llm import ngrams
-from loomwork.llm.common import table, text_batches
+from loomwork.llm.common import table, text_batches, unused
 
 SAMPLE_PER_LANG = 400
 SIZES, BITS = (1, 2, 3), 12
@@ -120,29 +120,34 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     return fit([r[2].encode() for r in found], [r[0] for r in found])
 
 
+def guesses(model: Model | None, texts: pd.Series) -> pd.DataFrame:
+    """Language, score and ambiguity of each text."""
+    out = pd.DataFrame({LANG: "und", SCORE: 0.0, UNSURE: False}, index=range(len(texts)))
+    real = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
+    for at in range(0, len(real) if model else 0, 256):
+        rows = real[at : at + 256]
+        counted = ngrams.counts([texts.iloc[i].encode("utf-8", "replace") for i in rows], SIZES, BITS, lower=True)
+        best, score, unsure = model.decode(counted)
+        out.loc[rows, LANG] = [model.langs[k] for k in best]
+        out.loc[rows, SCORE] = score.astype(float)
+        out.loc[rows, UNSURE] = unsure
+    return out
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and lang_ambiguous; reads nothing but the text."""
     text_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = share.value
         for part in parts:
-            out = pd.DataFrame({LANG: "und", SCORE: 0.0, UNSURE: False}, index=range(len(part)))
-            real = [i for i, t in enumerate(part) if t is not None and has_letter(t)]
-            for at in range(0, len(real) if model else 0, 256):
-                rows = real[at : at + 256]
-                counted = ngrams.counts([part.iloc[i].encode("utf-8", "replace") for i in rows], SIZES, BITS, lower=True)
-                best, score, unsure = model.decode(counted)
-                out.loc[rows, LANG] = [model.langs[k] for k in best]
-                out.loc[rows, SCORE] = score.astype(float)
-                out.loc[rows, UNSURE] = unsure
-            yield out
+            yield guesses(share.value, part)
 
     kind = T.StructType([T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType()), T.StructField(UNSURE, T.BooleanType())])
     guessed = F.pandas_udf(guess, kind)
     kept = [c for c in docs.columns if c not in (LANG, SCORE, UNSURE)]
-    return docs.select(*kept, guessed("text").alias("_lang")).select(*kept, "_lang.*")
+    own = unused("guess", docs.columns)
+    return docs.select(*kept, guessed("text").alias(own)).select(*kept, f"{own}.*")
 
 
 def held_out() -> Column:
@@ -161,10 +166,14 @@ def accepted(docs: DataFrame) -> DataFrame:
     Where no row has a lang to learn from, nothing is known of languages: only documents without a letter go.
     """
     model = train(docs.select("text", "lang"))
-    columns = docs.columns
+    text_batches(docs.sparkSession)
     if model is None:
-        text_batches(docs.sparkSession)
         return docs.where(F.pandas_udf(_lettered, "boolean")("text"))
-    return identify(docs, model).where((F.col(LANG) != "und") & ~(F.col(UNSURE) & (F.col(SCORE) < 0.5))).select(*columns)
+    share = docs.sparkSession.sparkContext.broadcast(model)
 
+    def stays(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            own = guesses(share.value, part)
+            yield (own[LANG] != "und") & ~(own[UNSURE] & (own[SCORE] < 0.5))
 
+    return docs.where(F.pandas_udf(stays, "boolean")("text"))

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from loomwork.llm import neardup, simhash
 from tests.llm.data import documents, rows
 
@@ -59,7 +61,41 @@ def test_large_groups_are_joined_in_linear_pairs(spark):
     values = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(near + far)]
     assert sorted(r.doc_id for r in neardup.one_of_each(documents(spark, values)).collect()) == [0, *range(300, 600)]
     sets = neardup.described(documents(spark, values)).select("rid", "n", "fp", "keys").cache()
-    assert neardup.candidates(sets, sets).count() < 600 * 64
+    assert neardup.candidates(sets, sets).where("b is not null").count() < 600 * 64
+
+
+def test_all_pairs_across_components_of_a_large_key_follow(spark, monkeypatch):
+    """With one nearest partner each, chains of a large group fall apart; the second pass joins them."""
+    monkeypatch.setattr(neardup, "ALL_PAIRS", 2)
+    monkeypatch.setattr(neardup, "NEAREST", 1)
+    values = edited(11)
+    up = components(values)
+    got = neardup.one_of_each(documents(spark, values)).collect()
+    assert sorted(r.doc_id for r in got) == sorted({v[0] for v, c in zip(values, up, strict=True) if values[c][0] == v[0]})
+
+
+def test_common_shingles_come_last_and_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COMMON", 40)
+    shared = " ".join(f"s{i}" for i in range(30))
+    values = [(v[0], f"{shared} {v[1]}", *v[2:]) for v in edited(5)]
+    values += [(1000 + i, f"{shared} {' '.join(f'z{i}q{j}' for j in range(40))}", "en", "s", 1) for i in range(60)]
+    d = documents(spark, values)
+    assert len(neardup.common(d)) >= 26
+    up = components(values)
+    assert sorted(r.doc_id for r in neardup.one_of_each(d).collect()) == sorted({values[c][0] for c in up})
+
+
+def test_sketches_never_reject_similar_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 20, 60, 100, 1000):
+        for _ in range(50):
+            base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            other = base.copy()
+            other[: n // 10] = rng.integers(0, 1 << 63, n // 10)
+            a, b = np.unique(base), np.unique(other)
+            assert neardup.similar(a, b) and neardup.near_sketches(neardup.sketch(a), neardup.sketch(b))
+            far = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            assert not neardup.near_sketches(neardup.sketch(a), neardup.sketch(far))
 
 
 def test_empty_table(spark):
