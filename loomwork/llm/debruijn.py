@@ -2,11 +2,16 @@
 
 The edges of the graph are the token k-mers, WINDOW words each, between nodes of WINDOW - 1 words. Edges that may repeat come
 from `repeats`, bucketed by their minimizer. In each bucket edges get exact identities from their words, and the earliest
-source coordinate (document, start) of each edge is found. Inside a slice, edges that follow each other both in the text and at their
-earliest source make one nonbranching stretch. Stretches that a bucket border separated compact through Spark joins:
-one that starts where another ends, in the text and at the source alike, continues its path. A path is then a long repeated span with
-its source coordinates, and the words that it covers are removed. (A Bloom filter or a de Bruijn graph of all k-mers would not
-survive the shuffle; only k-mers whose minimizer two texts share, or one text has twice, become edges.)
+source coordinate (document, start) of each edge is found. A bucket returns three kinds of rows (`GRAPH`): the in- and
+out-degree that each node has by the bucket's own repeated edges; runs, edges that follow each other both in a slice and at their
+earliest source, with their nodes; and for every place of a run in a text its coordinates there and at the source.
+
+Spark joins then compact the graph (`compacted`). Degrees are summed over all buckets; nodes of more than one edge in or out are branching.
+They are joined to the runs, which end there and fall into pieces; pieces are joined to the places of their runs. Where one piece ends
+and the next begins at a node that does not branch, in the text and at the source alike, both belong to one path: a maximal
+nonbranching stretch of a text with one source coordinate. Every path carries a digest of the words at its source, and a text loses
+only words of paths whose own words have that digest (`_rest`), so a coordinate that led elsewhere would remove nothing. (A graph
+of all k-mers would not survive the shuffle; only k-mers whose minimizer two texts share, or one text has twice, become edges.)
 
 Words are `[^\\x20\\x09-\\x0D]+`. Defined cases: null is a text without words; texts of fewer than WINDOW words are left alone; of documents
 with equal texts the one with the smallest doc_id keeps its words; rows that repeat a doc_id and a text are judged alike; a null
@@ -33,16 +38,29 @@ INNER = 6
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+#: node, outs, ins: degrees by one bucket. run, nodes, sums: what a run consists of. doc to source_start, run: a place of a run.
+GRAPH = "doc long, k long, start long, source_doc long, source_start long, run long, nodes array<long>, sums array<long>, node long, outs int, ins int"
+
+
+def hashed_words(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+def window_sums(h: np.ndarray) -> np.ndarray:
+    """Running digests over the windows of words with hashes h: the xor of two of them is the digest of the windows between."""
+    return np.bitwise_xor.accumulate(np.append(np.uint64(0), R.mixed(R.rolled(h, WINDOW))))
+
+
+def cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = data.split()
     if len(found) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    h = hashed_words(found)
     keys = R.least_of(R.rolled(h, INNER), WINDOW - INNER + 1)
     whole = R.rolled(h, WINDOW)
     order = np.argsort(whole, kind="stable")
     same = whole[order[1:]] == whole[order[:-1]]
-    return keys, keys[order[1:][same]]
+    return keys, keys[order[1:][same]], R.rolled(h, WINDOW - 1)
 
 
 def body(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -50,10 +68,10 @@ def body(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [b" ".join(found[s : e + WINDOW - 1]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of every slice: its slice, its place there, and an identity that equal word sequences share.
+def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of every slice: its slice, its place there, an identity that equal word sequences share, and its word among all.
 
-    Identities are exact: words are numbered, and a pair of numbers of neighbouring stretches gets a number of its own.
+    The last result holds the hashes of all words. Identities are exact: words are numbered, and a pair of numbers of neighbouring stretches gets a number of its own.
     """
     number: dict[bytes, int] = {}
     split = [x.split(b" ") for x in texts]
@@ -74,25 +92,40 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     windows = size - WINDOW + 1
     owner = np.repeat(np.arange(len(texts)), windows)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    return owner, place, twenty[np.repeat(np.cumsum(size) - size, windows) + place]
+    at = np.repeat(np.cumsum(size) - size, windows) + place
+    return owner, place, twenty[at], at, hashed_words(list(number))[ids[:-WINDOW]]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A whole bucket -> stretches of edges that start earlier elsewhere: doc, k, start, end, and where earlier ones begin."""
+def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A whole bucket of slices -> rows of GRAPH."""
     bucket = R.Bucket(batches)
     gone = bucket.gone
-    rows = [np.column_stack([gone[:, :3], gone[:, 2] + gone[:, 3], gone[:, 4:]])]
+    places, runs, nodes = [gone[:, [0, 1, 2, 4, 5, 6]]], [], None
     if bucket.texts:
-        rows.append(_compared(bucket))
-    rows = np.concatenate(rows)
-    for at in range(0, len(rows), 100_000):
-        part = rows[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, c]) for c in range(6)], ["doc", "k", "start", "end", "source_doc", "source_start"])
-
-
-def _compared(b: R.Bucket) -> np.ndarray:
-    """Stretches of the places of a bucket's slices, by the earliest source of every edge."""
-    owner, place, edge = edges(b.texts)
+        own, runs, nodes = _compared(bucket)
+        places.append(own)
+    places = np.concatenate(places)
+    for at in range(0, len(places), 100_000):
+        yield _rows(len(part := places[at : at + 100_000]), **{c: pa.array(part[:, i]) for i, c in enumerate(("doc", "k", "start", "source_doc", "source_start", "run"))})
+    for at in range(0, len(runs), 10_000):
+        part = runs[at : at + 10_000]
+        longs = pa.list_(pa.int64())
+        yield _rows(len(part), run=pa.array([r for r, *_ in part], pa.int64()), nodes=pa.array([x for _, x, _ in part], longs), sums=pa.array([x for *_, x in part], longs))
+    if nodes is not None:
+        for at in range(0, len(nodes[0]), 100_000):
+            node, outs, ins = (x[at : at + 100_000] for x in nodes)
+            yield _rows(len(node), node=pa.array(node.view(np.int64)), outs=pa.array(outs, pa.int32()), ins=pa.array(ins, pa.int32()))
+
+
+def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"nodes": pa.list_(pa.int64()), "sums": pa.list_(pa.int64()), "outs": pa.int32(), "ins": pa.int32()}
+    names = [x.split()[0] for x in GRAPH.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names)
+
+
+def _compared(b: R.Bucket) -> tuple[np.ndarray, list[tuple], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a bucket's slices: places (doc, k, start, source_doc, source_start, run), runs (run, nodes, sums), and nodes (node, outs, ins)."""
+    owner, place, edge, word, hashes = edges(b.texts)
     # Slices are met with the earliest of their places; the others follow it window by window.
     first = b.begin[:-1][owner]
     doc, at = b.doc[first], b.at[first] + place
@@ -104,40 +137,97 @@ def _compared(b: R.Bucket) -> np.ndarray:
     cuts = np.append(True, (owner[1:] != owner[:-1]) | (source_doc[1:] != source_doc[:-1]) | (source_at[1:] != source_at[:-1] + 1))
     head = np.flatnonzero(cuts)
     tail = np.append(head[1:], len(cuts)) - 1
+    node = R.rolled(hashes, WINDOW - 1)
+    names = np.array(R.run_names(node, word[head], word[tail] + 1), np.int64)
     entry, p = b.places_of(owner[head])
     start, sd, sa = b.at[p] + place[head][entry], source_doc[head][entry], source_at[head][entry]
     own = (b.doc[p] != sd) | (start != sa)  # the source itself stays
-    end = start + (place[tail] - place[head])[entry] + 1
-    return np.column_stack([b.doc[p], b.k[p], start, end, sd, sa])[own]
+    places = np.column_stack([b.doc[p], b.k[p], start, sd, sa, names[entry]])[own]
+
+    # What the runs are: those that some place refers to, and slices of which tasks sent only the earliest.
+    used = np.unique(entry[own])
+    begins, stops = word[head[used]], word[tail[used]] + 1
+    if len(whole := np.flatnonzero(b.times)):
+        windows = np.bincount(owner, minlength=len(b.texts))
+        lead = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        begins, stops = np.append(begins, word[lead[whole]]), np.append(stops, word[lead[whole]] + windows[whole])
+    sums = window_sums(hashes)
+    signed, total = node.view(np.int64), sums.view(np.int64)
+    runs = {}
+    for name, a, z in zip(R.run_names(node, begins, stops), begins.tolist(), stops.tolist(), strict=True):
+        runs.setdefault(name, (name, signed[a : z + 1], total[a : z + 1]))
+
+    # Degrees: every distinct edge that occurs twice or more leaves one node and enters another.
+    many = np.add.reduceat((np.diff(b.begin) + b.times)[owner][order], starts) > 1
+    one = word[order[starts[many]]]
+    found, of = np.unique(np.concatenate([node[one], node[one + 1]]), return_inverse=True)
+    outs, ins = (np.bincount(x, minlength=len(found)) for x in (of[: len(one)], of[len(one) :]))
+    return places, list(runs.values()), (found, outs, ins)
+
+
+def branching(graph: DataFrame) -> DataFrame:
+    """(node) of the nodes that more than one repeated edge leaves, or enters."""
+    degrees = graph.where("node is not null").groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
+    return degrees.where("outs > 1 or ins > 1").select("node")
+
+
+def pieces(graph: DataFrame) -> DataFrame:
+    """(run, pieces): runs in pieces that end at branching nodes, array<struct<a, z, branches, digest>>, counted from the run's start."""
+    runs = graph.where("nodes is not null").select("run", "nodes", "sums")
+    cuts = runs.select("run", F.posexplode("nodes").alias("at", "node")).join(branching(graph), "node", "left_semi")
+    cuts = cuts.groupBy("run").agg(F.array_sort(F.collect_set("at")).alias("cuts"))  # at most one for each word of a slice
+    known = F.coalesce("cuts", F.array().cast("array<int>"))
+    bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), known, F.array(F.size("nodes") - 1))))
+    out = runs.join(cuts, "run", "left").select("run", "sums", known.alias("cuts"), bounds.alias("bounds"))
+    piece = F.transform(
+        F.slice("bounds", 1, F.size("bounds") - 1),
+        lambda a, i: F.struct(
+            a.alias("a"),
+            F.get("bounds", i + 1).alias("z"),
+            F.array_contains("cuts", a).alias("branches"),
+            F.get("sums", F.get("bounds", i + 1)).bitwiseXOR(F.get("sums", a)).alias("digest"),
+        ),
+    )
+    return out.select("run", piece.alias("pieces"))
 
 
-def compacted(stretches: DataFrame) -> DataFrame:
-    """Stretches that continue each other, in the text and at the source, become one path (doc, k, start, end, source_doc, source_start).
+def compacted(graph: DataFrame) -> DataFrame:
+    """Paths (doc, k, start, end, source_doc, source_start, digest) of GRAPH rows; starts and ends count windows. Reads graph more than once.
 
-    A join finds the stretches that continue another; those without a predecessor head a path, and the
-    stretches after a head, along one offset between text and source, belong to it.
+    Written between the joins, so that no aggregate stands in the stage that joins places, and a run of very many places can be split.
     """
-    # Written, as the join meets them twice.
-    s = written(stretches.distinct(), "stretches").withColumn("offset", F.col("start") - F.col("source_start"))
-    line = ["doc", "k", "source_doc", "offset"]
-    tails = s.select(*line, F.col("end").alias("start")).distinct().withColumn("follows", F.lit(True))
-    marked = s.join(tails, [*line, "start"], "left").withColumn("head", F.col("follows").isNull())
-    path = F.count_if("head").over(Window.partitionBy(*line).orderBy("start", "end"))
+    cut_ = written(pieces(graph), "pieces")
+    p = F.col("p")
+    at = graph.where("doc is not null").join(cut_, "run").select("doc", "k", "start", "source_doc", (F.col("start") - F.col("source_start")).alias("line"), F.explode("pieces").alias("p"))
+    at = at.select("doc", "k", "source_doc", "line", (F.col("start") + p.a).alias("start"), (F.col("start") + p.z).alias("end"), p.branches.alias("branches"), p.digest.alias("digest"))
+    line = Window.partitionBy("doc", "k", "source_doc", "line").orderBy("start", "end")
+    fresh = F.col("branches") | F.coalesce(F.lag("end").over(line) != F.col("start"), F.lit(True))
+    path = F.count_if("fresh").over(line)
     return (
-        marked.withColumn("path", path)
-        .groupBy(*line, "path")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("source_start").alias("source_start"))
-        .drop("path", "offset")
+        at.withColumn("fresh", fresh)
+        .withColumn("path", path)
+        .groupBy("doc", "k", "source_doc", "line", "path")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bit_xor("digest").alias("digest"))
+        .select("doc", "k", "start", "end", "source_doc", (F.col("start") - F.col("line")).alias("source_start"), "digest")
     )
 
 
+def verified(found: list[bytes], spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """The spans (start, end) of windows whose words have the digest of their source, ordered by start."""
+    pairs = np.array([(a, z) for a, z, _ in spans], np.int64).reshape(-1, 2)
+    sums = window_sums(hashed_words(found))
+    own = (sums[np.minimum(pairs[:, 0], len(sums) - 1)] ^ sums[np.minimum(pairs[:, 1], len(sums) - 1)]).view(np.int64)
+    good = (own == np.array([d for *_, d in spans], np.int64)) & (pairs[:, 1] < len(sums))
+    pairs = pairs[good]
+    return pairs[np.argsort(pairs[:, 0], kind="stable")]
+
+
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, rest = [], []
         for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
             found = text.encode("utf-8", "replace").split()
-            pairs = np.array([(s["start"], s["end"]) for s in spans], np.int64)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            pairs = verified(found, [(s["start"], s["end"], s["digest"]) for s in spans])
             start, end = R.united(pairs[:, 0], pairs[:, 1] + WINDOW - 1)
             cuts = [0, *np.column_stack([start, end]).ravel().tolist(), len(found)]
             kept = [w for a, z in zip(cuts[::2], cuts[1::2], strict=True) for w in found[a:z]]
@@ -149,15 +239,12 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
     """The compacted paths of the first copies of texts, with their source coordinates; starts and ends count windows."""
     text_batches(docs.sparkSession)
-    found = R.slices(R.texts(docs), first, cut, body, again=True, hot=hot).mapInArrow(
-        _stretches, "doc long, k long, start long, end long, source_doc long, source_start long"
-    )
-    return compacted(found)
+    return compacted(written(R.slices(R.texts(docs), first, cut, body, again=True, hot=hot).mapInArrow(_graph, GRAPH), "graph"))
 
 
 def first_copies_cut(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
     """(doc, t, n_removed, rest) of the first copies that lose words, each once; rest is the kept words with single blanks."""
-    spans = R.by_text(repeated_spans(docs, first, hot).groupBy("doc", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans")), first)
+    spans = R.by_text(repeated_spans(docs, first, hot).groupBy("doc", "k").agg(F.collect_list(F.struct("start", "end", "digest")).alias("spans")), first)
     return R.texts(docs).join(spans, ["doc", "t"]).mapInArrow(_rest, "doc long, t long, n_removed long, rest string")
 
 

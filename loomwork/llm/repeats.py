@@ -4,11 +4,12 @@ Every window (50 bytes, or 20 words) has a key: the least hash of the short stri
 equal keys, and neighbouring windows mostly share one, so a text has far fewer keys than windows.
 
 1. Keys. Each distinct key of a text goes to the bucket of its hash; a bucket returns the keys that two different texts have.
-   Copies of a whole text count as one text.
+   Copies of a whole text count as one text. Keys that a bounded sample of texts finds in very many (`common`) need no such
+   answer: a text that has one reports it to a bucket of its own number, so no bucket gathers the texts of a common passage.
 2. Slices. Every first copy of a text meets its shared keys again. Each run of windows with one shared key is cut out as a slice and
    sent to the bucket of its key. Of equal slices a task sends only the earliest: the others start later than that one, so all
-   their windows go, and are told so to the bucket of their document. A key of more than `HOT` texts would gather their
-   slices in one bucket, so its windows are sent one by one, each to the bucket of its own hash.
+   their windows go, and are told so to the bucket of their document. A common key, or one of more than `HOT` texts, would gather
+   their slices in one bucket, so its windows are sent one by one, each to the bucket of its own hash.
 3. The operator compares the windows of each bucket exactly and returns runs of windows to remove.
 
 All later copies of a text start in its first copy, so they need none of this; a task sends the keys of equal texts once as long
@@ -39,8 +40,12 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 SIX = 48
 #: Texts of a key above which its windows are spread by themselves.
 HOT = 50_000
+#: Texts of the sample for common keys, and how many of them make a key common.
+SAMPLE, COMMON = 10_000, 100
 #: Bits of a place that hold its window; above them is the number of the text among those of its document.
-PLACE = 40
+PLACE = 32
+#: Parts in which the texts of one doc_id are numbered; a null doc_id may have very many.
+PARTS = 1024
 
 
 def order_key() -> Column:
@@ -115,15 +120,32 @@ def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> np.uint64(SIX - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
 
 
-Cut = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
+#: text -> the key of each window; the keys of windows that occur again in the same text; a hash for each place between windows, or none.
+Cut = Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
+KEYS = "bucket int, vals binary, ts binary, counts binary, common boolean"
 
 
-def _send_keys(cut: Cut, n: int) -> Callable:
-    """cut(text) -> the key of each window; the keys of windows that occur again in the same text."""
+def common_keys(texts: DataFrame, cut: Cut) -> np.ndarray:
+    """Keys, as sent, that at least COMMON of a sample of about SAMPLE distinct texts have: at most SAMPLE / COMMON times a text's keys."""
+    text_batches(texts.sparkSession)
+    rows = texts.select("text", F.xxhash64("text").alias("h"))
+    every = max(1, rows.count() // SAMPLE)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                own = np.unique(sent(cut((text or "").encode("utf-8", "replace"))[0])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), h))], ["x", "h"])
+
+    found = rows.where(F.pmod("h", F.lit(every)) == 0).mapInArrow(keys, "x long, h long").distinct().groupBy("x").count()
+    return np.sort(np.array([r.x for r in found.where(F.col("count") >= COMMON).collect()], np.uint64))
 
-    def flush(vals: list, of: list, ts: list) -> pa.RecordBatch:
+
+def _send_keys(cut: Cut, n: int, common: np.ndarray = np.zeros(0, np.uint64)) -> Callable:  # noqa: B008
+    def flush(vals: list, of: list, ts: list, common: bool) -> pa.RecordBatch:
         v, t = np.concatenate(vals), np.repeat(np.arange(len(of)), of)
-        b = bucket_of(v, n)
+        # Common keys need no meeting: their texts are dealt by their own number.
+        b = bucket_of(sent(np.array(ts, np.int64).view(np.uint64))[t] if common else v, n)
         order = np.argsort(b, kind="stable")
         v, t, b = v[order], t[order], b[order]
         ids = np.array(ts, np.int64)
@@ -133,12 +155,12 @@ def _send_keys(cut: Cut, n: int) -> Callable:
             s, e = runs(t[a:z])
             rows.append((int(b[a]), six(v[a:z]), ids[t[a:z][s]].tobytes(), (e - s).astype("<u4").tobytes()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-            ["bucket", "vals", "ts", "counts"],
+            [*(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)), pa.array([common] * len(rows))],
+            ["bucket", "vals", "ts", "counts", "common"],
         )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vals, of, ts, held = [], [], [], 0
+        rare, many, held = ([], [], []), ([], [], []), 0
         seen: set[int] = set()
         for batch in batches:
             for t, text in zip(batch["t"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -147,20 +169,27 @@ def _send_keys(cut: Cut, n: int) -> Callable:
                 if len(seen) == SEEN:
                     seen.clear()
                 seen.add(t)
-                keys, again = cut((text or "").encode("utf-8", "replace"))
+                keys, again, _ = cut((text or "").encode("utf-8", "replace"))
                 if not len(keys):
                     continue
-                keys, again = sent(keys), sent(again)
-                for v, own in ((np.unique(keys[runs(keys)[0]]), t), (np.unique(again), t ^ 1)):
+                keys, again = np.unique(sent(keys[runs(keys)[0]])), np.unique(sent(again))
+                if len(common):
+                    known = np.isin(keys, common)
+                    keys, usual, again = keys[~known], keys[known], again[~np.isin(again, common)]
+                    if len(usual):
+                        for to, x in zip(many, (usual, len(usual), t), strict=True):
+                            to.append(x)
+                        held += len(usual) * 8
+                for v, own in ((keys, t), (again, t ^ 1)):
                     # A key of windows that occur twice in one text is sent under a second name too.
                     if len(v):
-                        vals.append(v), of.append(len(v)), ts.append(own)
+                        for to, x in zip(rare, (v, len(v), own), strict=True):
+                            to.append(x)
                         held += len(v) * 8
             if held > FLUSH:
-                yield flush(vals, of, ts)
-                vals, of, ts, held = [], [], [], 0
-        if vals:
-            yield flush(vals, of, ts)
+                yield from (flush(*own, own is many) for own in (rare, many) if own[0])
+                rare, many, held = ([], [], []), ([], [], []), 0
+        yield from (flush(*own, own is many) for own in (rare, many) if own[0])
 
     return send
 
@@ -173,7 +202,12 @@ def _shared_keys(hot: int) -> Callable:
 def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     vals, ts = [], []
     for batch in batches:
-        for v, t, c in zip(batch["vals"].to_pylist(), batch["ts"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+        for v, t, c, common in zip(*(batch[x].to_pylist() for x in ("vals", "ts", "counts", "common")), strict=True):
+            if common:  # known to be shared, and hot
+                cuts = [0, *(np.cumsum(np.frombuffer(c, "<u4"), dtype=np.int64) * 6).tolist()]
+                own = pa.array([v[a:z] for a, z in zip(cuts, cuts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), own, own], ["t", "vals", "hot"])
+                continue
             vals.append(from_six(v))
             ts.append(np.repeat(np.frombuffer(t, np.int64), np.frombuffer(c, "<u4")))
     if not vals:
@@ -210,21 +244,26 @@ class _Slices:
         self.later: list[int] = []
         self.held = 0
 
-    def add(self, bucket: int, body: bytes, windows: int, doc: int, place: int) -> None:
+    def add(self, bucket: int, body: bytes, windows: int, doc: int, place: int, run: int) -> None:
+        """run: a number for what the slice holds, for the operator."""
         own = self.found.get((bucket, body))
         if own is None:
-            self.found[bucket, body] = [doc, place]
+            self.found[bucket, body] = [0, doc, place]
             self.held += len(body) + 250
             return
-        if doc == own[0] and not self.again:
+        if (doc, place) == (own[1], own[2]):  # a repeated row
+            return
+        if doc == own[1] and not self.again:
             own += (doc, place)
-        elif (doc, place) < (own[0], own[1]):
-            for d, p in zip(own[::2], own[1::2], strict=True):
-                self.later += (d, p, windows, doc, place)
-            own[:] = doc, place
+        elif (doc, place) < (own[1], own[2]):
+            for d, p in zip(own[1::2], own[2::2], strict=True):
+                self.later += (d, p, windows, doc, place, run)
+            own[0] += len(own) // 2
+            own[1:] = doc, place
         else:
-            self.later += (doc, place, windows, own[0], own[1])
-        self.held += 120
+            self.later += (doc, place, windows, own[1], own[2], run)
+            own[0] += 1
+        self.held += 130
 
     def batch(self) -> pa.RecordBatch:
         """One row for each bucket: its slices one after the other with their sizes, their places, and the later places."""
@@ -233,7 +272,7 @@ class _Slices:
             own.setdefault(bucket, []).append((body, places))
         gone: dict[int, bytes] = {}
         if self.later:
-            rows = np.array(self.later, np.int64).reshape(-1, 5)
+            rows = np.array(self.later, np.int64).reshape(-1, 6)
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             to = bucket_of(mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(64 - SIX), self.n)
             order = np.argsort(to, kind="stable")
@@ -242,13 +281,20 @@ class _Slices:
         out = []
         for bucket in sorted({*own, *gone}):
             slices_ = sorted(own.get(bucket, ()))
-            sizes = np.array([(len(s), len(w) // 2) for s, w in slices_], "<u4")
-            places = np.array([x for _, w in slices_ for x in w], np.int64)
+            sizes = np.array([(len(s), len(w) // 2, w[0]) for s, w in slices_], "<u4")
+            places = np.array([x for _, w in slices_ for x in w[1:]], np.int64)
             out.append((bucket, b"".join(s for s, _ in slices_), sizes.tobytes(), places.tobytes(), gone.get(bucket, b"")))
         kinds = (pa.int32(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "bodies", "sizes", "places", "gone"])
 
 
+def run_names(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    """A number for each run of windows, from the marks at its two ends and its length; zeros without marks."""
+    if not len(marks):
+        return [0] * len(starts)
+    return mixed(mixed(marks[starts] * _M1 + marks[ends]) + (ends - starts).astype(np.uint64)).view(np.int64).tolist()
+
+
 def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int, again: bool) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Slices(n, again)
@@ -257,19 +303,21 @@ def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[
             columns = (batch["doc"], batch["k"], texts, batch["vals"], batch["hot"])
             for doc, k, text, vals, hot in zip(*(c.to_pylist() for c in columns), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                keys = sent(cut(data)[0])
+                keys, _, marks = cut(data)
+                keys = sent(keys)
                 starts, ends = runs(keys)
                 mine = np.isin(keys[starts], from_six(b"".join(vals)))
                 starts, ends = starts[mine], ends[mine]
                 many = np.isin(keys[starts], from_six(b"".join(hot)))
                 if many.any():  # each window by itself, to a bucket of its own
                     single = np.concatenate([np.arange(a, z) for a, z in zip(starts[many], ends[many], strict=True)])
-                    for s, at in zip(body(data, single, single + 1), single.tolist(), strict=True):
-                        out.add(xxhash.xxh3_64_intdigest(s) % n, s, 1, doc, k << PLACE | at)
+                    names = run_names(marks, single, single + 1)
+                    for s, at, run in zip(body(data, single, single + 1), single.tolist(), names, strict=True):
+                        out.add(xxhash.xxh3_64_intdigest(s) % n, s, 1, doc, k << PLACE | at, run)
                     starts, ends = starts[~many], ends[~many]
-                buckets = bucket_of(keys[starts], n).tolist()
-                for b, s, at, end in zip(buckets, body(data, starts, ends), starts.tolist(), ends.tolist(), strict=True):
-                    out.add(b, s, end - at, doc, k << PLACE | at)
+                buckets, names = bucket_of(keys[starts], n).tolist(), run_names(marks, starts, ends)
+                for b, s, at, end, run in zip(buckets, body(data, starts, ends), starts.tolist(), ends.tolist(), names, strict=True):
+                    out.add(b, s, end - at, doc, k << PLACE | at, run)
             if out.held > FLUSH:
                 yield out.batch()
                 out = _Slices(n, again)
@@ -288,10 +336,18 @@ def first_copies(base: DataFrame) -> DataFrame:
     """base(doc, key, t, n_bytes) -> key, t, n_bytes, first, the smallest document with that text, and k, a number for the text there.
 
     k is 0 but where rows of one doc_id have several texts; it goes where t, eight random bytes, would be carried along.
-    Written, as several joins meet it; and as the join by text then has no aggregate in its stage, very many copies can be split.
+    It is the number of a text in its part, by hash, after those of the parts before it, so that the texts of a null doc_id
+    meet in no one task. Written, as several joins meet it; and as the join by text then has no aggregate in its stage, very many
+    copies can be split.
     """
-    first = base.groupBy("key").agg(F.min("doc").alias("first"), F.min("t").alias("t"), F.min("n_bytes").alias("n_bytes"))
-    return written(first.withColumn("k", F.row_number().over(Window.partitionBy("first").orderBy("t", "key")).cast("long") - 1), "firsts")
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int").alias("part")
+    first = base.groupBy("key").agg(F.min("doc").alias("first"), F.min("t").alias("t"), F.min("n_bytes").alias("n_bytes")).select("*", part)
+    before = Window.partitionBy("first").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = first.groupBy("first", "part").agg(F.count("*").alias("n"))
+    offsets = counts.select("first", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("first", "part").orderBy("t", "key"))
+    numbered = first.withColumn("rank", rank).join(offsets, ["first", "part"])
+    return written(numbered.select("key", "first", "t", "n_bytes", (F.col("offset") + F.col("rank") - 1).alias("k")), "firsts")
 
 
 def buckets(first: DataFrame) -> int:
@@ -309,7 +365,7 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again:
     """
     text_batches(texts.sparkSession)
     n = buckets(first)
-    keys = texts.select("t", "text").mapInArrow(_send_keys(cut, n), "bucket int, vals binary, ts binary, counts binary")
+    keys = texts.select("t", "text").mapInArrow(_send_keys(cut, n, common_keys(texts, cut)), KEYS)
     shared = keys.repartitionById(n, "bucket").mapInArrow(_shared_keys(hot), "t long, vals binary, hot binary")
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"), F.collect_list("hot").alias("hot"))
     wanted = first.select(F.col("first").alias("doc"), "t", "k").join(wanted, "t")
@@ -323,25 +379,27 @@ class Bucket:
     """The distinct slices of a bucket, all their places in order, and what goes whole.
 
     texts: the slices. of, doc, k, at: for each place its slice, document, text number and first window, ascending.
-    begin: where the places of each slice begin, one more at the end. gone: rows doc, k, window, number of windows, and document
-    and window of an earlier place of the same slice.
+    begin: where the places of each slice begin, one more at the end. times: how many places of each slice went as gone elsewhere.
+    gone: rows doc, k, window, number of windows, document and window of an earlier place of the same slice, and its run.
     """
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
         number: dict[bytes, int] = {}
-        ids, many, places, gone = [], [], [], []
+        ids, many, times, places, gone = [], [], [], [], []
         for batch in batches:
             for data, sizes, own, later in zip(*(batch[c].to_pylist() for c in ("bodies", "sizes", "places", "gone")), strict=True):
-                size = np.frombuffer(sizes, "<u4").reshape(-1, 2)
+                size = np.frombuffer(sizes, "<u4").reshape(-1, 3)
                 cuts = [0, *np.cumsum(size[:, 0]).tolist()]
                 ids += [number.setdefault(data[a:z], len(number)) for a, z in zip(cuts, cuts[1:])]
                 many.append(size[:, 1])
+                times.append(size[:, 2])
                 places.append(own)
                 gone.append(later)
         low = (1 << PLACE) - 1
-        g = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 5)
-        self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & low, g[:, 2], g[:, 3], g[:, 4] & low])
+        g = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 6)
+        self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & low, g[:, 2], g[:, 3], g[:, 4] & low, g[:, 5]])
         self.texts = list(number)
+        self.times = np.bincount(np.array(ids, np.int64), np.concatenate(times) if times else None, len(number)).astype(np.int64)
         of = np.repeat(np.array(ids, np.int64), np.concatenate(many) if many else 0)
         p = np.frombuffer(b"".join(places), np.int64).reshape(-1, 2)
         order = np.lexsort((p[:, 1] & low, p[:, 1] >> PLACE, p[:, 0], of))

@@ -109,6 +109,77 @@ def test_equal_strings_come_in_lexical_order():
     assert found and found == sorted(found)
 
 
+def brute_graph(values):
+    """(doc, start) of all windows that start earlier elsewhere, and the nodes of more than one repeated edge in or out."""
+    texts = {doc: (text or "").encode().split() for doc, text, *_ in values}
+    where = {}
+    for doc, w in sorted(texts.items()):
+        for j in range(len(w) - 19):
+            where.setdefault(tuple(w[j : j + 20]), []).append((doc, j))
+    outs, ins = Counter(), Counter()
+    for edge, at in where.items():
+        if len(at) > 1:
+            outs[edge[:-1]] += 1
+            ins[edge[1:]] += 1
+    return {x for at in where.values() for x in at[1:]}, {n for n in [*outs, *ins] if max(outs[n], ins[n]) > 1}
+
+
+def branched(seed):
+    """Texts that share passages in part, so that paths fork and join inside them."""
+    rng = random.Random(seed)
+    shared = [[f"p{i}w{j}" for j in range(90)] for i in range(3)]
+    out = []
+    for i in range(25):
+        passage = rng.choice(shared)
+        a, z = sorted(rng.sample(range(90), 2))
+        own = [f"d{i}w{j}" for j in range(30)]
+        out.append((i, " ".join(own[:10] + passage[a:z] + own[10:20] + passage[:rng.choice([0, 0, 40])] + own[20:]), "en", "s", 0))
+    fork = [f"f{j}" for j in range(40)]
+    for i, words_ in enumerate([shared[0], shared[0], shared[0][:45] + fork, shared[0][:45] + fork, shared[0]]):
+        out.append((50 + i, " ".join(words_ + [f"e{i}"]), "en", "s", 0))
+    return [(-1, " ".join(shared[0]), "en", "s", 0), *out]
+
+
+@pytest.mark.parametrize("hot", [0, R.HOT])
+def test_paths_end_where_the_graph_branches(spark, hot):
+    values = branched(2)
+    d = documents(spark, values)
+    base = R.texts(d, F.unhex(R.text_key()).alias("key")).select("doc", "key", "t", F.octet_length("text").cast("long").alias("n_bytes"))
+    got = debruijn.repeated_spans(d, R.first_copies(base), hot).collect()
+    later, branching = brute_graph(values)
+    texts = {v[0]: v[1].encode().split() for v in values}
+    node = lambda r, j: tuple(texts[r.doc][j : j + 19])
+    assert {(r.doc, j) for r in got for j in range(r.start, r.end)} == later
+    for r in got:
+        assert texts[r.doc][r.start : r.end + 19] == texts[r.source_doc][r.source_start : r.source_start + r.end - r.start + 19]
+        assert (r.source_doc, r.source_start) < (r.doc, r.start)
+        assert not any(node(r, j) in branching for j in range(r.start + 1, r.end))
+    line = lambda r: (r.doc, r.source_doc, r.start - r.source_start)
+    met = [(a, b) for a in got for b in got if line(a) == line(b) and a.end == b.start]
+    assert met and all(node(b, b.start) in branching for _, b in met)
+    assert branching and len(got) < len(later) / 3
+
+
+def test_only_words_that_the_source_confirms_go():
+    words_ = [f"w{i}".encode() for i in range(60)]
+    sums = debruijn.window_sums(debruijn.hashed_words(words_))
+    digest = lambda a, z: int((sums[a] ^ sums[z]).view(np.int64))
+    spans = [(20, 30, digest(20, 30)), (3, 9, digest(3, 9)), (3, 10, digest(3, 9)), (35, 90, 0)]
+    assert debruijn.verified(words_, spans).tolist() == [[3, 9], [20, 30]]
+    assert debruijn.verified(words_[:5], spans).tolist() == []
+
+
+def test_repeated_rows_and_many_texts_of_a_null_doc_id(spark, tmp_path):
+    shared = " ".join(f"word{i}" for i in range(40))
+    values = [(None, f"text {i} {shared if i % 3 else ''} end {i}", "en", "s", 1) for i in range(30)]
+    values += [(5, f"five {shared}", "en", "s", 1)] * 3 + [(7, f"seven {shared} {shared}", "en", "s", 1)] * 2 + [values[4]] * 2
+    d = saved(spark, tmp_path, documents=documents(spark, values))
+    got = debruijn.op7_debruijn(spark, d).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_words(values)
+    got = suffixes.op6_suffixes(spark, d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_bytes(values)
+
+
 def test_windows_share_their_keys():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 500).astype(np.uint64)
@@ -129,15 +200,23 @@ def test_pipeline_stage_cuts_text_and_keeps_columns(spark):
     assert got[2].text == "second and its own words" and got[2].n_chars == 24
 
 
-@pytest.mark.parametrize("hot", [0, 3])
-def test_hot_keys_change_no_result(spark, hot):
+@pytest.mark.parametrize(("hot", "common"), [(0, 100), (3, 100), (R.HOT, 1), (R.HOT, 3)])
+def test_hot_and_common_keys_change_no_result(spark, monkeypatch, hot, common):
     d = documents(spark)
     base = R.texts(d, F.unhex(R.text_key()).alias("key")).select("doc", "key", "t", F.octet_length("text").cast("long").alias("n_bytes"))
     first = R.first_copies(base)
-    a, b = (suffixes.removed_spans(R.texts(d), first, h).select("doc", "t", "spans").collect() for h in (hot, R.HOT))
+    def found(make):
+        out = []
+        for h, least in ((hot, common), (R.HOT, 10_000)):
+            monkeypatch.setattr(R, "COMMON", least)
+            out.append(make(h))
+        return out
+
+    assert len(R.common_keys(R.texts(d), suffixes.cut)) == 0
+    a, b = found(lambda h: suffixes.removed_spans(R.texts(d), first, h).select("doc", "t", "spans").collect())
     spans = lambda rows_: {(r.doc, r.t): [x.tolist() for x in R.joined_spans(r.spans)] for r in rows_}
     assert spans(a) == spans(b) != {}
-    a, b = ({(r.doc, r.t): (r.n_removed, r.rest) for r in debruijn.first_copies_cut(d, first, h).collect()} for h in (hot, R.HOT))
+    a, b = found(lambda h: {(r.doc, r.t): (r.n_removed, r.rest) for r in debruijn.first_copies_cut(d, first, h).collect()})
     assert a == b != {}
 
 
