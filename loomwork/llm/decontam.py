@@ -2,13 +2,15 @@
 
 A text is cut into cells of as many words as the longest item has; two neighbouring cells are a passage, so every place
 where an item can stand lies within a passage. An item's impacts are divided by the item's own score, so a passage that holds all its
-words scores 1, and items above `THRESHOLD` are retrieved. For each passage the block maxima of its words are summed first: only
-blocks of items that could reach the threshold are opened, and inside them WAND moves its posting lists by pivots.
-What is retrieved is verified: of the five-word shingles of the question and of those that touch the answer (the item's last
-sentence, or its last third if it has one sentence), at least `OVERLAP` must stand in the passage.
+words scores 1, and items above `THRESHOLD` are retrieved. Maxima have two levels. Those of whole ranges of items are summed for all
+passages of a batch at once: only ranges that could reach the threshold are opened. There WAND moves the posting lists by pivots, and
+where the maxima of the lists' blocks at a pivot can't reach the threshold together, all of them skip to the end of the block that ends first.
+What is retrieved is verified: at least `OVERLAP` of the item's five-word shingles must stand in the passage, and in order that share
+of the words of its question and of its answer (the item's last sentence, or its last third if it has one sentence).
 
-Words are lower-cased runs of letters, digits and marks; ASCII punctuation and blanks separate. The index goes to all tasks in blocks of
-at most `BLOCK_BYTES` of item text, however large the benchmark is; each block is an index with statistics of its own.
+Words are lower-cased runs of letters, digits and marks; ASCII punctuation and blanks separate. The index is built once and broadcast,
+in parts of at most `PART_BYTES` of item text, however large the benchmark is; document frequencies, mean length and cells
+are those of all items in every part.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer than five words is one shingle; repeated rows
 and items are each reported; empty tables give no rows; other columns pass through. Documents are never shuffled.
@@ -18,22 +20,26 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table, text_batches
+from loomwork.llm.common import table, text_batches, written
 
 THRESHOLD, OVERLAP = 0.6, 0.8
 SHINGLE = 5
 K1, B = 1.2, 0.75
-BLOCK_BYTES = 16 << 20
-POSTINGS_PER_BLOCK, MOST_GROUPS = 8, 64
-HIT = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
+PART_BYTES = 2 << 20
+POSTINGS_PER_BLOCK, ITEMS_PER_RANGE, MOST_RANGES = 4, 8, 256
+HIT = "array<struct<item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
 
 _SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -52,77 +58,106 @@ def answer_start(text: str) -> int:
     return sum(parts[:-1]) if len(parts) > 1 else math.ceil(2 * sum(parts) / 3)
 
 
+def in_order(part: list[int], passage: list[int]) -> float:
+    """The share of a part's words that the passage has in the same order: their longest common subsequence."""
+    if not part:
+        return 1.0
+    places: dict[int, list[int]] = {}
+    for i in range(len(passage) - 1, -1, -1):
+        places.setdefault(passage[i], []).append(i)
+    ends: list[int] = []  # the least last place of a common subsequence of each length
+    for word in part:
+        for i in places.get(word, ()):
+            at = bisect_left(ends, i)
+            ends[at : at + 1] = [i]
+    return len(ends) / len(part)
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: their number, mean length and greatest length in words, and in how many a word occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    df: Mapping[bytes, int]
+
+    @staticmethod
+    def of(items: list[list[bytes]]) -> Statistics:
+        found = [w for w in items if w]
+        return Statistics(len(found), sum(map(len, found)) / max(1, len(found)), max(map(len, found), default=1), Counter(t for w in found for t in set(w)))
+
+
 class Index:
-    """Impact-ordered blocks of postings of some items (id, text), and what verifies a match."""
+    """Postings of some items (id, text) in blocks with their maxima, and what verifies a match."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         items = [(i, t, w) for i, t in items if (w := tokens(t or ""))]
+        stats = statistics or Statistics.of([w for *_, w in items])
         self.ids = [i for i, *_ in items]
+        self.cell = stats.longest
         self.vocab: dict[bytes, int] = {}
-        seqs = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for *_, ws in items]
-        self.cell = max(map(len, seqs), default=1)
-        self.parts = []
-        for (_, text, _), seq in zip(items, seqs, strict=True):
-            at, every = answer_start(text), shingles(seq)
-            self.parts.append((set(every[: max(1, at - SHINGLE + 1)]), set(every[max(0, at - SHINGLE + 1) :]) or set(every)))
-        n, mean = len(seqs), sum(map(len, seqs)) / max(1, len(seqs))
-        df = Counter(t for s in seqs for t in set(s))
-        self.size = max(1, -(-n // MOST_GROUPS), POSTINGS_PER_BLOCK)
-        groups = -(-n // self.size)
-        self.most = np.zeros((len(self.vocab), max(1, groups)), np.float32)
-        #: group -> term -> ([item], [impact], [(last item, block maximum)])
-        self.postings: list[dict[int, tuple[list, list, list]]] = [{} for _ in range(groups)]
-        for k, seq in enumerate(seqs):
+        self.seqs = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for *_, ws in items]
+        self.answers = [answer_start(text) for _, text, _ in items]
+        idf = [math.log(1 + (stats.n - stats.df[w] + 0.5) / (stats.df[w] + 0.5)) for w in self.vocab]
+        n = len(items)
+        self.range = max(ITEMS_PER_RANGE, -(-n // MOST_RANGES))
+        #: For each word and range of items, the greatest impact.
+        self.most = np.zeros((len(self.vocab), max(1, -(-n // self.range))), np.float32)
+        #: For each word: items, impacts, and of every block its last item and its greatest impact.
+        self.postings: list[tuple[list[int], list[float], list[int], list[float]]] = [([], [], [], []) for _ in self.vocab]
+        for k, seq in enumerate(self.seqs):
             tf = Counter(seq)
-            impact = {
-                t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(seq) / mean)) for t, f in tf.items()
-            }
+            impact = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(seq) / stats.mean)) for t, f in tf.items()}
             whole = sum(impact.values())
             for t, x in impact.items():
-                docs, values, _ = self.postings[k // self.size].setdefault(t, ([], [], []))
-                docs.append(k)
+                found, values, *_ = self.postings[t]
+                found.append(k)
                 values.append(x / whole)
-                self.most[t, k // self.size] = max(self.most[t, k // self.size], x / whole)
-        for group in self.postings:
-            for docs, values, blocks in group.values():
-                for a in range(0, len(docs), POSTINGS_PER_BLOCK):
-                    blocks.append((docs[a : a + POSTINGS_PER_BLOCK][-1], max(values[a : a + POSTINGS_PER_BLOCK])))
-
-    def wand(self, group: int, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All items of a group that score at least the threshold for these distinct terms, with their scores."""
-        lists = [[0, 0, max(m for _, m in p[2]), *p] for t in terms if (p := self.postings[group].get(t))]
-        found = []
+                self.most[t, k // self.range] = max(self.most[t, k // self.range], x / whole)
+        for found, values, lasts, maxima in self.postings:
+            for a in range(0, len(found), POSTINGS_PER_BLOCK):
+                lasts.append(found[a : a + POSTINGS_PER_BLOCK][-1])
+                maxima.append(max(values[a : a + POSTINGS_PER_BLOCK]))
+        #: Pivots that were scored, and that block maxima let skip.
+        self.scored = self.skipped = 0
+
+    def wand(self, ranges: range, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
+        """All items of some neighbouring ranges that score at least the threshold for these distinct terms, with their scores."""
+        low, high, enough, found = ranges.start * self.range, ranges.stop * self.range, threshold - 1e-9, []
+        lists = []  # [item, place, end, list maximum, postings]
+        for t, most in zip(terms, self.most[terms, ranges.start : ranges.stop].max(1).tolist(), strict=True):
+            own = self.postings[t]
+            at, end = bisect_left(own[0], low), bisect_left(own[0], high)
+            if at < end:
+                lists.append([own[0][at], at, end, most, own])
         while lists:
-            lists.sort(key=lambda x: x[3][x[0]])
-            total, pivot = 0.0, None
-            for k, x in enumerate(lists):
-                total += x[2]
-                if total >= threshold - 1e-9:
-                    pivot = k
+            lists.sort(key=itemgetter(0))
+            total, pivot = 0.0, 0
+            for pivot, x in enumerate(lists):  # noqa: B007
+                total += x[3] * (1 + 1e-6)  # the maxima are rounded
+                if total >= enough:
                     break
-            if pivot is None:
-                return found
-            item = lists[pivot][3][lists[pivot][0]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][3][lists[pivot + 1][0]] == item:
+            else:
+                break
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
-            # The pivot's blocks: can they together reach the threshold?
-            most, until = 0.0, math.inf
+            most, until = 0.0, high
             for x in lists[: pivot + 1]:
-                b = x[1]
-                while b < len(x[5]) and x[5][b][0] < item:
-                    b += 1
-                x[1] = b
-                if b < len(x[5]):
-                    most += x[5][b][1]
-                    until = min(until, x[5][b][0])
-            if most < threshold - 1e-9:
-                after = until + 1
-                if pivot + 1 < len(lists):
-                    after = min(after, lists[pivot + 1][3][lists[pivot + 1][0]])
+                lasts, maxima = x[4][2], x[4][3]
+                b = bisect_left(lasts, item, x[1] // POSTINGS_PER_BLOCK)
+                if b < len(lasts):
+                    most += maxima[b]
+                    until = min(until, lasts[b])
+            if most < enough:  # nothing up to the end of the first of these blocks, or to the next list's item
+                self.skipped += 1
+                after = until + 1 if pivot + 1 == len(lists) else min(until + 1, lists[pivot + 1][0])
                 lists = self._moved(lists, pivot + 1, max(after, item + 1))
-            elif lists[0][3][lists[0][0]] == item:
-                score = sum(x[4][x[0]] for x in lists[: pivot + 1])
-                if score >= threshold - 1e-9:
+            elif lists[0][0] == item:
+                self.scored += 1
+                score = sum(x[4][1][x[1]] for x in lists[: pivot + 1])
+                if score >= enough:
                     found.append((item, score))
                 lists = self._moved(lists, pivot + 1, item + 1)
             else:
@@ -130,18 +165,20 @@ class Index:
         return found
 
     @staticmethod
-    def _moved(lists: list, n: int, to: float) -> list:
+    def _moved(lists: list, n: int, to: int) -> list:
         """The first n lists stand at the first item not before `to`; those that end are gone."""
         for x in lists[:n]:
-            at, docs = x[0], x[3]
-            while at < len(docs) and docs[at] < to:
-                at += 1
-            x[0] = at
-        return [x for x in lists if x[0] < len(x[3])]
-
-    def verified(self, item: int, found: set[tuple]) -> tuple[float, float]:
-        question, answer = self.parts[item]
-        return len(question & found) / len(question), len(answer & found) / len(answer)
+            x[1] = bisect_left(x[4][0], to, x[1], x[2])
+            if x[1] < x[2]:
+                x[0] = x[4][0][x[1]]
+        return [x for x in lists if x[1] < x[2]]
+
+    def verified(self, item: int, passage: list[int]) -> tuple[float, float, float]:
+        """What the passage has of an item: shingles, and words of its question and its answer in order."""
+        seq, at = self.seqs[item], self.answers[item]
+        size = min(SHINGLE, len(seq))
+        own, held = set(shingles(seq)), {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
+        return len(own & held) / len(own), in_order(seq[:at], passage), in_order(seq[at:], passage)
 
     def hits(self, texts: list[str | None]) -> list[list[dict]]:
         """The verified items of each text, each once with its best passage."""
@@ -166,49 +203,76 @@ class Index:
         pair = np.append(owner[1:] == owner[:-1], False)
         reach = sums[:n] + sums[1:] * pair[:, None]
         begins = np.searchsorted(cell, np.arange(n + 1))
-        for c, group in np.argwhere(reach >= THRESHOLD - 1e-4).tolist():
+        opened: dict[int, list[range]] = {}
+        for c, r in np.argwhere(reach >= THRESHOLD - 1e-4).tolist():
+            own = opened.setdefault(c, [])
+            if own and own[-1].stop == r:
+                own[-1] = range(own[-1].start, r + 1)
+            else:
+                own.append(range(r, r + 1))
+        for c, own in opened.items():
             doc = owner[c]
             last = c + 1 + bool(pair[c])
             terms = sorted(set(term[begins[c] : begins[last]].tolist()))
             at = (c - base[doc]) * self.cell
-            passage = None
-            for item, score in self.wand(group, terms):
-                if passage is None:
-                    own = words[doc][at : at + 2 * self.cell]
-                    passage = set(shingles(own)) | {tuple(own[i : i + k]) for k in range(1, SHINGLE) for i in range(len(own) - k + 1)}
-                q, a = self.verified(item, passage)
-                if q >= OVERLAP and a >= OVERLAP and score > out[doc].get(item, {"score": 0})["score"]:
-                    out[doc][item] = {"item_id": self.ids[item], "score": float(score), "question_overlap": q, "answer_overlap": a}
+            passage = words[doc][at : at + 2 * self.cell]
+            for item, score in (x for ranges in own for x in self.wand(ranges, terms)):
+                overlap, q, a = self.verified(item, passage)
+                if min(overlap, q, a) >= OVERLAP and score > out[doc].get(item, {"score": 0})["score"]:
+                    out[doc][item] = {"item_id": self.ids[item], "score": float(score), "overlap": overlap, "question_overlap": q, "answer_overlap": a}
         return [list(x.values()) for x in out]
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items (item_id, text) in blocks of at most about BLOCK_BYTES, one after the other."""
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the items (item_id, text) in parts of at most about PART_BYTES, one after the other, with the statistics of all."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = max(1, -(-total // BLOCK_BYTES))
-    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    n = max(1, -(-total // PART_BYTES))
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("part"))
+    whole = _statistics(rows) if n > 1 else None
     for k in range(n):
-        yield sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
+        items = sorted((r.item_id, r.text) for r in rows.where(F.col("part") == k).collect())
+        yield Index(items, whole(k) if whole else None)
+
+
+def _statistics(rows: DataFrame) -> Callable[[int], Statistics]:
+    """rows(text, part) -> part -> the statistics of all items, as far as that part's words go."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, tokens(t)) for p, t in zip(batch["part"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+            each = [(p, len(w), w_) for p, w in found if w for w_ in set(w)]
+            items = [(None, len(w), None) for _, w in found if w]
+            columns = zip(*each, *items, strict=True) if each else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "length", "word"])
+
+    words = written(rows.mapInArrow(counted, "part long, length long, word binary"), "words")
+    n, mean, longest = words.where("word is null").agg(F.count("*"), F.avg("length"), F.max("length")).first()
+    df = words.where("word is not null").groupBy("word").agg(F.count("*").alias("df"))
+
+    def of_part(k: int) -> Statistics:
+        own = words.where(F.col("part") == k).select("word").distinct()
+        return Statistics(n, mean or 0.0, longest or 1, {bytes(r.word): r.df for r in df.join(own, "word").collect()})
+
+    return of_part
 
 
-def hits(docs: DataFrame, items: list[tuple[int, str]]) -> Column:
-    """A column of the verified hits of docs' text in these items."""
+def hits(docs: DataFrame, index: Index) -> Column:
+    """A column of the verified hits of docs' text in an index."""
     text_batches(docs.sparkSession)
-    share = docs.sparkSession.sparkContext.broadcast(items)
+    share = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(share.value)
         for part in parts:
-            yield pd.Series(index.hits([t if isinstance(t, str) else None for t in part]), dtype=object)
+            yield pd.Series(share.value.hits([t if isinstance(t, str) else None for t in part]), dtype=object)
 
     return F.pandas_udf(search, HIT)("text")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified hit."""
+    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of every verified hit."""
     out = None
-    for items in item_blocks(benchmark):
-        found = docs.select("doc_id", F.explode(hits(docs, items)).alias("h")).select("doc_id", "h.*")
+    for index in indexes(benchmark):
+        found = docs.select("doc_id", F.explode(hits(docs, index)).alias("h")).select("doc_id", "h.*")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -219,6 +283,6 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's stage: documents with a verified hit go."""
-    for items in item_blocks(benchmark):
-        docs = docs.where(F.size(hits(docs, items)) == 0)
+    for index in indexes(benchmark):
+        docs = docs.where(F.size(hits(docs, index)) == 0)
     return docs

@@ -187,8 +187,13 @@ def test_language_without_anything_to_learn(spark):
     assert langid.train(documents(spark, []).select("text", "lang")) is None
     out = langid.identify(documents(spark, rows()), None)
     assert {r.lang_pred for r in out.collect()} == {"und"} and out.count() == len(rows())
-    kept = langid.accepted(documents(spark, spoken(2) + [(900, "...", "en", "s", 1)]))
-    assert kept.columns == documents(spark, []).columns and kept.count() == 60
+    d = documents(spark, spoken(2) + [(900, "...", "en", "s", 1)])
+    for c in ("score", "_lang", "lang_pred", "_guess"):
+        d = d.withColumn(c, F.lit(c))
+    kept = langid.accepted(d)
+    assert kept.columns == d.columns and kept.count() == 60
+    assert {(r.score, r._lang, r.lang_pred, r._guess) for r in kept.collect()} == {("score", "_lang", "lang_pred", "_guess")}
+    assert langid.identify(d, None).columns == [*(c for c in d.columns if c not in ("score", "lang_pred")), "lang_pred", "score", "lang_ambiguous"]
 
 
 def test_codewords_are_apart():
@@ -243,23 +248,93 @@ def test_decontamination_finds_planted_items(spark, tmp_path):
     assert decontam.contaminated(d, bench.limit(0)).count() == 0 and decontam.contaminated(d.limit(0), bench).count() == 0
 
 
-def test_wand_finds_what_scoring_every_item_finds():
+def brute_scores(index, terms):
+    return {k: x for k in range(len(index.ids)) if (x := sum(v for t in terms for d, v in zip(*index.postings[t][:2], strict=True) if d == k)) >= 0.6}
+
+
+def test_wand_skips_blocks_and_finds_what_scoring_every_item_finds():
     import random
 
     rng = random.Random(9)
     index = decontam.Index([(i, sentence(rng, rng.randint(3, 25)) + f" k{i % 17} q{i % 5}") for i in range(300)])
-    scores = [{} for _ in range(300)]
-    for group in index.postings:
-        for term, (docs, values, _) in group.items():
-            for d, v in zip(docs, values, strict=True):
-                scores[d][term] = v
-    found = 0
+    assert max(len(p[2]) for p in index.postings) > 20
+    found, every = 0, range(index.most.shape[1])
     for _ in range(100):
         q = set(rng.sample(range(len(index.vocab)), rng.randint(1, len(index.vocab) // 2)))
-        want = {d for d in range(300) if sum(v for t, v in scores[d].items() if t in q) >= 0.6}
-        assert {d for g in range(len(index.postings)) for d, _ in index.wand(g, sorted(q))} == want
+        want = brute_scores(index, q)
+        got = dict(index.wand(every, sorted(q)))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        parts = [x for a in range(0, every.stop, 5) for x in index.wand(range(a, min(a + 5, every.stop)), sorted(q))]
+        assert dict(parts).keys() == want.keys()
         found += len(want)
-    assert found
+    assert found and index.skipped > 100
+
+
+def brute_hits(values, items):
+    """(doc_id, item_id) from the BM25 share of every item in every passage, and naive overlaps."""
+    import math
+
+    index = decontam.Index([i for i in items if i[1] is not None])
+    seqs = {k: decontam.tokens(t) for k, (_, t) in enumerate(items) if t and decontam.tokens(t)}
+    mean, df = sum(map(len, seqs.values())) / len(seqs), Counter(w for s in seqs.values() for w in set(s))
+    cell = max(map(len, seqs.values()))
+    weight = lambda k, w: math.log(1 + (len(seqs) - df[w] + 0.5) / (df[w] + 0.5)) * (f := seqs[k].count(w)) * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(seqs[k]) / mean))
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, last = [0], row
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[-1], last[j + 1]))
+        return row[-1]
+
+    out = Counter()
+    for doc, text, *_ in values:
+        w = decontam.tokens(text or "")
+        found = set()
+        for at in range(0, len(w), cell):
+            passage = w[at : at + 2 * cell]
+            for k, s in seqs.items():
+                if sum(weight(k, x) for x in set(s) & set(passage)) < 0.6 * sum(weight(k, x) for x in set(s)) - 1e-9:
+                    continue
+                n, cut_ = min(5, len(s)), decontam.answer_start(items[k][1])
+                own = {tuple(s[i : i + n]) for i in range(len(s) - n + 1)}
+                held = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
+                parts = [p for p in (s[:cut_], s[cut_:]) if p]
+                if len(own & held) >= 0.8 * len(own) and all(lcs(p, passage) >= 0.8 * len(p) for p in parts):
+                    found.add(items[k][0])
+        out.update((doc, i) for i in found)
+    assert index.cell == cell
+    return out
+
+
+@pytest.mark.parametrize("part", [2 << 20, 300])
+def test_decontamination_equals_brute_force(spark, tmp_path, monkeypatch, part):
+    import random
+
+    monkeypatch.setattr(decontam, "PART_BYTES", part)
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(150)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, f"{text(rng.randint(4, 30))}? {text(rng.randint(1, 12))}.") for i in range(30)] + [(50, "v1 v2"), (51, None), (52, "??")]
+    values = [(i, text(rng.randint(0, 200)), "en", "s", 1) for i in range(20)] + [(90, None, "en", "s", 1), (91, text(8_000), "en", "s", 1)]
+    for i in range(40):
+        w = items[i % 30][1].split()
+        for _ in range(i // 10):
+            w[rng.randrange(len(w))] = "changed"
+        values.append((100 + i, f"{text(rng.randint(0, 60))} {' '.join(w)} {text(rng.randint(0, 60))}", "en", "s", 1))
+    values.append((200, "v1 v2", "en", "s", 1))
+    d = saved(spark, tmp_path, documents=documents(spark, values), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    got = Counter((r.doc_id, r.item_id) for r in decontam.op2_decontam(spark, d).collect())
+    want = brute_hits(values, items)
+    assert got == want and len(want) > 15 and (200, 50) in want
+
+
+def test_clean_leaves_columns_alone(spark):
+    item = ITEMS[0][1]
+    d = documents(spark, [(1, item, "en", "s", 1), (2, "clean text", "en", "s", 1)]).withColumn("_hits", F.lit("x")).withColumn("score", F.lit("y"))
+    got = decontam.clean(d, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert got.columns == d.columns and [tuple(r) for r in got.collect()] == [(2, "clean text", "en", "s", 1, "x", "y")]
 
 
 # ---- packing
