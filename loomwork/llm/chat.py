@@ -119,15 +119,15 @@ with rows_ as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'
 ), t as (
-  select *, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') as safe,
-    coalesce(lag(role) over (partition by conv_id order by turn, role, text) <> role, true) as head
-  from rows_
+  select *, coalesce(lag(safe_role) over (partition by conv_id order by turn nulls first, safe_role, safe) <> safe_role, true) as head
+  from (select *, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') as safe,
+    replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;') as safe_role from rows_)
 )
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, safe_role, safe)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length(safe) + case when head then {len(START) + 1 + len(END)} + length(role) else {len(NEXT)} end) as bigint)
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, safe_role, safe) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(safe) + case when head then {len(START) + 1 + len(END)} + length(safe_role) else {len(NEXT)} end) as bigint)
     as formatted_chars
 from t group by conv_id
 """

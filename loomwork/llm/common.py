@@ -32,24 +32,45 @@ def shared_folder(spark: SparkSession) -> str:
     return found or LOCAL_CHECKPOINTS
 
 
+#: Tables of `written` that are still there, oldest first.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation.
 
-    Parquet rather than checkpoint(), whose files are uncompressed rows.
+    Parquet rather than checkpoint(), whose files are uncompressed rows. The table stays until `discard` or `sweep` removes it,
+    as a result that is not yet computed may read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/loomwork/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Remove a table of `written` that no plan reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    _remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def mark() -> int:
+    """A point in time for `sweep`."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove all tables written since a mark, but for the last `keep`: when what was computed from them is stored or done with."""
+    _remove(spark, set(_WRITTEN[since : len(_WRITTEN) - keep]))
+
+
+def _remove(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
         with contextlib.suppress(Exception):
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    gone = {p.rsplit("/", 1)[-1] for p in paths}
+    _WRITTEN[:] = [p for p in _WRITTEN if p.rsplit("/", 1)[-1] not in gone]
 
 
 def partitions(spark: SparkSession) -> int:

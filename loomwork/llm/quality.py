@@ -7,8 +7,8 @@ The model is fitted on a bounded sample: at most `SAMPLE_PER_CLASS` labelled tex
 hashes of doc_id. Scoring reads whole texts.
 
 Defined cases: a null or empty text has no indicator and gets the score of the bias alone; labels that are null, or of
-documents that do not exist, are not learned from; several labels of one document all count; with one class only, every
-score is that class; without labels every score is 0.5; empty tables give no rows; repeated rows are scored alike;
+documents that do not exist, are not learned from; several labels of one document all count; of several texts of one doc_id
+the smallest is learned from; with one class only, every score is that class; without labels every score is 0.5; empty tables give no rows; repeated rows are scored alike;
 other columns pass through, unless they clash with the new names, in which case the new ones replace them.
 """
 
@@ -120,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     picked = rows.withColumn("r", F.row_number().over(buckets)).where(F.col("r") <= per_class)
     limits = picked.groupBy("label").agg(F.expr(f"array_max(slice(array_sort(collect_list(h)), 1, {per_class}))").alias("most"))
     sample = rows.join(F.broadcast(limits), "label").where("h <= most").select("label", "doc_id")
-    text = F.coalesce("text", F.lit("")).alias("text")
-    found = sorted(tuple(r) for r in docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", text).collect())
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = sorted(tuple(r) for r in texts.collect())  # one row for each of the sample
     return fit([t.encode("utf-8", "replace") for *_, t in found], [int(x) for _, x, _ in found])
 
 

@@ -7,8 +7,8 @@ remaining room, found in a balanced tree (an AA tree over (room, bin)). These bi
 capacity is the least, by bisection, at which best-fit-decreasing needs no more shards than asked for.
 
 The law is `bytes`: shards of near equal size. A group is never split, so a group larger than an even share is a shard's
-floor. Slots are numbered without one task seeing a whole shard: rows fall into blocks by a hash of doc_id,
-blocks get offsets from their counts, and rows are ranked within blocks.
+floor. Slots are numbered without one task seeing a whole shard: rows fall into blocks by a hash of their number in the written
+table, so that equal rows spread too, blocks get offsets from their counts, and rows are ranked within blocks.
 
 Defined cases: null and empty texts are one group, of size 1 each; repeated rows and doc_ids each get their own slot; fewer
 groups than shards leave shards empty; an empty table gives no rows; other columns are ignored.
@@ -180,7 +180,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     total, n_groups = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     blocks = max(partitions(docs.sparkSession), n_groups // GROUPS_PER_PART)
     placed = written(
-        rows.join(pack(groups, shards, total, n_groups), "grp").withColumn("block", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(blocks))),
+        rows.join(pack(groups, shards, total, n_groups), "grp").withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))),
         "placed",
     ).drop("grp")
     sums = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,6 +34,7 @@ RADIUS = 3
 BLOCKS = 5
 WORDS, SEED = 3, 42
 STEP = 1 << 16
+ROWS_A_TASK = 2_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -136,9 +137,12 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[least[linked]])], ["u", "v"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) among distinct fingerprints (fp): enough of those within the radius to join every component."""
-    n = partitions(distinct.sparkSession)
+def links(distinct: DataFrame, most: int) -> DataFrame:
+    """Links (u, v) among at most so many distinct fingerprints (fp): enough of those within the radius to join every component.
+
+    Shards are dealt to as many partitions as keep a task's rows near ROWS_A_TASK, however many fingerprints there are.
+    """
+    n = max(partitions(distinct.sparkSession), most * len(_masks()) // ROWS_A_TASK)
     keys = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(_masks()))))
     sharded = distinct.select("fp", keys.alias("k")).select("k.c", "k.key", "fp").repartition(n, "c", "key")
     return sharded.mapInArrow(_shard_links, "u long, v long").distinct()
@@ -147,7 +151,7 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(prints: DataFrame) -> DataFrame:
     """prints(doc_id, fp) with component_id, the smallest doc_id that links reach. Reads prints more than once."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    hung = stars(links(first.select("fp")))
+    hung = stars(links(first.select("fp"), prints.count()))
     grouped = hung.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(
         hung.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()
     )

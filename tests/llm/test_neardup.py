@@ -60,8 +60,8 @@ def test_large_groups_are_joined_in_linear_pairs(spark):
     far = [[*passage, *(f"r{rng.randrange(10**6)}" for _ in range(60))] for _ in range(300)]
     values = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(near + far)]
     assert sorted(r.doc_id for r in neardup.one_of_each(documents(spark, values)).collect()) == [0, *range(300, 600)]
-    sets = neardup.described(documents(spark, values)).select("rid", "n", "fp", "keys").cache()
-    assert neardup.candidates(sets, sets).where("b is not null").count() < 600 * 64
+    sets = neardup.described(documents(spark, values)).select("rid", "n", "fp", "fq", "keys").cache()
+    assert neardup.candidates(sets, sets).where("b is not null").count() < 600 * 16
 
 
 def test_all_pairs_across_components_of_a_large_key_follow(spark, monkeypatch):

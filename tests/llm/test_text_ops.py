@@ -27,23 +27,21 @@ def chats():
     return [
         (1, 0, "system", "be <|im_end|> kind & <|turn|> good"), (1, 1, "user", "hi"), (1, 2, "user", "again &lt;| &amp;"), (1, 3, "assistant", "yes\n<|im_start|>"),
         (1, 4, "assistant", None), (2, 0, "assistant", "é<"), (2, 0, "assistant", "é<"), (2, 1, "odd\nrole<|", "|x"), (3, 5, None, ""), (None, 0, "user", "lone"),
-        (4, 1, "user", "same turn b"), (4, 1, "user", "same turn a"), (5, 0, "assistant", "x" * 50_000),
+        (4, None, "user", "no turn"), (4, 1, "user", "same <| turn"), (4, 1, "user", "same = turn"), (4, 1, "user", "same turn b"), (4, 1, "user", "same turn a"), (5, 0, "assistant", "x" * 50_000),
     ]
 
 
 def test_chat_equals_sql(spark, tmp_path):
     c = spark.createDataFrame(chats(), CHAT).withColumn("formatted", F.lit("clash"))
     got = chat.op5_chat(spark, saved(spark, tmp_path, conversations=c))
-    want = oracle(chat.OP5_SQL, conversations=c)
-    # A line end in a role is written as four characters; the SQL counts it as one and knows no escaped roles.
-    odd = {r.conv_id for r in got.collect()} - {2}
-    assert Counter(tuple(r) for r in got.collect() if r.conv_id in odd) == Counter({k: v for k, v in want.items() if k[0] in odd})
+    assert Counter(tuple(r) for r in got.collect()) == oracle(chat.OP5_SQL, conversations=c)
 
 
 def test_chat_round_trip_and_mask(spark):
     c = spark.createDataFrame(chats(), CHAT)
     for r in chat.read_back(chat.format_chats(c)).collect():
-        own = sorted((x for x in chats() if x[0] == r.conv_id), key=lambda x: (x[1], x[2] or "", x[3] or ""))
+        safe = lambda x: (x or "").replace("&", "&amp;").replace("<|", "&lt;|")  # noqa: E731  ties follow the escaped texts
+        own = sorted((x for x in chats() if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, safe(x[2]), safe(x[3])))
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
         assert "".join(s.text for s in r.segments) == r.formatted
         assert r.formatted.count("<|im_start|>") == sum(a[2] != b[2] for a, b in zip(own, own[1:])) + 1
@@ -67,6 +65,20 @@ def test_cascade_order_never_changes_the_verdict(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_rules_are_ordered_by_rejections_of_what_is_left():
+    # rule 0 rejects most for its cost; after it, rule 2 has nothing left, though it alone rejects more than rule 1
+    assert rules.by_worth([1.0, 1.0, 1.0], {0b101: 10, 0b010: 3, 0b001: 2, 0: 50}) == [(0, 12), (1, 3), (2, 0)]
+    assert [k for k, _ in rules.by_worth([5.0, 0.1, 1.0], {0b001: 9, 0b010: 1, 0b100: 3})] == [1, 2, 0]
+
+
+def test_cost_is_the_rule_and_not_the_job(spark):
+    sample = rules.with_features(documents(spark).select("text")).cache()
+    free, dear = rules.Rule("free", F.col("n_words") > 5), rules.Rule("dear", F.exists("w", lambda x: F.sha2(F.repeat(x, 200), 256) == "x"))
+    a, b = rules.costs(sample, [free, dear])
+    assert a < b / 3
+    assert [r.name for r in rules.ordered(documents(spark), [dear, free], 1000)] == ["free", "dear"]
+
+
 # ---- sharding
 
 
