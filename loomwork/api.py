@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from loomwork.functions import dates, numbers
 from loomwork.functions.text import purpose_family
 from loomwork.operators import duplicates, extract, finance, gate, geo, intent, ranking, rules, search
+from loomwork.session import small
 from loomwork.sources import schemas
 
 parse_intent = intent.parsed
@@ -38,7 +39,7 @@ def recommend(profiles: DataFrame, schemes: DataFrame, stored_rules: DataFrame,
     candidates = _scored(_candidates(good, live, merged), good, live, merged, as_of, weights)
     best = ranking.recommendations(candidates)
     rest = good.join(candidates.where("eligible").select("profile_id").distinct(), "profile_id", "left_anti").select("profile_id")
-    others = _scored(rest.join(ranking.small(live.select("scheme_id")), F.lit(True)), good, live, merged, as_of, weights)
+    others = _scored(rest.join(small(live.select("scheme_id")), F.lit(True)), good, live, merged, as_of, weights)
     loan = F.coalesce(F.nullif("loan_required", F.lit(0.0)), "max_loan", F.lit(0.0))
     terms = numbers.emi(loan, F.col("interest_rate"), F.coalesce("tenure", F.lit(0)), F.coalesce("moratorium", F.lit(0)), F.lit("monthly"))
     known = F.col("interest_rate").isNotNull() & (F.coalesce("tenure", F.lit(0)) != 0)
@@ -51,9 +52,9 @@ def _candidates(profiles: DataFrame, schemes: DataFrame, merged: DataFrame) -> D
     family = merged.where("rule_type = 'purpose' and operator = 'purpose_match'").select("scheme_id", purpose_family(F.col("str_value")).alias("family"))
     s = schemes.select("scheme_id").join(family, "scheme_id", "left")
     p = profiles.select("profile_id", F.nullif(purpose_family(F.col("purpose")), F.lit("")).alias("own"))
-    same = p.join(ranking.small(s), F.col("own") == F.col("family"))
-    anyone = p.join(ranking.small(s.where("family is null")), F.lit(True))
-    silent = p.where("own is null").join(ranking.small(s.where("family is not null")), F.lit(True))
+    same = p.join(small(s), F.col("own") == F.col("family"))
+    anyone = p.join(small(s.where("family is null")), F.lit(True))
+    silent = p.where("own is null").join(small(s.where("family is not null")), F.lit(True))
     return same.unionByName(anyone).unionByName(silent).select("profile_id", "scheme_id")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.session import small
+
 # Fields whose changes are sensitive, and statuses that can be undone.
 SENSITIVE = [
     "interest_rate", "max_loan", "min_loan", "max_income", "min_income", "tenure", "moratorium", "loan_percentage",
@@ -70,7 +72,7 @@ def tagged(changes: DataFrame, approval: DataFrame | None = None) -> DataFrame:
     if approval is None:
         return changes.withColumns({"is_sensitive": default, "auto_approve": ~default})
     rules = approval.select("field_name", F.col("is_sensitive").alias("_s"), F.col("auto_approve").alias("_a"))
-    out = changes.join(F.broadcast(rules), "field_name", "left")  # one row for each field of a schema
+    out = changes.join(small(rules), "field_name", "left")
     return out.withColumns({"is_sensitive": F.coalesce("_s", default), "auto_approve": F.coalesce("_a", ~default)}).drop("_s", "_a")
 
 
@@ -111,8 +113,8 @@ def undone(values: DataFrame, changes: DataFrame, ids: list[int], reviewer: int)
 
 
 def versions(changes: DataFrame) -> DataFrame:
-    """Slowly changing rows: each change of a field with its version number, when it began, and when the next one did."""
-    w = Window.partitionBy("entity_id", "field_name").orderBy("effective_from", "id")
+    """Slowly changing entities: every applied change makes its entity's next version, which lasts until the one after it."""
+    w = Window.partitionBy("entity_id").orderBy("effective_from", "id")
     return changes.withColumns({"version_number": F.row_number().over(w), "effective_to": F.lead("effective_from").over(w)})
 
 

@@ -79,4 +79,5 @@ def region_search(partners: DataFrame, state: str, district: str | None = None)
         found = found.where(F.col("district").ilike(f"%{district}%"))
     if "mapped" not in partners.columns:
         return found
-    return found.withColumn("_any", F.max("mapped").over(Window.partitionBy(F.lit(1)))).where("mapped or not _any").drop("_any")
+    some = found.where("mapped").limit(1).select(F.lit(True).alias("_some"))  # one row at most
+    return found.join(F.broadcast(some), F.lit(True), "left").where("mapped or _some is null").drop("_some")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.numbers import cosine
 from loomwork.functions.text import extract, first_label
+from loomwork.session import small
 
 # Keywords by label, and words of the mixed language with what they stand for.
 PURPOSES = {
@@ -105,8 +106,8 @@ def confidence(n: Column, similarity: Column | None = None) -> dict[str, Column]
 def best_exemplar(df: DataFrame, key: str, vector: str, exemplars: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(key, label, similarity): the most similar exemplar (ord, label, exemplar) of each vector, if it is similar enough.
 
-    Exemplars are a fixed table of a few rows; ties go to the first.
+    Every vector meets every exemplar, which are broadcast if they are few by count; ties go to the first.
     """
-    scored = df.select(key, vector).join(F.broadcast(exemplars), F.lit(True)).withColumn("s", cosine(F.col(vector), F.col("exemplar")))
+    scored = df.select(key, vector).join(small(exemplars), F.lit(True)).withColumn("s", cosine(F.col(vector), F.col("exemplar")))
     best = scored.groupBy(key).agg(F.max_by(F.struct("label", "s"), F.struct(F.col("s"), -F.col("ord"))).alias("b"))
     return best.where(F.col("b.s") >= least).select(key, F.col("b.label").alias("label"), F.round("b.s", 4).alias("similarity"))

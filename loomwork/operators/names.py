@@ -20,7 +20,8 @@ def normalised(name: Column, aliases: dict[str, str] | None = None) -> Column:
 def matched(left: DataFrame, right: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """left(name) with `label` of right(key, ord, label): the first exact spelling, else most shared words (two at least, and all but one).
 
-    Shared words are found by an equi-join on words, so no pair without a common word is ever made.
+    As all words but one must be shared, one of any two is: names meet by an equi-join on their two rarest words, so a word that very
+    many names have makes no pairs. Shared words are then counted on the pairs.
     """
     name = F.col("name")
     spellings = F.array(normalised(name, aliases), normalised(F.substring_index(name, "(", 1), aliases), normalised(F.substring_index(name, "-", 1), aliases))
@@ -29,9 +30,13 @@ def matched(left: DataFrame, right: DataFrame, aliases: dict[str, str] | None =
     exact = exact.groupBy("name").agg(F.min_by("label", F.struct("pos", "ord")).alias("exact"))
     tokens = lambda c: F.array_distinct(F.split(c, " "))
     mine = named.select("name", tokens(normalised(name, aliases)).alias("t"))
-    words = mine.select("name", F.size("t").alias("n"), F.explode("t").alias("w"))
-    other = right.select("label", "ord", F.explode(tokens(F.col("key"))).alias("w")).where("w <> ''")
-    shared = words.join(other, "w").groupBy("name", "n", "label", "ord").agg(F.count("*").alias("score"))
+    labelled = right.select("label", "ord", tokens(F.col("key")).alias("o"))
+    other = labelled.select("label", "ord", "o", F.explode("o").alias("w")).where("w <> ''")
+    often = other.groupBy("w").agg(F.count("*").alias("often"))
+    words = mine.select("name", "t", F.explode("t").alias("w")).join(often, "w", "left")
+    rare = words.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("often", F.lit(0)), "w"))).where("_r <= 2")
+    met = rare.select("name", "t", "w").join(other, "w").dropDuplicates(["name", "label", "ord"])
+    shared = met.select("name", "label", "ord", F.size("t").alias("n"), F.size(F.filter(F.array_intersect("t", "o"), lambda w: w != "")).alias("score"))
     good = shared.where((F.col("score") >= 2) & (F.col("score") >= F.col("n") - 1))
     best = good.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "ord"))).where("_r = 1")
     fuzzy = best.select("name", F.col("label").alias("fuzzy"))

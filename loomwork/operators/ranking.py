@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Weights:
@@ -66,11 +64,6 @@ def total_score(eligibility: Column, purpose: Column, loan: Column, cost: Column
     return F.round(parts / max(w.eligibility + w.purpose + w.loan_amount + w.project_cost + w.other, 1.0), 2)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it is as small as a dimension is, by count; else the join may shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def top(scored: DataFrame, k: int, partition: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """The first k rows of each partition; Spark limits each task to k rows of a partition before it shuffles."""
     w = Window.partitionBy(*partition).orderBy(*order)
@@ -84,11 +77,15 @@ def recommendations(scored: DataFrame, k: int = 10, detailed: int = 3) -> DataFr
 
 
 def near_misses(scored: DataFrame, k: int = 3) -> DataFrame:
-    """For profiles without an eligible scheme: those that fail least. Junk rows only count where there is nothing else."""
-    none = Window.partitionBy("profile_id")
-    missed = scored.withColumn("any_eligible", F.max("eligible").over(none)).where("not any_eligible")
+    """For profiles without an eligible scheme: those that fail least. Junk rows only count where there is nothing else.
+
+    Eligible rows, then good ones, come first, so that each task keeps k rows of a profile before the shuffle; what the first row
+    of a profile is decides over the others.
+    """
     junk = F.lower("name").rlike("shared eligibility|support-myscheme|support myscheme|eligibility criteria")
     good = ~junk & (F.col("max_loan").isNotNull() | F.col("interest_rate").isNotNull())
-    missed = missed.withColumn("good", good).withColumn("any_good", F.max("good").over(none)).where("good or not any_good")
-    order = [F.col("hard_fails"), F.desc("score"), F.col("soft_fails"), F.lower("name"), F.col("scheme_id")]
-    return top(missed, k, ["profile_id"], order)
+    order = [F.desc("eligible"), F.desc("good"), F.col("hard_fails"), F.desc("score"), F.col("soft_fails"), F.lower("name"), F.col("scheme_id")]
+    first = top(scored.withColumn("good", good), k, ["profile_id"], order)
+    own = Window.partitionBy("profile_id")
+    first = first.withColumns({"any_eligible": F.max("eligible").over(own), "any_good": F.max("good").over(own)})
+    return first.where("not any_eligible and (good or not any_good)").drop("any_eligible", "any_good")

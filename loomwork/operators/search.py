@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions.numbers import js_round
+from loomwork.session import small
 
 # Words that queries don't count, and words that name no activity.
 STOP_WORDS = ["and", "or", "the", "a", "an", "of", "for", "to", "in", "on", "with"]
@@ -45,16 +46,16 @@ def search_score(tokens: Column, name: Column, blob: Column) -> Column:
 def search(queries: DataFrame, schemes: DataFrame) -> DataFrame:
     """queries(query_id, q) x schemes(id, name, blob): up to five rows of a query within 25 points of its best.
 
-    Only rows that share a token can score, so queries are exploded to tokens and met with the names' own words' table
-    by containment inside one broadcast of the query set; a query set is small against the rows.
+    Only rows that contain a token of the query anywhere, also inside words, can score, so the join is by containment: a nested
+    loop of the rows over the queries, which are broadcast if they are few by count.
     """
     asked = queries.withColumn("tokens", query_tokens(F.col("q"))).where(F.size("tokens") > 0)
     scored = (
-        schemes.join(F.broadcast(asked), F.exists("tokens", lambda t: F.lower("blob").contains(t)))
+        schemes.join(small(asked), F.exists("tokens", lambda t: F.lower("blob").contains(t)))
         .withColumn("score", search_score(F.col("tokens"), F.lower("name"), F.lower("blob")))
         .where(F.col("score") >= LEAST_SCORE)
     )
+    # The first rows of a query hold its best score, so the rank comes first: each task keeps SHOWN rows of a query before the shuffle.
     own = Window.partitionBy("query_id")
-    banded = scored.withColumn("best", F.max("score").over(own)).where(F.col("score") >= F.col("best") - BAND)
-    rank = F.row_number().over(own.orderBy(F.desc("score"), "name", "id"))
-    return banded.withColumn("rank", rank).where(F.col("rank") <= SHOWN).drop("tokens", "best")
+    ranked = scored.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "name", "id"))).where(F.col("rank") <= SHOWN)
+    return ranked.withColumn("best", F.max("score").over(own)).where(F.col("score") >= F.col("best") - BAND).drop("tokens", "best")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.session import small
+
 # What to do next, where a scheme has no guidance of its own.
 NEXT_STEPS = [
     "Confirm your eligibility against the official scheme page.",
@@ -93,7 +95,7 @@ def filtered(df: DataFrame, text: Column, needle: str = "", category: str = "",
 def coded(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """A column's label, or the code where there is none. labels(code, label): a table of codes, small by nature."""
     names = labels.select(F.col("code").alias(column), F.col("label").alias("_l"))
-    return df.join(F.broadcast(names), column, "left").withColumn(f"{column}_label", F.coalesce("_l", column)).drop("_l")
+    return df.join(small(names), column, "left").withColumn(f"{column}_label", F.coalesce("_l", column)).drop("_l")
 
 
 def best_source(found: DataFrame, key: str, rank: str) -> DataFrame:
@@ -108,7 +110,7 @@ def resolved_places(asked: DataFrame, places: DataFrame) -> DataFrame:
     """
     low = F.trim(F.regexp_replace(F.lower("name"), r"\s+", " "))
     base = F.lower(F.substring_index("place", " (", 1))
-    p = F.broadcast(places)
+    p = small(places)
     exact, inside = F.lower("place") == low, base.contains(low) | low.contains(base)
     names = asked.select("name").where(F.trim("name") != "").distinct()
     hits = names.join(p, exact | inside).groupBy("name").agg(F.min_by("place", F.struct((~exact).alias("rest"), F.col("ord"))).alias("place"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text
 from loomwork.operators import duplicates, extract, gate, names
+from loomwork.session import spread
 from loomwork.sources import pages
 
 
@@ -84,7 +85,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scheme_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract.document_schemes(_texts(spark, sf_dir))
+    out = extract.document_schemes(spread(_texts(spark, sf_dir)))
     return out.select(
         "doc_id", "name", "canonical_key", F.round("max_loan", 2).alias("max_loan"), "interest_rate", "tenure", "moratorium", "max_income", "purpose", "scheme_type",
         "target_gender", F.array_join("categories", ",").alias("categories"), F.array_join("required_documents", ",").alias("documents"),

@@ -215,7 +215,7 @@ ORACLE_SQL = {
         from old o full join new n on o.key = n.key)
       select key, name, balance, valid_to, case when not fresh and (name is distinct from oname or balance is distinct from ob or valid_to is distinct from ov) then 2 else 1 end as version from b""",
     "scd2_versions": f"""with {_CHANGES} select id, row_number() over w as version_number, lead(effective_from) over w as effective_to from ch
-      window w as (partition by entity_id, field_name order by effective_from, id)""",
+      window w as (partition by entity_id order by effective_from, id)""",
     "undo_verdicts": f"""with {_CHANGES}, c as (select *, status in ('approved', 'auto_approved') and field_name <> 'created' as can_undo from ch),
       d as (select *, coalesce(max(case when can_undo then id end) over (partition by entity_id, field_name) > id, false) as has_newer from c)
       select id, can_undo, has_newer, can_undo and not has_newer as undoable from d""",

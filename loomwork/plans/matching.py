@@ -10,10 +10,11 @@ from loomwork.functions.text import purpose_family
 from loomwork.operators import geo, ranking, rules
 from loomwork.plans import views
 from loomwork.plans.views import view
+from loomwork.session import small, spread
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, views.PROFILES).withColumn("user_family", purpose_family(F.col("purpose"))).withColumnRenamed("purpose", "user_purpose")
+    return spread(view(spark, sf_dir, views.PROFILES)).withColumn("user_family", purpose_family(F.col("purpose"))).withColumnRenamed("purpose", "user_purpose")
 
 
 def _schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +56,30 @@ def _scored(pairs: DataFrame) -> DataFrame:
 
 
 def _candidates(profiles: DataFrame, schemes: DataFrame) -> DataFrame:
-    """Pairs that the purpose rule allows: an equi-join on the family, and schemes without a family with everyone."""
-    same = profiles.join(ranking.small(schemes.where("scheme_family is not null")), F.col("user_family") == F.col("scheme_family"))
-    anyone = profiles.join(ranking.small(schemes.where("scheme_family is null")), F.lit(True))
-    return same.unionByName(anyone)
+    """Pairs that no hard rule excludes: an equi-join on purpose family, category and gender, with the rules on amounts as its residual.
+
+    A scheme that leaves one of the three open is entered under `*` there, else under each value that it takes and, as what a profile doesn't say
+    excludes nothing, under none; a profile looks under its own values and under `*`. So every pair meets once.
+    """
+    said = lambda c: F.coalesce(F.lower(c), F.lit("?"))
+    target = F.coalesce(F.nullif(F.lower("target_gender"), F.lit("")), F.lit("any"))
+    either = lambda own, open_: F.when(open_, F.array(F.lit("*"))).otherwise(own)
+    s = (
+        schemes.withColumn("_f", F.explode(either(F.array("scheme_family", F.lit("?")), F.col("scheme_family").isNull())))
+        .withColumn("_c", F.explode(either(F.array_distinct(F.concat("categories", F.array(F.lit("?")))), F.col("categories").isNull())))
+        .withColumn("_g", F.explode(either(F.array(target, F.lit("prefer_not_to_say"), F.lit("?")), target.isin(rules.OPEN_GENDERS))))
+    )
+    p = profiles
+    for name, own in (("_f", said(F.nullif("user_family", F.lit("")))), ("_c", said(F.col("category"))), ("_g", said(F.col("gender")))):
+        p = p.withColumn(name, F.explode(F.array(own, F.lit("*"))))
+    holds = lambda c: F.coalesce(c, F.lit(True))
+    income, loan = F.col("annual_family_income"), F.col("loan_required")
+    bounds = holds(income <= F.col("max_income")) & holds(income >= F.col("min_income")) & holds(loan <= F.col("max_loan")) & holds(loan >= F.col("min_loan"))
+    keys = [p[c] == s[c] for c in ("_f", "_c", "_g")]
+    met = p.join(small(s), [*keys, bounds])
+    for c in ("_f", "_c", "_g"):
+        met = met.drop(p[c]).drop(s[c])
+    return met
 
 
 def rule_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +91,7 @@ def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, schemes = _profiles(spark, sf_dir), _schemes(spark, sf_dir)
     served = _scored(_candidates(profiles, schemes)).where("eligible").select("profile_id").distinct()
     rest = profiles.join(served, "profile_id", "left_anti")
-    missed = ranking.near_misses(_scored(rest.join(ranking.small(schemes), F.lit(True))))
+    missed = ranking.near_misses(_scored(rest.join(small(schemes), F.lit(True))))
     return missed.select("profile_id", "scheme_id", "rank", "hard_fails", "soft_fails", "score")
 
 
@@ -182,7 +203,7 @@ def _rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     profiles = view(spark, sf_dir, views.PROFILES)
     pairs = profiles.select("profile_id", F.lit(1).cast("long").alias("scheme_id"))
-    return rules.evaluate_rows(pairs, F.broadcast(stated), profiles)
+    return rules.evaluate_rows(pairs, small(stated), profiles)
 
 
 def rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

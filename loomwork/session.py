@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BROADCAST_ROWS, SPREAD_ROWS = 200_000, 200_000
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -21,8 +23,25 @@ def session(name: str = "loomwork", master: str | None = None, **settings: str)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a local folder stands in only where that is unset."""
+    """Cut the lineage in the shared folder of spark.checkpoint.dir; only a local master, one machine, may do without that setting."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or "/tmp/checkpoints")
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it is as small as a dimension is, by count; else the join may shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """A small table over all cores, for heavy expressions: its one file, or one group of rows, would be one task.
+
+    The shuffle is bounded by `rows`; larger tables keep their splits.
+    """
+    n = df.count()
+    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 64))) if n <= rows else df
