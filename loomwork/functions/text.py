@@ -25,6 +25,15 @@ PURPOSE_CUES = {
 KEY_LENGTH = 480
 
 
+# First digits of scripts that the pages are written in; a number in any of them counts.
+DIGIT_ZEROS = [0x0660, 0x06F0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0xFF10]
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of other scripts as 0 to 9."""
+    return F.translate(text, "".join(chr(z + i) for z in DIGIT_ZEROS for i in range(10)), "0123456789" * len(DIGIT_ZEROS))
+
+
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match; null where nothing matches."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -79,7 +88,7 @@ def purpose_family(value: Column) -> Column:
 
 def indian_amount(text: Column) -> Column:
     """Rupees of the first number: lakh and crore count, commas and currency signs don't."""
-    t = F.lower(squeezed(text))
+    t = F.lower(ascii_digits(squeezed(text)))
     for sign in (",", "₹", "rs.", "rs", "inr"):
         t = F.replace(t, F.lit(sign))
     number = r"([0-9.]+)"
@@ -93,13 +102,13 @@ def indian_amount(text: Column) -> Column:
 
 
 def percent(text: Column) -> Column:
-    t = squeezed(text)
+    t = ascii_digits(squeezed(text))
     return first_of(t, [r"([0-9.]+)\s*%", r"(?i)([0-9.]+)\s*percent"]).try_cast("double")
 
 
 def months(text: Column) -> Column:
     """Months of a duration; number words go first, a bare number counts months."""
-    t = F.lower(squeezed(text))
+    t = F.lower(ascii_digits(squeezed(text)))
     out = F.when(F.lit(False), 0)
     for word, n in NUMBER_WORDS.items():
         out = out.when(t.rlike(rf"\b{word}\s*years?\b"), n * 12).when(t.rlike(rf"\b{word}\s*months?\b"), n)

@@ -17,7 +17,7 @@ SENSITIVE = [
     "interest_rate", "max_loan", "min_loan", "max_income", "min_income", "tenure", "moratorium", "loan_percentage",
     "beneficiary_requirements", "eligible_activities", "npa_status", "overdue_status", "fund_utilization",
 ]
-UNDOABLE = ["approved", "auto_approved"]
+UNDOABLE = ["auto_approved", "approved", "applied"]
 NULLABLE = ["valid_from", "valid_to", "availability_type"]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.numbers import cosine
-from loomwork.functions.text import extract, first_label
+from loomwork.functions.text import ascii_digits, extract, first_label
 from loomwork.session import small
 
 # Keywords by label, and words of the mixed language with what they stand for.
@@ -55,13 +55,13 @@ def amount(text: Column) -> Column:
     The first kind that occurs and yields an amount decides; plain rupees count from 1000. A bare year is taken for an amount, and
     crore after a currency sign is not read: both are part of what the numbers mean here.
     """
-    t = F.replace(text, F.lit(","))
-    sign = r"(?i)(?:₹|rs\.?|inr)\s*([0-9]+(?:\.[0-9]+)?)\s*(lakhs|lakh|lac|लाख)?"
+    t = F.replace(ascii_digits(text), F.lit(","))
+    sign = r"(?i)(?:₹|rs\.?|inr)\s*([0-9]+(?:\.[0-9]+)?)\s*(lakh|lac|lakhs|लाख)?"
     n, unit = extract(t, sign, 1).try_cast("double"), extract(t, sign, 2)
     bare = extract(t, r"\b([0-9]{4,9})\b").try_cast("double")
     return F.coalesce(
         F.when(unit.isNotNull(), n * 100_000).when(n >= 1000, n),
-        extract(t, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:lakh|lac|लाख)").try_cast("double") * 100_000,
+        extract(t, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:lakh|lac|lakhs|लाख)").try_cast("double") * 100_000,
         extract(t, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:crore|करोड़)").try_cast("double") * 10_000_000,
         F.when(bare >= 1000, bare),
     )
@@ -69,7 +69,7 @@ def amount(text: Column) -> Column:
 
 def parsed(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds purpose, project_type, category, loan_required, age, annual_family_income, n_fields, method and confidence."""
-    original = F.trim(F.coalesce(F.col(text), F.lit("")))
+    original = ascii_digits(F.trim(F.coalesce(F.col(text), F.lit(""))))
     low = F.lower(original)
     for word, meaning in MIXED.items():
         low = F.replace(low, F.lit(word), F.lit(meaning))
