@@ -21,11 +21,11 @@ def _rule_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.split(c, ",") for c in ("categories", "activities")})
 
 
-_SHOWN = ["scheme_id", "rule_type", "operator", "num_value", F.array_join("list_value", ",").alias("list_value"), "str_value", "is_hard"]
+_SHOWN = ["scheme_id", "rule_type", "operator", "num_value", "array_join(list_value, ',') as list_value", "str_value", "is_hard"]
 
 
 def derived_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.derived_rules(_rule_schemes(spark, sf_dir)).select(*_SHOWN)
+    return rules.derived_rules(_rule_schemes(spark, sf_dir)).selectExpr(*_SHOWN)
 
 
 def merged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def merged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = income.unionByName(purpose).withColumns({"ordinal": F.lit(1), "operator": F.lit("eq"), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "list_value": F.lit(None).cast("array<string>"), "is_hard": F.lit(True)})
     merged = rules.merged_rules(stored.select(derived.columns), derived)
     seeded = schemas.absent(derived, stored, ["scheme_id", "rule_type"]).groupBy("scheme_id").agg(F.count("*").alias("seeded"))
-    return merged.join(seeded, "scheme_id", "left").select(*_SHOWN, "seeded")
+    return merged.join(seeded, "scheme_id", "left").selectExpr(*_SHOWN, "seeded")
 
 
 def rule_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
