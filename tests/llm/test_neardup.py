@@ -85,17 +85,17 @@ def test_common_shingles_come_last_and_change_no_result(spark, monkeypatch):
     assert sorted(r.doc_id for r in neardup.one_of_each(d).collect()) == sorted({values[c][0] for c in up})
 
 
-def test_sketches_never_reject_similar_sets():
+def test_odd_sketches_differ_in_no_more_than_the_sets():
     rng = np.random.default_rng(1)
-    for n in (1, 3, 20, 60, 100, 1000):
-        for _ in range(50):
-            base = rng.integers(0, 1 << 63, n).astype(np.uint64)
-            other = base.copy()
-            other[: n // 10] = rng.integers(0, 1 << 63, n // 10)
-            a, b = np.unique(base), np.unique(other)
-            assert neardup.similar(a, b) and neardup.near_sketches(neardup.sketch(a), neardup.sketch(b), len(a), len(b))
-            far = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            assert not neardup.near_sketches(neardup.sketch(a), neardup.sketch(far), len(a), len(far))
+    as_array = lambda own: np.frombuffer(neardup.odd_sketch(own), np.uint64)[None]
+    for n in (1, 3, 20, 60, 100, 1000, 9000):
+        for edits in (0, 1, n // 20, n // 5):
+            base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            other = np.unique(np.append(base[edits:], rng.integers(0, 1 << 63, edits).astype(np.uint64)))
+            differ = len(np.setxor1d(base, other))
+            got = int(neardup.apart(as_array(base), as_array(other))[0])
+            assert got <= differ and (got - differ) % 2 == 0 and (got >= 0.9 * differ or differ > 200)
+            assert not neardup.similar(base, other) or 9 * got <= len(base) + len(other)
 
 
 def test_empty_table(spark):
