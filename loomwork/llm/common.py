@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.session import spread
+
 #: The six ASCII blanks of `[^\x20\x09-\x0D]+`, as a Java character class.
 BLANKS = r"[ \t\n\x0B\f\r]+"
 #: Stands in for spark.checkpoint.dir where that is unset and everything runs on one machine (tests).
@@ -18,10 +20,19 @@ BATCH_BYTES = 16 << 20
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of documents up to which a table is dealt over all cores: its one file, or one group of rows, would be one task.
+SPREAD_ROWS = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents with these columns; larger tables keep their splits."""
+    return spread(table(spark, sf_dir, "documents").select(*columns), SPREAD_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir. Only a local master, one machine, may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)

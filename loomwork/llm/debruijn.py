@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.llm import repeats as R
-from loomwork.llm.common import table, text_batches, words, written
+from loomwork.llm.common import documents, text_batches, words, written
 
 WINDOW = 20
 INNER = 6
@@ -249,7 +249,7 @@ def first_copies_cut(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> Dat
 
 
 def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     own = R.texts(docs, "doc_id", F.unhex(R.text_key()).alias("key")).withColumn("w", words(F.col("text")))
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
     base = written(

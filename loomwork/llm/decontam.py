@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table, text_batches, written
+from loomwork.llm.common import documents, table, text_batches, written
 
 THRESHOLD, OVERLAP = 0.6, 0.8
 SHINGLE = 5
@@ -278,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

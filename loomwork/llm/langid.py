@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomwork.llm import ngrams
-from loomwork.llm.common import table, text_batches, unused
+from loomwork.llm.common import documents, text_batches, unused
 
 SAMPLE_PER_LANG = 400
 SIZES, BITS = (1, 2, 3), 12
@@ -155,7 +155,7 @@ def held_out() -> Column:
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", held_out())
     model = train(docs.where(~F.col("held_out")).select("text", "lang"))
     return identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
 

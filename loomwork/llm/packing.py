@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.llm.common import table, text_batches, written
+from loomwork.llm.common import documents, text_batches, written
 
 LENGTH = 2048
 END = 0
@@ -376,4 +376,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(documents(spark, sf_dir, "doc_id", "text"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.llm import ngrams
-from loomwork.llm.common import table, text_batches
+from loomwork.llm.common import documents, table, text_batches
 
 SAMPLE_PER_CLASS = 1_500
 SIZES, BITS = (1, 2, 3, 4), 16
@@ -145,6 +145,6 @@ def held_out() -> Column:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", held_out())
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return score(docs, train(docs, labels.where(~held_out()))).drop("text")

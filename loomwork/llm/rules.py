@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table, words
+from loomwork.llm.common import documents, words
 
 SAMPLE_ROWS = 2_000
 #: How often a sample is repeated to time a rule, at most, and the seconds that such a job should take.
@@ -163,7 +163,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return judge(documents(spark, sf_dir, "doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import neardup
-from loomwork.llm.common import partitions, table, text_batches, written
+from loomwork.llm.common import documents, partitions, text_batches, written
 from loomwork.llm.components import stars
 
 RADIUS = 3
@@ -163,7 +163,7 @@ def components(prints: DataFrame) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = written(fingerprints(table(spark, sf_dir, "documents")), "prints")
+    prints = written(fingerprints(documents(spark, sf_dir, "doc_id", "text")), "prints")
     return components(prints).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import repeats as R
-from loomwork.llm.common import table, text_batches, written
+from loomwork.llm.common import documents, text_batches, written
 
 LENGTH = 50
 INNER = 20
@@ -195,7 +195,7 @@ def removed_spans(texts: DataFrame, first: DataFrame, hot: int = R.HOT, carried:
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     base = written(
         docs.select(
             "doc_id",
