@@ -98,6 +98,29 @@ def test_odd_sketches_differ_in_no_more_than_the_sets():
             assert not neardup.similar(base, other) or 9 * got <= len(base) + len(other)
 
 
+def test_wide_sketches_of_large_sets():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 9_000).astype(np.uint64))
+    for other, like in ((base[:8_000], True), (np.append(base[:6_000], rng.integers(0, 1 << 63, 3_000).astype(np.uint64)), False), (base[:4_200], False)):
+        other = np.unique(other)
+        got = neardup.wide_apart(neardup.wide_sketch(base), neardup.wide_sketch(other))
+        assert 0.8 * len(np.setxor1d(base, other)) < got <= len(np.setxor1d(base, other))
+        assert neardup.similar(base, other) == like == (9 * got <= len(base) + len(other))
+    assert neardup.wide_sketch(base[:500]) == b""
+
+
+def test_long_near_copies_are_joined(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(9_000)]
+    near, far = list(base), list(base)
+    for i in rng.sample(range(9_000), 100):
+        near[i] = "x"
+    for i in rng.sample(range(9_000), 900):
+        far[i] = "y"
+    values = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([base, near, far])]
+    assert sorted(r.doc_id for r in neardup.one_of_each(documents(spark, values)).collect()) == [0, 2]
+
+
 def test_empty_table(spark):
     assert neardup.one_of_each(documents(spark, []).coalesce(1)).count() == 0
 
