@@ -1,4 +1,4 @@
-"""Crawl control as Structured Streaming: a queue of files drained a few at a time, and content changes with kept state."""
+"""Crawl control as Structured Streaming: due sources polled into a queue of files, drained a few at a time, and content changes with kept state."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomwork.functions.dates import is_due
 from loomwork.operators.runs import crawl_jobs, should_abort
 
 JOBS_PER_BATCH = 3
@@ -70,3 +71,19 @@ def queue_status(waiting: DataFrame, paused: bool, abort_all: bool, abort_except
     return waiting.agg(F.count("*").alias("queue_length")).select(
         "queue_length", F.lit(paused).alias("schedule_paused"), F.lit(abort_all).alias("abort_all"), F.lit(abort_except).cast("long").alias("abort_except_run_id")
     )
+
+
+def poll(spark: SparkSession, sources: Callable[[], DataFrame], folder: str, checkpoint: str, every: str = "5 minutes", once: bool = False) -> StreamingQuery:
+    """Puts due sources into the queue's folder, `source_id` a line and a file, at every trigger.
+
+    sources gives (source_id, enabled, status, last_checked, every_minutes) as they stand then; the clock is a rate stream, and a batch that runs
+    again writes the same files. once: a single trigger, for tests and external schedulers.
+    """
+
+    def enqueue(_: DataFrame, batch_id: int) -> None:
+        due = sources().where(is_due(F.col("enabled"), F.col("status"), F.col("last_checked"), F.col("every_minutes"), F.current_timestamp()))
+        due.select(F.col("source_id").cast("string")).repartition("source_id").write.mode("overwrite").text(f"{folder}/poll={batch_id}")
+
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    clock = clock.writeStream.foreachBatch(enqueue).option("checkpointLocation", checkpoint)
+    return (clock.trigger(once=True) if once else clock.trigger(processingTime=every)).start()

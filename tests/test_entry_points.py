@@ -88,6 +88,30 @@ def test_queue_is_drained_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+def test_due_sources_are_polled_into_the_queue(spark, tmp_path):
+    old, now = dt.datetime(2020, 1, 1), dt.datetime.now() + dt.timedelta(days=1)
+    table = spark.createDataFrame(
+        [(1, True, None, old, 60), (2, True, None, now, 60), (3, False, None, None, 60), (4, True, "MANUAL/RESTRICTED", None, 0), (5, True, "ok", None, None)],
+        "source_id long, enabled boolean, status string, last_checked timestamp, every_minutes int",
+    )
+    crawl.poll(spark, lambda: table, str(tmp_path / "q"), str(tmp_path / "c"), once=True).awaitTermination()
+    assert {r.value for r in spark.read.text(str(tmp_path / "q")).collect()} == {"1", "5"}
+
+
+def test_uploads_fall_back_to_the_whole_text_and_to_names(spark):
+    docs = spark.createDataFrame(
+        [
+            (1, "manual://a.txt", "A", "Scheme Name: Dairy Term Loan Scheme\nMaximum loan: Rs. 2 lakh\nInterest rate: 6%\nChannel Partner Name: Good Centre One\nState: Goa\n"),
+            (2, "manual://b.txt", "Fish Micro Finance Scheme", "Loans for fishing. Maximum loan Rs. 3 lakh. Interest rate 5%. Channel partner: Goa State Finance Corporation."),
+            (3, "manual://c.txt", "Notes", "nothing of that kind"),
+        ],
+        "doc_id int, url string, title string, text string",
+    )
+    schemes, partners = extract.uploaded(docs)
+    assert {(r.doc_id, r.max_loan) for r in schemes.collect()} == {(1, 200000.0), (2, 300000.0)}
+    assert {(r.doc_id, r.confidence) for r in partners.collect()} == {(1, 0.75), (2, 0.5)}
+
+
 def test_changed_content_across_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     body = {c: c * 50 for c in "abc"}
