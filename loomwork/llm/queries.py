@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import chat, debruijn, decontam, langid, packing, quality, rules, sharding, simhash, suffixes
+from loomwork.llm import chat, debruijn, decontam, langid, lines, packing, periodic, quality, rules, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_rules": rules.op8_rules,
     "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
+    "op11_lines": lines.op11_lines,
+    "op12_runs": periodic.op12_runs,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op6_suffixes": suffixes.OP6_SQL,
     "op7_debruijn": debruijn.OP7_SQL,
     "op8_rules": rules.OP8_SQL,
+    "op11_lines": lines.OP11_SQL,
 }
