@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import chat, debruijn, decontam, langid, lines, packing, periodic, quality, rules, sharding, simhash, suffixes
+from loomwork.llm import chat, debruijn, decontam, langid, lines, merkle, packing, periodic, quality, rules, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_lines": lines.op11_lines,
     "op12_runs": periodic.op12_runs,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_debruijn": debruijn.OP7_SQL,
     "op8_rules": rules.OP8_SQL,
     "op11_lines": lines.OP11_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
