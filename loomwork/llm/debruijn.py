@@ -4,13 +4,14 @@ The edges of the graph are the token k-mers, WINDOW words each, between nodes of
 from `repeats`, bucketed by their minimizer. In each bucket edges get exact identities from their words, and the earliest
 source coordinate (document, start) of each edge is found. A bucket returns three kinds of rows (`GRAPH`): the in- and
 out-degree that each node has by the bucket's own repeated edges; runs, edges that follow each other both in a slice and at their
-earliest source, with their nodes; and for every place of a run in a text its coordinates there and at the source.
+earliest source, named by 128 bits of a digest of all their words, with their nodes; and for every place of a run in a text its coordinates
+there and at the source.
 
 Spark joins then compact the graph (`compacted`). Degrees are summed over all buckets; nodes of more than one edge in or out are branching.
 They are joined to the runs, which end there and fall into pieces; pieces are joined to the places of their runs. Where one piece ends
 and the next begins at a node that does not branch, in the text and at the source alike, both belong to one path: a maximal
-nonbranching stretch of a text with one source coordinate. Every path carries a digest of the words at its source, and a text loses
-only words of paths whose own words have that digest (`_rest`), so a coordinate that led elsewhere would remove nothing. (A graph
+nonbranching stretch of a text with one source coordinate. Every path carries a digest of the words at its source, which the words that a
+text is about to lose must have (`verified`): a coordinate that led elsewhere is an error and stops the job. (A graph
 of all k-mers would not survive the shuffle; only k-mers whose minimizer two texts share, or one text has twice, become edges.)
 
 Words are `[^\\x20\\x09-\\x0D]+`. Defined cases: null is a text without words; texts of fewer than WINDOW words are left alone; of documents
@@ -38,8 +39,8 @@ INNER = 6
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-#: node, outs, ins: degrees by one bucket. run, nodes, sums: what a run consists of. doc to source_start, run: a place of a run.
-GRAPH = "doc long, k long, start long, source_doc long, source_start long, run long, nodes array<long>, sums array<long>, node long, outs int, ins int"
+#: node, outs, ins: degrees by one bucket. run, run_low, nodes, sums: what a run consists of. doc to source_start, run, run_low: a place of a run.
+GRAPH = "doc long, k long, start long, source_doc long, source_start long, run long, run_low long, nodes array<long>, sums array<long>, node long, outs int, ins int"
 
 
 def hashed_words(found: list[bytes]) -> np.ndarray:
@@ -51,16 +52,16 @@ def window_sums(h: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.accumulate(np.append(np.uint64(0), R.mixed(R.rolled(h, WINDOW))))
 
 
-def cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     found = data.split()
     if len(found) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = hashed_words(found)
     keys = R.least_of(R.rolled(h, INNER), WINDOW - INNER + 1)
     whole = R.rolled(h, WINDOW)
     order = np.argsort(whole, kind="stable")
     same = whole[order[1:]] == whole[order[:-1]]
-    return keys, keys[order[1:][same]], R.rolled(h, WINDOW - 1)
+    return keys, keys[order[1:][same]]
 
 
 def body(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -98,19 +99,20 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A whole bucket of slices -> rows of GRAPH."""
-    bucket = R.Bucket(batches)
+    bucket = R.Bucket(batches, named=True)
     gone = bucket.gone
-    places, runs, nodes = [gone[:, [0, 1, 2, 4, 5, 6]]], [], None
+    places, runs, nodes = [gone[:, [0, 1, 2, 4, 5, 6, 7]]], [], None
     if bucket.texts:
         own, runs, nodes = _compared(bucket)
         places.append(own)
     places = np.concatenate(places)
     for at in range(0, len(places), 100_000):
-        yield _rows(len(part := places[at : at + 100_000]), **{c: pa.array(part[:, i]) for i, c in enumerate(("doc", "k", "start", "source_doc", "source_start", "run"))})
+        yield _rows(len(part := places[at : at + 100_000]), **{c: pa.array(part[:, i]) for i, c in enumerate(("doc", "k", "start", "source_doc", "source_start", "run", "run_low"))})
     for at in range(0, len(runs), 10_000):
         part = runs[at : at + 10_000]
         longs = pa.list_(pa.int64())
-        yield _rows(len(part), run=pa.array([r for r, *_ in part], pa.int64()), nodes=pa.array([x for _, x, _ in part], longs), sums=pa.array([x for *_, x in part], longs))
+        names = {c: pa.array([r[0][i] for r in part], pa.int64()) for i, c in enumerate(("run", "run_low"))}
+        yield _rows(len(part), **names, nodes=pa.array([x for _, x, _ in part], longs), sums=pa.array([x for *_, x in part], longs))
     if nodes is not None:
         for at in range(0, len(nodes[0]), 100_000):
             node, outs, ins = (x[at : at + 100_000] for x in nodes)
@@ -124,7 +126,7 @@ def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def _compared(b: R.Bucket) -> tuple[np.ndarray, list[tuple], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a bucket's slices: places (doc, k, start, source_doc, source_start, run), runs (run, nodes, sums), and nodes (node, outs, ins)."""
+    """Of a bucket's slices: places (doc, k, start, source_doc, source_start, run, run_low), runs (name, nodes, sums), and nodes (node, outs, ins)."""
     owner, place, edge, word, hashes = edges(b.texts)
     # Slices are met with the earliest of their places; the others follow it window by window.
     first = b.begin[:-1][owner]
@@ -138,24 +140,28 @@ def _compared(b: R.Bucket) -> tuple[np.ndarray, list[tuple], tuple[np.ndarray, n
     head = np.flatnonzero(cuts)
     tail = np.append(head[1:], len(cuts)) - 1
     node = R.rolled(hashes, WINDOW - 1)
-    names = np.array(R.run_names(node, word[head], word[tail] + 1), np.int64)
     entry, p = b.places_of(owner[head])
     start, sd, sa = b.at[p] + place[head][entry], source_doc[head][entry], source_at[head][entry]
     own = (b.doc[p] != sd) | (start != sa)  # the source itself stays
-    places = np.column_stack([b.doc[p], b.k[p], start, sd, sa, names[entry]])[own]
 
-    # What the runs are: those that some place refers to, and slices of which tasks sent only the earliest.
-    used = np.unique(entry[own])
-    begins, stops = word[head[used]], word[tail[used]] + 1
+    # What the runs are: those that some place refers to, and slices of which tasks sent only the earliest. Their names hold all their words.
+    sums = window_sums(hashes)
+    signed, total = node.view(np.int64), sums.view(np.int64)
+    names, runs = np.zeros((len(head), 2), np.int64), {}
+    for i in np.unique(entry[own]).tolist():
+        text, a, z = b.texts[owner[head[i]]], int(word[head[i]]), int(word[tail[i]]) + 1
+        if z - a != text.count(b" ") + 2 - WINDOW:  # not the whole slice
+            text = b" ".join(text.split(b" ")[place[head[i]] : place[tail[i]] + WINDOW])
+        name = R.run_name(text)
+        names[i] = name
+        runs[name] = (name, signed[a : z + 1], total[a : z + 1])
     if len(whole := np.flatnonzero(b.times)):
         windows = np.bincount(owner, minlength=len(b.texts))
         lead = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        begins, stops = np.append(begins, word[lead[whole]]), np.append(stops, word[lead[whole]] + windows[whole])
-    sums = window_sums(hashes)
-    signed, total = node.view(np.int64), sums.view(np.int64)
-    runs = {}
-    for name, a, z in zip(R.run_names(node, begins, stops), begins.tolist(), stops.tolist(), strict=True):
-        runs.setdefault(name, (name, signed[a : z + 1], total[a : z + 1]))
+        for i, a in zip(whole.tolist(), word[lead[whole]].tolist(), strict=True):
+            name, z = R.run_name(b.texts[i]), a + int(windows[i])
+            runs[name] = (name, signed[a : z + 1], total[a : z + 1])
+    places = np.column_stack([b.doc[p], b.k[p], start, sd, sa, names[entry]])[own]
 
     # Degrees: every distinct edge that occurs twice or more leaves one node and enters another.
     many = np.add.reduceat((np.diff(b.begin) + b.times)[owner][order], starts) > 1
@@ -172,13 +178,13 @@ def branching(graph: DataFrame) -> DataFrame:
 
 
 def pieces(graph: DataFrame) -> DataFrame:
-    """(run, pieces): runs in pieces that end at branching nodes, array<struct<a, z, branches, digest>>, counted from the run's start."""
-    runs = graph.where("nodes is not null").select("run", "nodes", "sums")
-    cuts = runs.select("run", F.posexplode("nodes").alias("at", "node")).join(branching(graph), "node", "left_semi")
-    cuts = cuts.groupBy("run").agg(F.array_sort(F.collect_set("at")).alias("cuts"))  # at most one for each word of a slice
+    """(run, run_low, pieces): runs in pieces that end at branching nodes, array<struct<a, z, branches, digest>>, counted from the run's start."""
+    runs = graph.where("nodes is not null").select("run", "run_low", "nodes", "sums")
+    cuts = runs.select("run", "run_low", F.posexplode("nodes").alias("at", "node")).join(branching(graph), "node", "left_semi")
+    cuts = cuts.groupBy("run", "run_low").agg(F.array_sort(F.collect_set("at")).alias("cuts"))  # at most one for each word of a slice
     known = F.coalesce("cuts", F.array().cast("array<int>"))
     bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), known, F.array(F.size("nodes") - 1))))
-    out = runs.join(cuts, "run", "left").select("run", "sums", known.alias("cuts"), bounds.alias("bounds"))
+    out = runs.join(cuts, ["run", "run_low"], "left").select("run", "run_low", "sums", known.alias("cuts"), bounds.alias("bounds"))
     piece = F.transform(
         F.slice("bounds", 1, F.size("bounds") - 1),
         lambda a, i: F.struct(
@@ -188,7 +194,7 @@ def pieces(graph: DataFrame) -> DataFrame:
             F.get("sums", F.get("bounds", i + 1)).bitwiseXOR(F.get("sums", a)).alias("digest"),
         ),
     )
-    return out.select("run", piece.alias("pieces"))
+    return out.select("run", "run_low", piece.alias("pieces"))
 
 
 def compacted(graph: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def compacted(graph: DataFrame) -> DataFrame:
     """
     cut_ = written(pieces(graph), "pieces")
     p = F.col("p")
-    at = graph.where("doc is not null").join(cut_, "run").select("doc", "k", "start", "source_doc", (F.col("start") - F.col("source_start")).alias("line"), F.explode("pieces").alias("p"))
+    at = graph.where("doc is not null").join(cut_, ["run", "run_low"]).select("doc", "k", "start", "source_doc", (F.col("start") - F.col("source_start")).alias("line"), F.explode("pieces").alias("p"))
     at = at.select("doc", "k", "source_doc", "line", (F.col("start") + p.a).alias("start"), (F.col("start") + p.z).alias("end"), p.branches.alias("branches"), p.digest.alias("digest"))
     line = Window.partitionBy("doc", "k", "source_doc", "line").orderBy("start", "end")
     fresh = F.col("branches") | F.coalesce(F.lag("end").over(line) != F.col("start"), F.lit(True))
@@ -213,12 +219,13 @@ def compacted(graph: DataFrame) -> DataFrame:
 
 
 def verified(found: list[bytes], spans: list[tuple[int, int, int]]) -> np.ndarray:
-    """The spans (start, end) of windows whose words have the digest of their source, ordered by start."""
+    """The spans (start, end) of windows, ordered by start. All must have the digest of their source."""
     pairs = np.array([(a, z) for a, z, _ in spans], np.int64).reshape(-1, 2)
     sums = window_sums(hashed_words(found))
     own = (sums[np.minimum(pairs[:, 0], len(sums) - 1)] ^ sums[np.minimum(pairs[:, 1], len(sums) - 1)]).view(np.int64)
-    good = (own == np.array([d for *_, d in spans], np.int64)) & (pairs[:, 1] < len(sums))
-    pairs = pairs[good]
+    odd = (own != np.array([d for *_, d in spans], np.int64)) | (pairs[:, 1] >= len(sums))
+    if odd.any():
+        raise ValueError(f"windows {pairs[odd][0].tolist()} of {len(sums) - 1} are not those of their source")
     return pairs[np.argsort(pairs[:, 0], kind="stable")]
 
 
@@ -239,7 +246,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
     """The compacted paths of the first copies of texts, with their source coordinates; starts and ends count windows."""
     text_batches(docs.sparkSession)
-    return compacted(written(R.slices(R.texts(docs), first, cut, body, again=True, hot=hot).mapInArrow(_graph, GRAPH), "graph"))
+    return compacted(written(R.slices(R.texts(docs), first, cut, body, again=True, hot=hot, named=True).mapInArrow(_graph, GRAPH), "graph"))
 
 
 def first_copies_cut(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:

@@ -19,6 +19,7 @@ as it remembers them (`SEEN`). There are spark.sql.shuffle.partitions buckets, a
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
 SEEN = 1 << 17
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIX = 48
+_TWO = struct.Struct("<qq")
 #: Texts of a key above which its windows are spread by themselves.
 HOT = 50_000
 #: Texts of the sample for common keys, and how many of them make a key common.
@@ -120,8 +122,8 @@ def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> np.uint64(SIX - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
 
 
-#: text -> the key of each window; the keys of windows that occur again in the same text; a hash for each place between windows, or none.
-Cut = Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: text -> the key of each window; the keys of windows that occur again in the same text.
+Cut = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
 KEYS = "bucket int, vals binary, ts binary, counts binary, common boolean"
 
 
@@ -169,7 +171,7 @@ def _send_keys(cut: Cut, n: int, common: np.ndarray = np.zeros(0, np.uint64)) ->
                 if len(seen) == SEEN:
                     seen.clear()
                 seen.add(t)
-                keys, again, _ = cut((text or "").encode("utf-8", "replace"))
+                keys, again = cut((text or "").encode("utf-8", "replace"))
                 if not len(keys):
                     continue
                 keys, again = np.unique(sent(keys[runs(keys)[0]])), np.unique(sent(again))
@@ -238,14 +240,14 @@ def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
 class _Slices:
     """What a task has gathered: for each slice its earliest places, and the places that come later."""
 
-    def __init__(self, n: int, again: bool):
+    def __init__(self, n: int, again: bool, named: bool):
         self.n, self.again = n, again  # again: a later place in the same document counts as later
+        self.named = named  # later places carry the name of their run
         self.found: dict[tuple[int, bytes], list[int]] = {}
         self.later: list[int] = []
         self.held = 0
 
-    def add(self, bucket: int, body: bytes, windows: int, doc: int, place: int, run: int) -> None:
-        """run: a number for what the slice holds, for the operator."""
+    def add(self, bucket: int, body: bytes, windows: int, doc: int, place: int) -> None:
         own = self.found.get((bucket, body))
         if own is None:
             self.found[bucket, body] = [0, doc, place]
@@ -253,15 +255,16 @@ class _Slices:
             return
         if (doc, place) == (own[1], own[2]):  # a repeated row
             return
+        name = run_name(body) if self.named else ()
         if doc == own[1] and not self.again:
             own += (doc, place)
         elif (doc, place) < (own[1], own[2]):
             for d, p in zip(own[1::2], own[2::2], strict=True):
-                self.later += (d, p, windows, doc, place, run)
+                self.later += (d, p, windows, doc, place, *name)
             own[0] += len(own) // 2
             own[1:] = doc, place
         else:
-            self.later += (doc, place, windows, own[1], own[2], run)
+            self.later += (doc, place, windows, own[1], own[2], *name)
             own[0] += 1
         self.held += 130
 
@@ -272,7 +275,7 @@ class _Slices:
             own.setdefault(bucket, []).append((body, places))
         gone: dict[int, bytes] = {}
         if self.later:
-            rows = np.array(self.later, np.int64).reshape(-1, 6)
+            rows = np.array(self.later, np.int64).reshape(-1, 7 if self.named else 5)
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             to = bucket_of(mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(64 - SIX), self.n)
             order = np.argsort(to, kind="stable")
@@ -288,39 +291,35 @@ class _Slices:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "bodies", "sizes", "places", "gone"])
 
 
-def run_names(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
-    """A number for each run of windows, from the marks at its two ends and its length; zeros without marks."""
-    if not len(marks):
-        return [0] * len(starts)
-    return mixed(mixed(marks[starts] * _M1 + marks[ends]) + (ends - starts).astype(np.uint64)).view(np.int64).tolist()
+def run_name(body: bytes) -> tuple[int, int]:
+    """A name for a run of windows: 128 bits of a digest of all that it holds, as two signed numbers."""
+    return _TWO.unpack(xxhash.xxh3_128_digest(body))
 
 
-def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int, again: bool) -> Callable:
+def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int, again: bool, named: bool) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Slices(n, again)
+        out = _Slices(n, again, named)
         for batch in batches:
             texts = batch["text"] if "text" in batch.schema.names else batch["rec"].field("text")
             columns = (batch["doc"], batch["k"], texts, batch["vals"], batch["hot"])
             for doc, k, text, vals, hot in zip(*(c.to_pylist() for c in columns), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                keys, _, marks = cut(data)
-                keys = sent(keys)
+                keys = sent(cut(data)[0])
                 starts, ends = runs(keys)
                 mine = np.isin(keys[starts], from_six(b"".join(vals)))
                 starts, ends = starts[mine], ends[mine]
                 many = np.isin(keys[starts], from_six(b"".join(hot)))
                 if many.any():  # each window by itself, to a bucket of its own
                     single = np.concatenate([np.arange(a, z) for a, z in zip(starts[many], ends[many], strict=True)])
-                    names = run_names(marks, single, single + 1)
-                    for s, at, run in zip(body(data, single, single + 1), single.tolist(), names, strict=True):
-                        out.add(xxhash.xxh3_64_intdigest(s) % n, s, 1, doc, k << PLACE | at, run)
+                    for s, at in zip(body(data, single, single + 1), single.tolist(), strict=True):
+                        out.add(xxhash.xxh3_64_intdigest(s) % n, s, 1, doc, k << PLACE | at)
                     starts, ends = starts[~many], ends[~many]
-                buckets, names = bucket_of(keys[starts], n).tolist(), run_names(marks, starts, ends)
-                for b, s, at, end, run in zip(buckets, body(data, starts, ends), starts.tolist(), ends.tolist(), names, strict=True):
-                    out.add(b, s, end - at, doc, k << PLACE | at, run)
+                buckets = bucket_of(keys[starts], n).tolist()
+                for b, s, at, end in zip(buckets, body(data, starts, ends), starts.tolist(), ends.tolist(), strict=True):
+                    out.add(b, s, end - at, doc, k << PLACE | at)
             if out.held > FLUSH:
                 yield out.batch()
-                out = _Slices(n, again)
+                out = _Slices(n, again, named)
         if out.found:
             yield out.batch()
 
@@ -355,13 +354,13 @@ def buckets(first: DataFrame) -> int:
     return max(partitions(first.sparkSession), min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
 
 
-def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text") -> DataFrame:
+def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text", named: bool = False) -> DataFrame:
     """texts(doc, t, text), first(first, t, k, n_bytes) -> packed rows of slices and their places (see `Bucket`), dealt by bucket.
 
     carried: the column that is shuffled to meet the shared keys, the text or `rec`, a struct with a field text. A later join that
     carries the same columns by doc and t uses the same shuffle.
 
-    again: a later place in the same document counts as later, too.
+    again: a later place in the same document counts as later, too. named: places that go whole carry the name of their run.
     """
     text_batches(texts.sparkSession)
     n = buckets(first)
@@ -370,7 +369,7 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again:
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"), F.collect_list("hot").alias("hot"))
     wanted = first.select(F.col("first").alias("doc"), "t", "k").join(wanted, "t")
     found = texts.select("doc", "t", carried).join(wanted, ["doc", "t"]).mapInArrow(
-        _send_slices(cut, body, FINER * n, again), "bucket int, bodies binary, sizes binary, places binary, gone binary"
+        _send_slices(cut, body, FINER * n, again, named), "bucket int, bodies binary, sizes binary, places binary, gone binary"
     )
     return found.repartitionById(FINER * n, "bucket")
 
@@ -380,10 +379,10 @@ class Bucket:
 
     texts: the slices. of, doc, k, at: for each place its slice, document, text number and first window, ascending.
     begin: where the places of each slice begin, one more at the end. times: how many places of each slice went as gone elsewhere.
-    gone: rows doc, k, window, number of windows, document and window of an earlier place of the same slice, and its run.
+    gone: rows doc, k, window, number of windows, document and window of an earlier place of the same slice, and two numbers of its name if named.
     """
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
+    def __init__(self, batches: Iterator[pa.RecordBatch], named: bool = False):
         number: dict[bytes, int] = {}
         ids, many, times, places, gone = [], [], [], [], []
         for batch in batches:
@@ -396,8 +395,8 @@ class Bucket:
                 places.append(own)
                 gone.append(later)
         low = (1 << PLACE) - 1
-        g = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 6)
-        self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & low, g[:, 2], g[:, 3], g[:, 4] & low, g[:, 5]])
+        g = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 7 if named else 5)
+        self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & low, g[:, 2], g[:, 3], g[:, 4] & low, g[:, 5:]])
         self.texts = list(number)
         self.times = np.bincount(np.array(ids, np.int64), np.concatenate(times) if times else None, len(number)).astype(np.int64)
         of = np.repeat(np.array(ids, np.int64), np.concatenate(many) if many else 0)

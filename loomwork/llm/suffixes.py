@@ -32,12 +32,12 @@ SHALLOW = 2  # characters of eight bytes
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     none = np.empty(0, np.uint64)
     if len(data) < LENGTH:
-        return none, none, none
+        return none, none
     a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    return R.least_of(R.rolled(R.mixed(a + np.uint64(1)), INNER), LENGTH - INNER + 1), none, none
+    return R.least_of(R.rolled(R.mixed(a + np.uint64(1)), INNER), LENGTH - INNER + 1), none
 
 
 def body(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:

@@ -160,13 +160,60 @@ def test_paths_end_where_the_graph_branches(spark, hot):
     assert branching and len(got) < len(later) / 3
 
 
-def test_only_words_that_the_source_confirms_go():
+def test_words_that_are_not_the_sources_stop_the_job():
     words_ = [f"w{i}".encode() for i in range(60)]
     sums = debruijn.window_sums(debruijn.hashed_words(words_))
     digest = lambda a, z: int((sums[a] ^ sums[z]).view(np.int64))
-    spans = [(20, 30, digest(20, 30)), (3, 9, digest(3, 9)), (3, 10, digest(3, 9)), (35, 90, 0)]
+    spans = [(20, 30, digest(20, 30)), (3, 9, digest(3, 9))]
     assert debruijn.verified(words_, spans).tolist() == [[3, 9], [20, 30]]
-    assert debruijn.verified(words_[:5], spans).tolist() == []
+    for odd in ((3, 10, digest(3, 9)), (35, 90, 0)):
+        with pytest.raises(ValueError, match="not those of their source"):
+            debruijn.verified(words_, [*spans, odd])
+
+
+def low_phrase():
+    """Six words whose hash is lower than any other's here: the minimizer of all windows that hold them."""
+    found = [[f"q{k}a{j}".encode() for j in range(6)] for k in range(20_000)]
+    h = np.concatenate([R.rolled(debruijn.hashed_words(x), debruijn.INNER) for x in found])
+    return [x.decode() for x in found[int(h.argmin())]]
+
+
+def forms(phrase, n_forms, n_copies, seed):
+    """Passages that are equal but for one filler word, around a phrase that returns every eleven words, each in several documents."""
+    rng, out = random.Random(seed), []
+    for v in range(n_forms):
+        passage = []
+        for k in range(8):
+            passage += [*phrase, *(f"fill{k}_{j}" if (k, j) != (4, 2) else f"other{v}" for j in range(5))]
+        for c in range(n_copies):
+            own = [f"u{v}_{c}_{j}" for j in range(30)]
+            out.append((rng.randrange(10**6), " ".join(own[:15] + passage + own[15:]), "en", "s", 0))
+    return out
+
+
+@pytest.mark.parametrize("key_buckets", [1, 4])
+def test_runs_between_equal_ends_are_told_apart(spark, tmp_path, monkeypatch, key_buckets):
+    values = forms(low_phrase(), 3, 2, 1)
+    monkeypatch.setattr(R, "buckets", lambda first: key_buckets)
+    d = saved(spark, tmp_path, documents=documents(spark, values))
+    got = debruijn.op7_debruijn(spark, d).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_words(values)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_recurring_phrases_against_brute_force(spark, tmp_path, seed):
+    """Few words, phrases that recur within a window, and templates that differ in one place."""
+    rng = random.Random(seed)
+    phrase = low_phrase()
+    values = forms(phrase, 4, 3, seed)
+    for i in range(30):
+        w = []
+        while len(w) < rng.randint(30, 160):
+            w += rng.choice([phrase, [rng.choice("abc") for _ in range(rng.randint(1, 6))], [f"f{j}" for j in range(rng.randint(1, 9))]])
+        values.append((2_000_000 + i, " ".join(w), "en", "s", 0))
+    d = saved(spark, tmp_path, documents=documents(spark, values))
+    got = debruijn.op7_debruijn(spark, d).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_words(values)
 
 
 def test_repeated_rows_and_many_texts_of_a_null_doc_id(spark, tmp_path):
