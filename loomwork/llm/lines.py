@@ -31,17 +31,21 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(ASCII_BLANKS))
+
+
 def line_key(line: Column) -> Column:
     """`lower` where all is ASCII, as it is fast; it would change other letters as well."""
-    bare = F.btrim(line, F.lit(ASCII_BLANKS))
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+    own = bare(line)
+    return F.when(F.octet_length(own) == F.length(own), F.lower(own)).otherwise(F.translate(own, UPPER, LOWER))
 
 
 def exploded(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc, t, at, h) of every line whose key is long enough: its document, text, position, and the hash of its key."""
-    lines = docs.select(order_key().alias("doc"), F.unhex(text_key()).alias("t"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
-    keys = lines.select("doc", "t", "at", line_key(F.col("line")).alias("key"))
-    return keys.where(F.length("key") >= least_chars).select("doc", "t", "at", F.unhex(F.md5("key")).alias("h"))
+    texts = docs.select(order_key().alias("doc"), F.unhex(text_key()).alias("t"), split_lines(F.col("text")).alias("lines"))  # once a text, not a line
+    lines = texts.select("doc", "t", F.posexplode("lines").alias("at", "line")).where(F.length(bare(F.col("line"))) >= least_chars)
+    return lines.select("doc", "t", "at", F.unhex(F.md5(line_key(F.col("line")))).alias("h"))
 
 
 def repeated(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
