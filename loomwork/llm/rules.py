@@ -2,8 +2,9 @@
 
 Words are `[^\\x20\\x09-\\x0D]+`. Every document gets its base features; the base rules decide first, then the
 cascade: a chain of conditions in which a later rule is computed only for rows that every earlier rule let pass.
-The order comes from a sample of about `SAMPLE_ROWS` rows at any size (one in so many, by a hash of doc_id and text). A rule's cost
-is the time that a job over many repetitions of the sample takes with it, less the time of the same job without it. Its selectivity is
+The order comes from a sample of about `SAMPLE_ROWS` rows at any size (one in so many, by a hash of doc_id and text), in one job: each rule is
+evaluated `REPEATS` times on each row between two readings of the clock, one rule after the other, and the least of these times, less that of
+an empty rule, counts. So what a job, a busy machine or a collection of garbage takes is nobody's cost. A rule's selectivity is
 that on the rows which the base and the rules before it let pass: the combinations of rules that reject a row are counted once, and the
 rule with most rejections for its cost comes first, then the best of what is left. The order changes what is computed, never the verdict.
 
@@ -14,7 +15,6 @@ alike, row by row; an empty table gives no rows; other columns are ignored. No s
 from __future__ import annotations
 
 import logging
-import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import documents, words
 
 SAMPLE_ROWS = 2_000
-#: How often a sample is repeated to time a rule, at most, and the seconds that such a job should take.
-REPEATS, SECONDS = 16, 0.5
+#: How often a rule is timed on a row of the sample; the least cost of a rule on a row, in nanoseconds.
+REPEATS, LEAST_NS = 5, 10
 MIN_WORDS = 50
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -109,48 +109,41 @@ def by_worth(costs: list[float], rejected: dict[int, int]) -> list[tuple[int, in
     return out
 
 
-def seconds(sample: DataFrame, fails: Column | None, repeats: int) -> float:
-    """Of a job that reads all columns of the sample and judges each of its rows so many times."""
-    rows = reduce(DataFrame.unionAll, [sample] * repeats)
-    read = F.count_if(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in sample.columns)))
-    began = time.perf_counter()
-    rows.agg(read, *([] if fails is None else [F.count_if(F.coalesce(fails, F.lit(False)))])).first()
-    return time.perf_counter() - began
-
-
-def costs(sample: DataFrame, rules: list[Rule]) -> list[float]:
-    """Seconds of each rule for one pass over the sample, with the time of an empty rule taken off."""
-    once = [seconds(sample, r.fails, 1) for r in rules]  # compiles, too
-    once = [seconds(sample, r.fails, 1) for r in rules]
-    out = []
-    empty: dict[int, float] = {}
-    for rule, took in zip(rules, once, strict=True):
-        n = max(2, min(REPEATS, int(SECONDS / took)))
-        if n not in empty:
-            empty[n] = min(seconds(sample, None, n) for _ in range(2))
-        out.append(max((seconds(sample, rule.fails, n) - empty[n]) / n, 1e-5))
-    return out
+def clock() -> Column:
+    return F.java_method(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+
+def timed(fails: Column, repeats: int = REPEATS) -> Column:
+    """struct(ns, fails): the least time of so many evaluations on a row, and the outcome.
+
+    Inside a lambda an expression is evaluated each time that the lambda is, and a struct's fields in order.
+    """
+    readings = F.transform(
+        F.sequence(F.lit(1), F.lit(repeats)),
+        lambda _: F.struct(clock().alias("began"), F.coalesce(fails, F.lit(False)).alias("fails"), clock().alias("ended")),
+    )
+    return F.array_min(F.transform(readings, lambda r: F.struct((r.ended - r.began).alias("ns"), r.fails.alias("fails"))))
+
+
+def measured(featured: DataFrame, rules: list[Rule]) -> tuple[list[float], dict[int, int]]:
+    """Of rows with features that the base lets pass: nanoseconds a row of each rule, and how many rows each set of rules, as bits, rejects. One job."""
+    names = [f"_rule{k}" for k in range(len(rules))]
+    read = featured.select(base_failed().alias("_out"), timed(F.lit(False)).alias("_empty"), *(timed(r.fails).alias(c) for c, r in zip(names, rules, strict=True)))
+    mask = reduce(Column.bitwiseOR, (F.when(F.col(c).fails, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(names)))
+    own = read.select("_out", mask.alias("_mask"), *((F.col(c).ns - F.col("_empty").ns).alias(c) for c in names))
+    found = [r for r in own.groupBy("_out", "_mask").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names)).collect() if not r["_out"]]  # a row for each set
+    n = sum(r.n for r in found)
+    return [max(sum(r[c] for r in found) / max(n, 1), LEAST_NS) for c in names], {r["_mask"]: r.n for r in found}
 
 
 def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections for their cost on the sample, each on what those before it let pass."""
-    # Cached before it is filtered: a filter that moves below the features would compute them again inside lambdas.
     every = max(1, docs.count() // sample_rows)
-    featured = with_features(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")).cache()
-    sample = featured.where(~base_failed()).cache()
-    try:
-        if len(rules) < 2 or not sample.count():
-            return rules
-        mask = reduce(Column.bitwiseOR, (F.when(r.fails, F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules)))
-        rejected = {r.mask: r["count"] for r in sample.groupBy(mask.alias("mask")).count().collect()}  # at most a row of the sample each
-        each = costs(sample, rules)
-        order = by_worth(each, rejected)
-        for k, n in order:
-            logging.getLogger(__name__).info("rule %s: %.6f s a pass over the sample, rejects %d of what is left", rules[k].name, each[k], n)
-        return [rules[k] for k, _ in order]
-    finally:
-        sample.unpersist()
-        featured.unpersist()
+    each, rejected = measured(with_features(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")), rules)
+    order = by_worth(each, rejected)
+    for k, n in order:
+        logging.getLogger(__name__).info("rule %s: %.0f ns a row of the sample, rejects %d of what is left", rules[k].name, each[k], n)
+    return [rules[k] for k, _ in order]
 
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

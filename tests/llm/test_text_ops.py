@@ -72,11 +72,26 @@ def test_rules_are_ordered_by_rejections_of_what_is_left():
 
 
 def test_cost_is_the_rule_and_not_the_job(spark):
-    sample = rules.with_features(documents(spark).select("text")).cache()
+    featured = rules.with_features(documents(spark).select("text"))
     free, dear = rules.Rule("free", F.col("n_words") > 5), rules.Rule("dear", F.exists("w", lambda x: F.sha2(F.repeat(x, 200), 256) == "x"))
-    a, b = rules.costs(sample, [free, dear])
-    assert a < b / 3
-    assert [r.name for r in rules.ordered(documents(spark), [dear, free], 1000)] == ["free", "dear"]
+    n = [r.out for r in featured.select(rules.base_failed().alias("out")).collect()].count(False)
+    for pair in ([free, dear], [dear, free]):
+        costs, rejected = rules.measured(featured, pair)
+        a, b = costs if pair[0] is free else costs[::-1]
+        assert a < b / 10
+        assert rejected == {1 if pair[0] is free else 2: n}
+        assert [r.name for r in rules.ordered(documents(spark), pair, 1000)] == ["free", "dear"]
+
+
+def test_rules_are_timed_in_one_job_and_every_time(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("timed", "timed")
+    rules.ordered(documents(spark), rules.cascade_rules(), 10)
+    assert len(tracker.getJobIdsForGroup("timed")) <= 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    dear = F.length(F.sha2(F.repeat(F.col("id").cast("string"), 100_000), 256)) < 1
+    once = spark.range(1).select(rules.timed(dear, 1).ns).first()[0]
+    assert once > 20_000  # all of the digest lies between the readings
 
 
 # ---- sharding
