@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,45 +45,63 @@ def shared_folder(spark: SparkSession) -> str:
     return found or LOCAL_CHECKPOINTS
 
 
-#: Tables of `written` that are still there, oldest first.
-_WRITTEN: list[str] = []
+#: What the innermost `own_tables` of this thread has seen written.
+_OWN: ContextVar[list[str] | None] = ContextVar("own_tables", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation.
 
-    Parquet rather than checkpoint(), whose files are uncompressed rows. The table stays until `discard` or `sweep` removes it,
-    as a result that is not yet computed may read it.
+    Parquet rather than checkpoint(), whose files are uncompressed rows. The table stays until `discard` removes it, or the end of `own_tables` does:
+    a result that is not yet computed may read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/loomwork/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` writes inside, in this thread, go at its end, also if it fails. Those of other queries of the same driver stay."""
+    paths: list[str] = []
+    token = _OWN.set(paths)
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        _remove(spark, paths)
+
+
+def stored(make: Callable[[], DataFrame], path: str) -> DataFrame:
+    """The result of a query, written to a path of the caller's; the tables that the query wrote on its way are removed."""
+    spark = SparkSession.getActiveSession()
+    with own_tables(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of `written` that no plan reads any more."""
     _remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
-def mark() -> int:
-    """A point in time for `sweep`."""
-    return len(_WRITTEN)
+def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        with contextlib.suppress(Exception):  # a folder that is gone, or not to be removed, harms no result
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Remove all tables written since a mark, but for the last `keep`: when what was computed from them is stored or done with."""
-    _remove(spark, set(_WRITTEN[since : len(_WRITTEN) - keep]))
+def mark() -> int:
+    return 0
 
 
-def _remove(spark: SparkSession, paths: set[str]) -> None:
-    for path in paths:
-        with contextlib.suppress(Exception):
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-    gone = {p.rsplit("/", 1)[-1] for p in paths}
-    _WRITTEN[:] = [p for p in _WRITTEN if p.rsplit("/", 1)[-1] not in gone]
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Nothing: `own_tables` removes tables."""
 
 
 def partitions(spark: SparkSession) -> int:
