@@ -49,15 +49,15 @@ def shared_folder(spark: SparkSession) -> str:
 _OWN: ContextVar[list[str] | None] = ContextVar("own_tables", default=None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation.
 
     Parquet rather than checkpoint(), whose files are uncompressed rows. The table stays until `discard` removes it, or the end of `own_tables` does:
-    a result that is not yet computed may read it.
+    a result that is not yet computed may read it. kept: `own_tables` leaves it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/loomwork/{name}-{uuid.uuid4().hex}"
-    if (own := _OWN.get()) is not None:
+    if not kept and (own := _OWN.get()) is not None:
         own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -96,14 +96,6 @@ def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def mark() -> int:
-    return 0
-
-
-def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Nothing: `own_tables` removes tables."""
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
