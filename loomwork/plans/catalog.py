@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.plans import extraction, history, matching, promotion, scalars, shown
+from loomwork.plans import extraction, history, matching, promotion, scalars, shown, uploads
 
-_PARTS = (matching, scalars, history, extraction, promotion, shown)
+_PARTS = (matching, scalars, history, extraction, promotion, shown, uploads)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}
