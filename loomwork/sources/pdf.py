@@ -423,7 +423,7 @@ def lines_of(file: File, content: bytes, resources: dict, fonts: dict, depth: in
 
 
 def _joined(lines: list[str]) -> str:
-    return "\n".join(x for x in (re.sub(r"[\s\x00]+", " ", x).strip() for x in lines) if x)
+    return "\n".join(x for x in (re.sub(r"[\s\x00-\x1f\x7f]+", " ", x).strip() for x in lines) if x)
 
 
 def pdf_text(data: bytes | None) -> str | None:
@@ -435,7 +435,13 @@ def pdf_text(data: bytes | None) -> str | None:
     if len(tree) > ENOUGH:
         return tree
     loose = []
-    named = {k: v for f in file.of_type("Font") if (k := file.get(f.get("Name"))) for v in [f]}
+    named: dict[str, object] = {}  # fonts by what any page calls them
+    for number in sorted({*file.places, *file.packed}):
+        own = file.get(Ref(number))
+        about = own.about if isinstance(own, Stream) else own if isinstance(own, dict) else {}
+        for holder in (about, file.get(about.get("Resources"))):
+            if isinstance(holder, dict) and isinstance(fonts_here := file.get(holder.get("Font")), dict):
+                named = fonts_here | named
     for number in file.places:
         if isinstance(own := file.get(Ref(number)), Stream) and own.about.get("Type") not in ("ObjStm", "XRef"):
             try:
