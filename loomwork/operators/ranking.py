@@ -76,16 +76,20 @@ def recommendations(scored: DataFrame, k: int = 10, detailed: int = 3) -> DataFr
     return best.withColumn("detail_level", F.when(F.col("rank") <= detailed, "full").otherwise("summary"))
 
 
+def good_offer() -> Column:
+    """A scheme that names a figure and is not a page about something else."""
+    junk = F.lower("name").rlike("shared eligibility|support-myscheme|support myscheme|eligibility criteria")
+    return F.coalesce(~junk, F.lit(False)) & (F.col("max_loan").isNotNull() | F.col("interest_rate").isNotNull())
+
+
 def near_misses(scored: DataFrame, k: int = 3) -> DataFrame:
     """For profiles without an eligible scheme: those that fail least. Junk rows only count where there is nothing else.
 
     Eligible rows, then good ones, come first, so that each task keeps k rows of a profile before the shuffle; what the first row
     of a profile is decides over the others.
     """
-    junk = F.lower("name").rlike("shared eligibility|support-myscheme|support myscheme|eligibility criteria")
-    good = ~junk & (F.col("max_loan").isNotNull() | F.col("interest_rate").isNotNull())
     order = [F.desc("eligible"), F.desc("good"), F.col("hard_fails"), F.desc("score"), F.col("soft_fails"), F.lower("name"), F.col("scheme_id")]
-    first = top(scored.withColumn("good", good), k, ["profile_id"], order)
+    first = top(scored.withColumn("good", good_offer()), k, ["profile_id"], order)
     own = Window.partitionBy("profile_id")
     first = first.withColumns({"any_eligible": F.max("eligible").over(own), "any_good": F.max("good").over(own)})
     return first.where("not any_eligible and (good or not any_good)").drop("any_eligible", "any_good")

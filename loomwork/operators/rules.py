@@ -167,3 +167,10 @@ def hard_checks() -> tuple[Column, Column, Column]:
     ]
     total = lambda conditions: sum((F.when(c, 1).otherwise(0) for c in conditions), F.lit(0))
     return total(w for w, _ in checks), total(w & p for w, p in checks), total(w & ~p for w, p in checks)
+
+
+def gender_fails() -> Column:
+    """Whether the scheme of a pair is for one gender and the profile says another."""
+    gender = F.lower(F.trim("gender"))
+    target = F.coalesce(F.nullif(F.lower(F.trim("target_gender")), F.lit("")), F.lit("any"))
+    return F.coalesce(~target.isin("any", "both", "all") & ~(gender.isin(UNSAID_GENDERS) | (gender == target)), F.lit(False))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import dates
 from loomwork.functions.text import purpose_family
-from loomwork.operators import geo, ranking, rules
+from loomwork.operators import geo, intervals, ranking, rules
 from loomwork.plans import views
 from loomwork.plans.views import view
-from loomwork.session import small, spread
+from loomwork.session import BROADCAST_ROWS, checkpointed, small, spread
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,31 +59,56 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", score)
 
 
-def _candidates(profiles: DataFrame, schemes: DataFrame) -> DataFrame:
-    """Pairs that no hard rule excludes: an equi-join on purpose family, category and gender, with the rules on amounts as its residual.
+#: What can exclude a scheme from a profile: equal keys, and bounds.
+GROUPS = ("family", "category", "gender", "income", "loan")
+BOUNDS = {"income": ("min_income", "max_income", "annual_family_income"), "loan": ("min_loan", "max_loan", "loan_required")}
+
+
+@dataclass(frozen=True)
+class Index:
+    """How the bounds of a catalogue are cut into bins, and how many rows it has at most when it is entered: found once for all its joins."""
+
+    cuts: dict[str, list[float]]
+    entered: int
 
-    A scheme that leaves one of the three open is entered under `*` there, else under each value that it takes and, as what a profile doesn't say
-    excludes nothing, under none; a profile looks under its own values and under `*`. So every pair meets once.
+    @staticmethod
+    def of(schemes: DataFrame) -> Index:
+        entries = 6 * schemes.count()  # rows, times the values of category and gender under which one is entered
+        bins = intervals.bins_for(entries, len(BOUNDS))
+        cuts = intervals.edges(schemes, [b[:2] for b in BOUNDS.values()], bins)
+        return Index(dict(zip(BOUNDS, cuts, strict=True)), entries * (bins + 1) ** len(BOUNDS))
+
+
+def _candidates(profiles: DataFrame, schemes: DataFrame, without: tuple[str, ...] = (), index: Index | None = None) -> DataFrame:
+    """Pairs that no hard rule excludes, but for those of the groups `without`: an equi-join, with exact bounds as its residual.
+
+    A scheme that leaves family, category or gender open is entered under `*` there, else under each value that it takes and, as what a profile doesn't say
+    excludes nothing, under none; a profile looks under its own values and under `*`. Bounds on amounts are entered in bins
+    (`intervals`), of which a profile has one. So every pair meets once.
     """
     said = lambda c: F.coalesce(F.lower(c), F.lit("?"))
     target = F.coalesce(F.nullif(F.lower("target_gender"), F.lit("")), F.lit("any"))
     either = lambda own, open_: F.when(open_, F.array(F.lit("*"))).otherwise(own)
-    s = (
-        schemes.withColumn("_f", F.explode(either(F.array("scheme_family", F.lit("?")), F.col("scheme_family").isNull())))
-        .withColumn("_c", F.explode(either(F.array_distinct(F.concat("categories", F.array(F.lit("?")))), F.col("categories").isNull())))
-        .withColumn("_g", F.explode(either(F.array(target, F.lit("prefer_not_to_say"), F.lit("?")), target.isin(rules.OPEN_GENDERS))))
-    )
-    p = profiles
-    for name, own in (("_f", said(F.nullif("user_family", F.lit("")))), ("_c", said(F.col("category"))), ("_g", said(F.col("gender")))):
-        p = p.withColumn(name, F.explode(F.array(own, F.lit("*"))))
-    holds = lambda c: F.coalesce(c, F.lit(True))
-    income, loan = F.col("annual_family_income"), F.col("loan_required")
-    bounds = holds(income <= F.col("max_income")) & holds(income >= F.col("min_income")) & holds(loan <= F.col("max_loan")) & holds(loan >= F.col("min_loan"))
-    keys = [p[c] == s[c] for c in ("_f", "_c", "_g")]
-    met = p.join(small(s), [*keys, bounds])
-    for c in ("_f", "_c", "_g"):
-        met = met.drop(p[c]).drop(s[c])
-    return met
+    entered = {
+        "family": either(F.array("scheme_family", F.lit("?")), F.col("scheme_family").isNull()),
+        "category": either(F.array_distinct(F.concat("categories", F.array(F.lit("?")))), F.col("categories").isNull()),
+        "gender": either(F.array(target, F.lit("prefer_not_to_say"), F.lit("?")), target.isin(rules.OPEN_GENDERS)),
+    }
+    asked = {"family": said(F.nullif("user_family", F.lit(""))), "category": said(F.col("category")), "gender": said(F.col("gender"))}
+    keys, p, s, exact = [g for g in GROUPS if g not in without], profiles, schemes, F.lit(True)
+    index = index or Index.of(schemes)
+    for g in keys:
+        if g in BOUNDS:
+            low, high, value = BOUNDS[g]
+            cuts = index.cuts[g]
+            s = s.withColumn(f"_{g}", F.explode(intervals.interval_bins(F.col(low), F.col(high), cuts)))
+            p = p.withColumn(f"_{g}", intervals.point_bin(F.col(value), cuts))
+            exact &= F.coalesce((F.col(value) <= F.col(high)), F.lit(True)) & F.coalesce(F.col(value) >= F.col(low), F.lit(True))
+        else:
+            s = s.withColumn(f"_{g}", F.explode(entered[g]))
+            p = p.withColumn(f"_{g}", F.explode(F.array(asked[g], F.lit("*"))))
+    s = F.broadcast(s) if index.entered <= BROADCAST_ROWS else s  # a bound on the rows of s, not a guess
+    return p.join(s, [f"_{g}" for g in keys] or F.lit(True)).where(exact).drop(*(f"_{g}" for g in keys))
 
 
 def rule_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +116,66 @@ def rule_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.recommendations(scored, 3).select("profile_id", "scheme_id", "rank", "score", "eligibility", "detail_level")
 
 
+#: What scores and failures of a scheme depend on: schemes that agree in all of it form one signature.
+SIGNATURE = [
+    "max_income", "min_income", "max_loan", "min_loan", "categories", "activities", "scheme_family", "meant", "target_gender", "loan_percentage", "freshness", "age_days", "good",
+]
+
+
+def _signatures(schemes: DataFrame, k: int) -> DataFrame:
+    """One row for each signature, with its first k schemes in order of names: no later one can be among the first k of a profile."""
+    rows = ranking.top(schemes.withColumn("good", ranking.good_offer()), k, SIGNATURE, [F.lower("name"), F.col("scheme_id")], "_place")
+    return rows.groupBy(*SIGNATURE).agg(F.collect_list(F.struct(F.lower("name").alias("lname"), "scheme_id")).alias("members"))
+
+
+def missed(profiles: DataFrame, schemes: DataFrame, k: int = 3) -> DataFrame:
+    """For profiles that no scheme takes: the k schemes that exclude them least, by equi-joins that leave out one group of rules, then two, and so on.
+
+    A pair that fails the rules of exactly n groups meets where those n groups are left out. A profile is settled as soon as it has k pairs with no more
+    failures than groups left out, since pairs still unseen fail more; only the others go on. If every group is left out there is no
+    key any more, but then fewer than k schemes fail less than everything.
+    """
+    signs = _signatures(schemes, k)
+    # A good offer shows before any other; the others show only where there is no good one at all.
+    goods = signs.where("good")
+    signs = checkpointed(goods if not goods.isEmpty() else signs)
+    index, n_groups = Index.of(signs), len(GROUPS)
+    rest, settled, seen = profiles, None, None
+    for n in range(1, n_groups + 1):
+        met = reduce(DataFrame.unionByName, (_candidates(rest, signs, out, index).where(_fails(out)) for out in combinations(GROUPS, n)))
+        level = _scored(met).select("profile_id", "hard_fails", "soft_fails", "score", F.explode("members").alias("m"))
+        level = level.select("profile_id", "hard_fails", "soft_fails", "score", "m.lname", "m.scheme_id")
+        seen = level if seen is None else seen.unionByName(level)
+        order = [F.col("hard_fails"), F.desc("score"), F.col("soft_fails"), F.col("lname"), F.col("scheme_id")]
+        seen = checkpointed(ranking.top(seen, k, ["profile_id"], order))
+        enough = seen.groupBy("profile_id").agg(F.count_if(F.col("hard_fails") <= n).alias("sure")).where(F.col("sure") >= k).select("profile_id") if n < n_groups else seen.select("profile_id").distinct()
+        done = seen.join(enough, "profile_id", "left_semi")
+        settled = done if settled is None else settled.unionByName(done)
+        rest = rest.join(enough, "profile_id", "left_anti")
+        if n == n_groups or rest.isEmpty():
+            break
+        rest = checkpointed(rest)
+        seen = seen.join(enough, "profile_id", "left_anti").drop("rank")
+    return settled
+
+
+def _fails(groups: tuple[str, ...]) -> Column:
+    """The rules of each of these groups fail."""
+    checks = {
+        "family": F.col("scheme_family").isNotNull() & (F.col("user_family") != F.col("scheme_family")),
+        "category": F.col("categories").isNotNull() & ~F.array_contains("categories", F.lower(F.trim("category"))),
+        "gender": rules.gender_fails(),
+    }
+    for g, (low, high, value) in BOUNDS.items():
+        checks[g] = F.coalesce(F.col(value) > F.col(high), F.lit(False)) | F.coalesce(F.col(value) < F.col(low), F.lit(False))
+    return reduce(Column.__and__, (F.coalesce(checks[g], F.lit(False)) for g in groups))
+
+
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, schemes = _profiles(spark, sf_dir), _schemes(spark, sf_dir)
-    served = _scored(_candidates(profiles, schemes)).where("eligible").select("profile_id").distinct()
-    rest = profiles.join(served, "profile_id", "left_anti")
-    missed = ranking.near_misses(_scored(rest.join(small(schemes), F.lit(True))))
-    return missed.select("profile_id", "scheme_id", "rank", "hard_fails", "soft_fails", "score")
+    served = _candidates(profiles, schemes).select("profile_id").distinct()
+    rest = checkpointed(profiles.join(served, "profile_id", "left_anti"))
+    return missed(rest, schemes).select("profile_id", "scheme_id", "rank", "hard_fails", "soft_fails", "score")
 
 
 _FAMILY = (
