@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions.numbers import js_round
-from loomwork.session import small
 
 # Words that queries don't count, and words that name no activity.
 STOP_WORDS = ["and", "or", "the", "a", "an", "of", "for", "to", "in", "on", "with"]
 FILLER = ["scheme", "samajik", "nyay", "yojana", "loan"]
 LEAST_SCORE, BAND, SHOWN = 60, 25, 5
+#: Characters of a posting.
+GRAM = 3
 
 
 def query_tokens(q: Column) -> Column:
@@ -43,15 +44,40 @@ def search_score(tokens: Column, name: Column, blob: Column) -> Column:
     return F.when(F.coalesce(off, F.lit(False)), 0).otherwise(out).cast("long")
 
 
-def search(queries: DataFrame, schemes: DataFrame) -> DataFrame:
-    """queries(query_id, q) x schemes(id, name, blob): up to five rows of a query within 25 points of its best.
+def grams(text: Column) -> Column:
+    """All strings of one to `GRAM` characters inside a text, each once."""
+
+    def of_length(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of_length, range(1, GRAM + 1))))
+
+
+def candidates(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, id) of all rows that can score: postings of character grams make containment inside words an equi-join.
 
-    Only rows that contain a token of the query anywhere, also inside words, can score, so the join is by containment: a nested
-    loop of the rows over the queries, which are broadcast if they are few by count.
+    asked(query_id, tokens), rows(id, name, blob). A token is inside a text only if all its grams are; it meets the postings of its rarest one. A row
+    scores only with two tokens of a query, or with its one; so the token whose rarest gram most rows have may be left out where a
+    query has others and says it once: a row that has only this one is out anyway.
     """
+    postings = rows.select("id", F.explode(grams(F.concat_ws("\n", F.lower("name"), F.lower("blob")))).alias("gram"))
+    frequent = postings.groupBy("gram").agg(F.count("*").alias("rows"))
+    said = asked.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    of_token = said.select("token").distinct().select("token", F.explode(F.when(F.length("token") > GRAM, F.filter(grams(F.col("token")), lambda g: F.length(g) == GRAM)).otherwise(F.array("token"))).alias("gram"))
+    rarest = of_token.join(frequent, "gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "gram")).alias("least"))
+    known = said.join(rarest.select("token", "least.rows", "least.gram"), "token")
+    own = Window.partitionBy("query_id")
+    known = known.withColumns({"place": F.row_number().over(own.orderBy(F.desc("rows"), "token")), "n": F.count("*").over(own)})
+    used = known.where((F.col("place") > 1) | (F.col("n") == 1) | (F.col("times") > 1)).where("rows > 0")
+    return used.select("query_id", "token", "gram").join(postings, "gram").select("query_id", "id").distinct()
+
+
+def search(queries: DataFrame, schemes: DataFrame) -> DataFrame:
+    """queries(query_id, q) x schemes(id, name, blob): up to five rows of a query within 25 points of its best; every candidate is scored exactly."""
     asked = queries.withColumn("tokens", query_tokens(F.col("q"))).where(F.size("tokens") > 0)
     scored = (
-        schemes.join(small(asked), F.exists("tokens", lambda t: F.lower("blob").contains(t)))
+        candidates(asked, schemes).join(schemes, "id").join(asked, "query_id")
         .withColumn("score", search_score(F.col("tokens"), F.lower("name"), F.lower("blob")))
         .where(F.col("score") >= LEAST_SCORE)
     )

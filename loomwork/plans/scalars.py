@@ -101,6 +101,14 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(asked, schemes).select("query_id", "id", "score", "rank")
 
 
+def search_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name and size of a part as a query, against all parts: postings of grams, no nested loop."""
+    part = _read(spark, sf_dir, "part")
+    schemes = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_size").alias("name"), F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_size").alias("blob"))
+    asked = part.select(F.concat_ws(" ", "p_name", F.lit("the"), "p_size").alias("q")).distinct()
+    return search.search(asked.withColumn("query_id", F.col("q")), schemes).select("query_id", "id", "score", "rank")
+
+
 def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = search.query_tokens(F.col("text"))
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).cast("bigint").alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
@@ -145,10 +153,25 @@ QUERIES = {
     f.__name__: f
     for f in (
         emi, emi_schedule, emi_totals, freshness_buckets, canonical_keys, entity_keys, squeezed_texts, amounts, money_labels, parsed_dates,
-        timeline_labels, cosine_topk, js_rounding, fuzzy_search, search_tokens, intent_parse,
+        timeline_labels, cosine_topk, js_rounding, fuzzy_search, search_by_table, search_tokens, intent_parse,
     )
 }
 
+_SEARCHED = """      a as (select query_id, id, name, low, t, list_filter(t, lambda x: regexp_full_match(x, '[0-9]{1,3}'))[1] as num, array_to_string(t, ' ') as phrase,
+          len(list_filter(t, lambda x: contains(low, x))) as hits, len(list_filter(t, lambda x: contains(blob, x))) as bhits, len(t) as n,
+          list_filter(t, lambda x: not regexp_full_match(x, '[0-9]+') and x not in ('scheme', 'samajik', 'nyay', 'yojana', 'loan')) as act from p cross join q),
+      b as (select *, len(list_filter(act, lambda x: contains(low, x))) as acted,
+          regexp_replace(regexp_replace(low, '\\b(men|women|male|female)\\b', ' ', 'g'), '\\s+', ' ', 'g') as compact from a
+          where not (num is not null and not contains(low, num)) and not (hits < least(2, n) and bhits < n)),
+      c as (select query_id, id, name, cast(case when contains(low, phrase) then 100 else 0 end + case when contains(compact, phrase) then 90 else 0 end
+          + floor(hits::double / n * 50 + 0.5) + floor(bhits::double / n * 8 + 0.5)
+          + case when num is not null and regexp_matches(low, 'scheme\\s*0*' || cast(cast(num as int) as varchar) || '\\b') then 30 else 0 end
+          + case when len(act) = 0 then 0 when acted = len(act) then 45 when acted = 0 then -40 else acted * 8 end
+          - case when hits::double / n < 0.6 then 50 else 0 end as bigint) as score from b),
+      d as (select *, max(score) over (partition by query_id) as best from c where score >= 60),
+      e as (select *, row_number() over (partition by query_id order by score desc, name, id) as rank from d where score >= best - 25)
+      select query_id, id, score, rank from e where rank <= 5"""
+
 ORACLE_SQL = {
     "emi": f"""with {_EMI} select loan_id, case when error is null and rate is not null then round(each, 2) end as emi,
       case when error is null and rate is not null then round(each * n - principal, 2) + 0.0 end as total_interest,
@@ -187,20 +210,11 @@ ORACLE_SQL = {
     "js_rounding": "select cast(floor(l_quantity / 4 + 0.5) as bigint) as quarter, count(*) as n from lineitem group by 1",
     "fuzzy_search": f"""with q as (select query_id, {_TOKENS.format('q')} as t from (values {_SQL_QUERIES}) v(query_id, q)),
       p as (select p_partkey as id, p_name as name, lower(p_name) as low, lower(concat_ws(' ', p_name, p_type, p_brand)) as blob from part),
-      a as (select query_id, id, name, low, t, list_filter(t, lambda x: regexp_full_match(x, '[0-9]{{1,3}}'))[1] as num, array_to_string(t, ' ') as phrase,
-          len(list_filter(t, lambda x: contains(low, x))) as hits, len(list_filter(t, lambda x: contains(blob, x))) as bhits, len(t) as n,
-          list_filter(t, lambda x: not regexp_full_match(x, '[0-9]+') and x not in ('scheme', 'samajik', 'nyay', 'yojana', 'loan')) as act from p cross join q),
-      b as (select *, len(list_filter(act, lambda x: contains(low, x))) as acted,
-          regexp_replace(regexp_replace(low, '\\b(men|women|male|female)\\b', ' ', 'g'), '\\s+', ' ', 'g') as compact from a
-          where not (num is not null and not contains(low, num)) and not (hits < least(2, n) and bhits < n)),
-      c as (select query_id, id, name, cast(case when contains(low, phrase) then 100 else 0 end + case when contains(compact, phrase) then 90 else 0 end
-          + floor(hits::double / n * 50 + 0.5) + floor(bhits::double / n * 8 + 0.5)
-          + case when num is not null and regexp_matches(low, 'scheme\\s*0*' || cast(cast(num as int) as varchar) || '\\b') then 30 else 0 end
-          + case when len(act) = 0 then 0 when acted = len(act) then 45 when acted = 0 then -40 else acted * 8 end
-          - case when hits::double / n < 0.6 then 50 else 0 end as bigint) as score from b),
-      d as (select *, max(score) over (partition by query_id) as best from c where score >= 60),
-      e as (select *, row_number() over (partition by query_id order by score desc, name, id) as rank from d where score >= best - 25)
-      select query_id, id, score, rank from e where rank <= 5""",
+{_SEARCHED}""",
+    "search_by_table": f"""with k as (select distinct p_name || ' the ' || p_size as query_id from part),
+      q as (select query_id, {_TOKENS.format('query_id')} as t from k),
+      p as (select p_partkey as id, p_name || ' ' || p_size as name, lower(p_name || ' ' || p_size) as low, lower(concat_ws(' ', p_name, p_type, p_brand, p_size)) as blob from part),
+{_SEARCHED}""",
     "search_tokens": f"""with t as (select conv_id, turn, {_TOKENS.format('text')} as t from conversations)
       select conv_id, turn, len(t) as n, array_to_string(t[1:5], ' ') as head from t""",
     "intent_parse": f"""with a as (select conv_id, turn, trim(text) as o,
