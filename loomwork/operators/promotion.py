@@ -6,19 +6,25 @@ one after the other. Everything is joins and aggregates over the batch and the c
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions.text import entity_key
 from loomwork.operators.changes import NULLABLE, SENSITIVE, can_undo, undo_verdicts
+from loomwork.operators.rules import derived_rules
+from loomwork.operators.runs import appended_note
+from loomwork.session import checkpointed
 
-# Fields that a scheme's insertion reports, those that a partner's update compares, open review states, live states.
+# Fields that a scheme's insertion reports, those that a partner's update compares, those that are cited, open review states, live states.
 SCHEME_FIELDS = [
     "min_income", "max_income", "min_loan", "max_loan", "interest_rate", "interest_rate_type", "tenure", "moratorium", "loan_percentage",
     "beneficiary_requirements", "eligible_activities", "required_documents", "application_process", "availability_type", "target_gender",
 ]
 PARTNER_FIELDS = ["phone", "email", "address", "website", "state", "district", "status", "organization", "latitude", "longitude"]
+CITED = ["max_loan", "interest_rate", "max_income", "tenure", "required_documents", "name"]
 PENDING = ["pending_review", "detected", "conflict"]
 LIVE = ["active", "unavailable"]
 PARTS = 64
@@ -81,12 +87,18 @@ def numbered(df: DataFrame, key: str, after: Column, name: str) -> DataFrame:
 
 
 def promoted_schemes(staging: DataFrame, schemes: DataFrame, as_of: str, approval: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(schemes, changes, versions) after a batch of accepted records.
+    """(schemes, changes, versions) after a batch of accepted records: see `promoted_batch`."""
+    return promoted_batch(staging, schemes, as_of, approval)[:3]
+
+
+def promoted_batch(staging: DataFrame, schemes: DataFrame, as_of: str, approval: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(schemes, changes, versions, batch) after a batch of accepted records; batch: one row for each entity that was spoken of, with its id.
 
     staging(staging_id, entity_key, source_id, source_url, name, description, fields...), schemes(id, canonical_key, source_id, name, description, status,
     current_version, last_verified, fields...): both with the same fields. A new scheme reports its stated SCHEME_FIELDS and is at version 1; a
     known one reports every field that differs, and one version more where any does. Where a known one changed, other live schemes
-    of its source with the same stable key are discontinued; that covers one that held the new key before.
+    of its source with the same stable key are discontinued; that covers one that held the new key before. A known one's source_url follows
+    the batch without a report or a version.
     """
     skip = {"id", "canonical_key", "source_id", "source_url", "status", "current_version", "last_verified", "name", "description"}
     fields = [c for c in schemes.columns if c not in skip]
@@ -111,9 +123,10 @@ def promoted_schemes(staging: DataFrame, schemes: DataFrame, as_of: str, approva
     altered = changed_fields(known, ["name", "canonical_key", "description", *fields], clearable, keep)
     touched = altered.groupBy("id").agg(F.lit(True).alias("_touched"))
     value = lambda c: (F.col(c) if c in clearable else F.coalesce(c, f"_o_{c}")).alias(c)
-    after = known.select(F.col("scheme_id").alias("id"), *(value(c).alias(f"_n_{c}") for c in ("name", "canonical_key", "description", *fields)), F.lit(True).alias("_known"))
+    url = F.coalesce(F.nullif("source_url", F.lit("")), "_o_source_url").alias("_n_source_url")
+    after = known.select(F.col("scheme_id").alias("id"), url, *(value(c).alias(f"_n_{c}") for c in ("name", "canonical_key", "description", *fields)), F.lit(True).alias("_known"))
     rows = schemes.join(after, "id", "left").join(touched, "id", "left")
-    new_value = lambda c: F.when(F.col("_known"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in ("name", "canonical_key", "description", *fields) else F.col(c)
+    new_value = lambda c: F.when(F.col("_known"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in ("name", "canonical_key", "description", "source_url", *fields) else F.col(c)
     rows = rows.withColumns(
         {
             "current_version": F.coalesce("current_version", F.lit(1)) + F.when(F.col("_touched"), 1).otherwise(0),
@@ -132,7 +145,63 @@ def promoted_schemes(staging: DataFrame, schemes: DataFrame, as_of: str, approva
     sensitive = F.col("field_name").isin(SENSITIVE) if approval is None else approval
     changes = changes.withColumns({"status": F.lit("auto_approved"), "is_sensitive": sensitive, "detected_at": at})
     fresh = out.where("_touched").drop("_touched").unionByName(inserted)
-    return now, changes, versions_of(fresh, at)
+    spoken = new.drop("scheme_id").unionByName(batch.where("scheme_id is not null").withColumnRenamed("scheme_id", "id"), allowMissingColumns=True)
+    return now, changes, versions_of(fresh, at), spoken
+
+
+@dataclass(frozen=True)
+class Promotion:
+    """All that a batch of staged records leads to."""
+
+    schemes: DataFrame
+    changes: DataFrame
+    versions: DataFrame
+    waiting: DataFrame
+    citations: DataFrame
+    rules: DataFrame
+
+
+def promote(staging: DataFrame, schemes: DataFrame, as_of: str, waiting: DataFrame, citations: DataFrame, stored_rules: DataFrame, approval: Column | None = None) -> Promotion:
+    """Schemes, changes and versions of `promoted_batch`, and in the same flow:
+
+    waiting(entity_id, field_name, status, notes, ...): changes of a known scheme's field that wait for a review are `superseded`, with a note, where
+    the batch set that field. citations(entity_id, field_name, source_id, source_url, last_verified): new and changed schemes cite
+    where each of CITED that the batch states was read, their name always, in place of what was cited before. stored_rules(scheme_id, ...): new and
+    changed schemes without any rule get those of their largest income and loan and of their categories.
+    """
+    now, changes, versions, batch = promoted_batch(staging, schemes, as_of, approval)
+    changes, now = checkpointed(changes), checkpointed(now)  # several outputs follow from them
+    return Promotion(now, changes, versions, superseded(waiting, changes), cited(batch, now, changes, citations, as_of), first_rules(now, changes, stored_rules))
+
+
+def touched_ids(changes: DataFrame, name: str = "id") -> DataFrame:
+    return changes.select(F.col("entity_id").alias(name)).distinct()
+
+
+def superseded(waiting: DataFrame, changes: DataFrame) -> DataFrame:
+    """Names, keys and descriptions close nothing."""
+    hit = changes.where(~F.col("field_name").isin("name", "canonical_key", "description")).select("entity_id", "field_name").distinct().withColumn("_hit", F.lit(True))
+    out = waiting.join(hit, ["entity_id", "field_name"], "left")
+    closes = F.col("status").isin(PENDING) & F.col("_hit").isNotNull()
+    note = appended_note(F.col("notes"), F.lit("superseded by auto-applied crawl"))
+    return out.withColumns({"notes": F.when(closes, note).otherwise(F.col("notes")), "status": F.when(closes, "superseded").otherwise(F.col("status"))}).select(*waiting.columns)
+
+
+def cited(batch: DataFrame, schemes: DataFrame, changes: DataFrame, citations: DataFrame, as_of: str) -> DataFrame:
+    """Citations after a batch. Without any address, nothing is cited."""
+    own = batch.join(schemes.select("id", F.col("source_url").alias("_own")).join(touched_ids(changes), "id", "left_semi"), "id")
+    url = F.coalesce(F.nullif("source_url", F.lit("")), F.nullif("_own", F.lit("")))
+    said = F.array_compact(F.array(*(F.when(F.col(f).isNotNull() | F.lit(f == "name"), F.lit(f)) for f in CITED if f in batch.columns)))
+    fresh = own.select(F.col("id").alias("entity_id"), F.explode(said).alias("field_name"), "source_id", url.alias("source_url"), F.lit(as_of).cast("timestamp").alias("last_verified"))
+    fresh = fresh.where("source_url is not null")
+    return citations.join(fresh, ["entity_id", "field_name"], "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def first_rules(schemes: DataFrame, changes: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored rules, and for new and changed schemes that have none the rules that their columns state."""
+    bare = schemes.join(touched_ids(changes), "id", "left_semi").withColumnRenamed("id", "scheme_id").join(stored.select("scheme_id").distinct(), "scheme_id", "left_anti")
+    made = derived_rules(bare).where(F.concat_ws(" ", "rule_type", "operator").isin("income lte", "loan_amount lte", "category in"))
+    return stored.unionByName(made, allowMissingColumns=True).select(*stored.columns)
 
 
 def versions_of(rows: DataFrame, at: Column) -> DataFrame:
@@ -146,11 +215,14 @@ def versions_of(rows: DataFrame, at: Column) -> DataFrame:
 def promoted_partners(staging: DataFrame, partners: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(partners, changes) after a batch: a new key reports `created`, a known one each of PARTNER_FIELDS that differs.
 
-    Both tables: canonical_key, name, fields; partners also id, last_verified. Every partner of the batch is verified as of now.
+    Both tables: canonical_key, name, fields; partners also id, last_verified. Every partner of the batch is verified as of now. Other columns of partners
+    (source_id, source_url, partner_type) come from the batch for a new key, null where it lacks them, and stay for a known one.
     """
     fields = [f for f in PARTNER_FIELDS if f in partners.columns]
+    other = [c for c in partners.columns if c not in ("id", "canonical_key", "name", "last_verified", *fields)]
     at = F.lit(as_of).cast("timestamp")
-    batch = folded(staging.withColumn("canonical_key", F.col("entity_key")), ["canonical_key"], ["name", *fields], [])
+    staging = staging.withColumns({"canonical_key": F.col("entity_key"), **{c: F.lit(None).cast(partners.schema[c].dataType) for c in other if c not in staging.columns}})
+    batch = folded(staging, ["canonical_key"], ["name", *fields, *other], [])
     old = partners.select("canonical_key", "id", *(F.col(f).alias(f"_o_{f}") for f in fields))
     both = batch.join(old, "canonical_key", "left")
     most = partners.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))
@@ -164,6 +236,36 @@ def promoted_partners(staging: DataFrame, partners: DataFrame, as_of: str) -> tu
     return rows.select(*partners.columns).unionByName(inserted.select(*partners.columns)), changes
 
 
+def partner_links(staging: DataFrame, partners: DataFrame, schemes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """mapping(partner_id, scheme_id, eligibility_status, source_id) after a batch whose records may name a scheme by linked_scheme_key.
+
+    A record links the partner of its key, which `promoted_partners` knows by then, with the scheme of that key, once; a key without a scheme links nothing.
+    """
+    asked = staging.where(F.coalesce("linked_scheme_key", F.lit("")) != "").select(F.col("entity_key").alias("canonical_key"), "linked_scheme_key").distinct()
+    own = partners.groupBy("canonical_key").agg(F.min(F.struct(F.col("id").alias("partner_id"), "source_id")).alias("p"))
+    to = schemes.groupBy(F.col("canonical_key").alias("linked_scheme_key")).agg(F.min("id").alias("scheme_id"))
+    links = asked.join(own, "canonical_key").join(to, "linked_scheme_key").select("p.partner_id", "scheme_id", F.lit("eligible").alias("eligibility_status"), "p.source_id").distinct()
+    return mapping.unionByName(links.join(mapping, ["partner_id", "scheme_id"], "left_anti").select(*mapping.columns))
+
+
+def undo_each(changes: DataFrame, asked: DataFrame, reviewer: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changes, applied, refused) of asked(id), undone one after the other, the newest first.
+
+    So a change goes back if every newer one of its field that could be undone is asked for as well; applied has a row for each, with its
+    step: the highest step of a field is the value that stays.
+    """
+    own = changes.join(asked.select("id").distinct().withColumn("_asked", F.lit(True)), "id", "left")
+    field = Window.partitionBy("entity_id", "field_name")
+    kept = F.max(F.when(can_undo() & F.col("_asked").isNull(), F.col("id"))).over(field)
+    own = own.withColumn("_go", F.col("_asked").isNotNull() & can_undo() & (F.coalesce(kept, F.col("id")) <= F.col("id")))
+    why = F.when(F.col("field_name") == "created", "Cannot undo entity creation via field undo").when(~can_undo(), "Change is not undoable")
+    refused = own.where(F.col("_asked") & ~F.col("_go")).select("id", why.otherwise("A newer change was applied for this field; undo that first").alias("problem"))
+    back = own.where("_go").select("id", "entity_id", "field_name", F.col("old_value").alias("new_value"))
+    back = back.withColumn("step", F.row_number().over(field.orderBy(F.desc("id"))))
+    rows = own.withColumns({"status": F.when(F.col("_go"), "undone").otherwise(F.col("status")), "reviewed_by": F.when(F.col("_go"), F.lit(reviewer)).otherwise(F.col("reviewed_by"))})
+    return rows.select(*changes.columns), back, refused
+
+
 def bumped(entities: DataFrame, applied: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(entities, versions) after changes (id, entity_id) are applied: each is one version more, numbered in order of id."""
     at = F.lit(as_of).cast("timestamp")
