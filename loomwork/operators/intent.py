@@ -41,9 +41,10 @@ CATEGORIES = {
     "OBC": ["obc", "other backward", "अन्य पिछड़ा", "pichda"],
 }
 MIXED = {"mujhe": "", "chahiye": "", "ke liye": " for ", "vyavasay": "business", "udyam": "business"}
+# How an age, and an income, is said; the leftmost of the ways to say an age counts.
 AGE = (
-    r"(?:age|उम्र|vayu|umra|years?\s*old|साल\s*का|वर्षीय)[^0-9]{0,8}([0-9]{1,2})",
-    r"(?:i\s*am|i'm|mein|main|मेरी?\s*उम्र)[^0-9]{0,8}([0-9]{1,2})",
+    r"(?:age|उम्र|vayu|umra|years?\s*old|साल\s*का|वर्षीय)[^0-9]{0,8}([0-9]{1,2})"
+    r"|(?:i\s*am|i'm|mein|main|मेरी?\s*उम्र)[^0-9]{0,8}([0-9]{1,2})"
 )
 INCOME = r"(?:income|आय|aay|salary|वेतन)[^0-9₹rs]{0,20}((?:₹|rs\.?)?\s*[0-9,]+(?:\.[0-9]+)?\s*(?:lakh|lac|लाख|crore)?)"
 LEAST_SIMILARITY = 0.28
@@ -84,7 +85,7 @@ def parsed(df: DataFrame, text: str = "text") -> DataFrame:
             "purpose": F.when(farming, "business").otherwise(purpose),
             "project_type": F.coalesce("_project", F.when(farming, "agriculture")),
             "loan_required": amount(o),
-            "age": F.coalesce(*(extract(t, p) for p in AGE)).try_cast("int"),
+            "age": F.coalesce(extract(t, AGE, 1), extract(t, AGE, 2)).try_cast("int"),
             "annual_family_income": amount(extract(t, INCOME)),
         }
     )
