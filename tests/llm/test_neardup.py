@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from loomwork.llm import neardup, simhash
 from tests.llm.data import documents, rows
@@ -121,6 +122,24 @@ def test_long_near_copies_are_joined(spark):
     assert sorted(r.doc_id for r in neardup.one_of_each(documents(spark, values)).collect()) == [0, 2]
 
 
+def test_large_sets_of_one_key_are_told_apart_before_they_leave_it():
+    """ODD bits say nothing of sets of thousands of shingles; BROAD bits do, and lose no similar pair."""
+    rng = np.random.default_rng(4)
+    fresh = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    shared, base = fresh(1_500), fresh(6_000)
+    own = [np.unique(x) for x in (base, np.append(base[:5_500], fresh(500)), *(np.append(shared, fresh(4_500 + 40 * k)) for k in range(20)), fresh(100))]
+    broad = [neardup.broad_sketch(neardup.wide_sketch(x)) for x in own]
+    assert [b is None for b in broad] == [False] * 22 + [True]
+    columns = {
+        "k": np.zeros(23, np.int64), "i": np.zeros(23, np.int32), "n": np.array([len(x) for x in own], np.int32), "rid": np.arange(23), "of": np.arange(23),
+    }
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()} | {"odd": pa.array([neardup.odd_sketch(x) for x in own]), "broad": pa.array(broad, pa.binary())})
+    found = [p for b in neardup._across_pairs(iter([batch.slice(0, 9), batch.slice(9)])) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+    assert found == [(0, 1)] and neardup.similar(own[0], own[1])
+    odd_alone = sum(9 * neardup.apart(*(np.frombuffer(neardup.odd_sketch(x), np.uint64)[None] for x in (own[a], own[b])))[0] <= len(own[a]) + len(own[b]) for a in range(22) for b in range(a))
+    assert odd_alone > 50
+
+
 def test_empty_table(spark):
     assert neardup.one_of_each(documents(spark, []).coalesce(1)).count() == 0
 
