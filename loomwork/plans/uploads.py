@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import extract
 from loomwork.plans import extraction
-from loomwork.session import spread
+from loomwork.session import checkpointed, spread
 from loomwork.sources import pages
 
 
@@ -52,7 +52,7 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uploaded_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schemes and partners of the uploaded files, as staging rows with their confidence."""
     docs = _read(spark, sf_dir).where("raw_text is not null").select("doc_id", F.lit("manual://inbox").alias("url"), F.lit("Listing").alias("title"), F.col("raw_text").alias("text"))
-    schemes, partners = extract.uploaded(docs)
+    schemes, partners = extract.uploaded(spread(checkpointed(docs)))  # files are parsed once
     found = schemes.select("doc_id", F.lit("scheme").alias("kind"), "canonical_key", "interest_rate", F.round("max_loan", 2).alias("max_loan"), F.lit(None).cast("string").alias("state"), "confidence")
     return found.unionByName(partners.select("doc_id", F.lit("partner").alias("kind"), "canonical_key", F.lit(None).cast("double").alias("interest_rate"), F.lit(None).cast("double").alias("max_loan"), "state", "confidence"))
 
