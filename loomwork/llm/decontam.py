@@ -37,6 +37,8 @@ from loomwork.llm.common import documents, table, text_batches, written
 THRESHOLD, OVERLAP = 0.6, 0.8
 SHINGLE = 5
 K1, B = 1.2, 0.75
+#: Characters of the texts whose passages a worker sums up at once.
+PORTION = 1 << 20
 PART_BYTES = 2 << 20
 POSTINGS_PER_BLOCK, ITEMS_PER_RANGE, MOST_RANGES = 4, 8, 256
 HIT = "array<struct<item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
@@ -256,6 +258,19 @@ def _statistics(rows: DataFrame) -> Callable[[int], Statistics]:
     return of_part
 
 
+def portions(texts: list[str | None], most: int = PORTION) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of at most so many characters, or of one text: the sums of a list's passages are held at once."""
+    some, held = [], 0
+    for t in texts:
+        if some and held + len(t or "") > most:
+            yield some
+            some, held = [], 0
+        some.append(t)
+        held += len(t or "")
+    if some:
+        yield some
+
+
 def hits(docs: DataFrame, index: Index) -> Column:
     """A column of the verified hits of docs' text in an index."""
     text_batches(docs.sparkSession)
@@ -263,7 +278,10 @@ def hits(docs: DataFrame, index: Index) -> Column:
 
     def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(share.value.hits([t if isinstance(t, str) else None for t in part]), dtype=object)
+            texts, out = [t if isinstance(t, str) else None for t in part], []
+            for some in portions(texts):
+                out += share.value.hits(some)
+            yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(search, HIT)("text")
 

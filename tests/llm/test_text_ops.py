@@ -443,3 +443,7 @@ def test_guests_from_best_fit_keep_the_result_from_falling_behind(spark):
     assert report.found <= report.best_fit and report.epochs <= 2
 
 
+def test_portions_hold_all_texts_in_order():
+    texts = ["a" * 5, None, "b" * 30, "", "c" * 9, "d"]
+    got = list(decontam.portions(texts, 10))
+    assert [t for p in got for t in p] == texts and got == [["a" * 5, None], ["b" * 30], ["", "c" * 9, "d"]] and list(decontam.portions([])) == []
