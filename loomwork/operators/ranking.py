@@ -70,10 +70,15 @@ def top(scored: DataFrame, k: int, partition: list[str], order: list[Column], na
     return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def recommendations(scored: DataFrame, k: int = 10, detailed: int = 3) -> DataFrame:
+def detailed(best: DataFrame, most: int = 3) -> DataFrame:
+    """Ranked rows with their level of detail: the first ones in full."""
+    return best.withColumn("detail_level", F.when(F.col("rank") <= most, "full").otherwise("summary"))
+
+
+def recommendations(scored: DataFrame, k: int = 10, most: int = 3) -> DataFrame:
     """Eligible schemes of each profile by score, then name and id; the first ones in full detail."""
     best = top(scored.where("eligible"), k, ["profile_id"], [F.desc("score"), F.lower("name"), F.col("scheme_id")])
-    return best.withColumn("detail_level", F.when(F.col("rank") <= detailed, "full").otherwise("summary"))
+    return detailed(best, most)
 
 
 def good_offer() -> Column:

@@ -221,8 +221,8 @@ def shared_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of recommendations with the number of rows in full detail and in summary."""
-    scored = matching._scored(matching._candidates(matching._profiles(spark, sf_dir), matching._schemes(spark, sf_dir)))
-    return ranking.recommendations(scored, 10).groupBy("rank", "detail_level").agg(F.count("*").alias("n"))
+    found = matching.best(matching._profiles(spark, sf_dir), matching._schemes(spark, sf_dir), 10)
+    return ranking.detailed(found).groupBy("rank", "detail_level").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
