@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions.numbers import js_round
+from loomwork.session import checkpointed
 
 # Words that queries don't count, and words that name no activity.
 STOP_WORDS = ["and", "or", "the", "a", "an", "of", "for", "to", "in", "on", "with"]
@@ -22,11 +23,15 @@ def query_tokens(q: Column) -> Column:
 
 def search_score(tokens: Column, name: Column, blob: Column) -> Column:
     """How well a lower-cased name, and all text of a row, meet the tokens of a query; 0 for rows that are out."""
+    return _score(tokens, name, F.size(F.filter(tokens, lambda t: blob.contains(t))))
+
+
+def _score(tokens: Column, name: Column, in_blob: Column) -> Column:
+    """The score with so many tokens in all text of a row."""
     n = F.size(tokens)
     phrase = F.array_join(tokens, " ")
     number = F.get(F.filter(tokens, lambda t: t.rlike("^[0-9]{1,3}$")), F.lit(0))
     in_name = F.size(F.filter(tokens, lambda t: name.contains(t)))
-    in_blob = F.size(F.filter(tokens, lambda t: blob.contains(t)))
     compact = F.regexp_replace(F.regexp_replace(name, r"\b(?:men|women|male|female)\b", " "), r"\s+", " ")
     acting = F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$") & ~t.isin(FILLER))
     acted = F.size(F.filter(acting, lambda t: name.contains(t)))
@@ -74,14 +79,34 @@ def candidates(asked: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, schemes: DataFrame) -> DataFrame:
-    """queries(query_id, q) x schemes(id, name, blob): up to five rows of a query within 25 points of its best; every candidate is scored exactly."""
+    """queries(query_id, q) x schemes(id, name, blob): up to five rows of a query within 25 points of its best; every row that may be one is scored exactly.
+
+    Queries of equal tokens and schemes of equal name and text are judged once. A row without two tokens of a query (or its only one) in its name has at most 58 points, so names
+    alone make candidates. All text adds 0 to 8 points to what the name gives: names whose rows stay below SHOWN others even with all 8 go, then texts decide.
+    """
     asked = queries.withColumn("tokens", query_tokens(F.col("q"))).where(F.size("tokens") > 0)
-    scored = (
-        candidates(asked, schemes).join(schemes, "id").join(asked, "query_id")
-        .withColumn("score", search_score(F.col("tokens"), F.lower("name"), F.lower("blob")))
-        .where(F.col("score") >= LEAST_SCORE)
-    )
-    # The first rows of a query hold its best score, so the rank comes first: each task keeps SHOWN rows of a query before the shuffle.
-    own = Window.partitionBy("query_id")
-    ranked = scored.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "name", "id"))).where(F.col("rank") <= SHOWN)
-    return ranked.withColumn("best", F.max("score").over(own)).where(F.col("score") >= F.col("best") - BAND).drop("tokens", "best")
+    own = Window.partitionBy("name", "blob").orderBy("id")
+    first = schemes.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= SHOWN)
+    texts = checkpointed(first.groupBy("name", "blob").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    names = checkpointed(texts.groupBy("name").agg(F.sum(F.size("ids")).alias("rows")))
+    said = asked.groupBy("tokens").agg(F.min("query_id").alias("said"))
+    said = checkpointed(said)
+    some = said.select(F.col("said").alias("query_id"), "tokens")
+    met = candidates(some, names.select(F.col("name").alias("id"), "name", F.lit("").alias("blob"))).withColumnRenamed("id", "name")
+    scored = met.join(names, "name").join(some, "query_id")
+    scored = scored.withColumn("most", _score(F.col("tokens"), F.lower("name"), F.size("tokens"))).where(F.col("most") >= LEAST_SCORE)
+    # The names with the most points, until they have SHOWN rows that are sure of what the name gives: no row with less can be shown.
+    before = F.sum("rows").over(Window.partitionBy("query_id").orderBy(F.desc("most"), "name").rowsBetween(Window.unboundedPreceding, -1))
+    scored = scored.withColumn("before", F.coalesce(before, F.lit(0)))
+    least = F.min(F.when(F.col("before") < SHOWN, F.col("most"))).over(Window.partitionBy("query_id")) - 8
+    near = scored.withColumn("least", least).where(F.col("most") >= F.col("least")).select("query_id", "tokens", "name", "most")
+    blob = F.lower("blob")
+    points = js_round(F.size(F.filter("tokens", lambda t: blob.contains(t))) / F.size("tokens") * 8)
+    of_text = near.join(texts, "name").withColumn("score", (F.col("most") - 8 + points).cast("long")).where(F.col("score") >= LEAST_SCORE)
+    # Each text before one in this order has a row before all of its rows, so the first texts have the first rows; each task keeps SHOWN of a query before the shuffle.
+    best = Window.partitionBy("query_id")
+    top = of_text.withColumn("_n", F.row_number().over(best.orderBy(F.desc("score"), "name", F.get("ids", F.lit(0))))).where(F.col("_n") <= SHOWN)
+    ranked = top.withColumn("id", F.explode("ids")).withColumn("rank", F.row_number().over(best.orderBy(F.desc("score"), "name", "id"))).where(F.col("rank") <= SHOWN)
+    kept = ranked.withColumn("best", F.max("score").over(best)).where(F.col("score") >= F.col("best") - BAND)
+    shown = kept.select(F.col("query_id").alias("said"), "id", "name", "blob", "score", "rank")
+    return asked.join(said, "tokens").drop("tokens").join(shown, "said").drop("said")
