@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions.numbers import haversine_km
+from loomwork.session import checkpointed
 
 # The rings in kilometres, and statuses that take part.
 STEPS = (20, 40, 60, 100)
@@ -63,6 +64,22 @@ def nearest_ring(hits: DataFrame, user: str, steps: list[int]) -> DataFrame:
     return hits.withColumn("ring", ring).where("ring is not null").withColumn("matched_radius_km", first).where(F.col("distance_km") <= F.col("matched_radius_km")).drop("ring")
 
 
+def first_ring(users: DataFrame, partners: DataFrame, steps: list[int]) -> DataFrame:
+    """users(lat, lon, ...) x partners within the smallest of the steps that has any for a point, with distance_km and matched_radius_km.
+
+    Equal points of users are one row, which the caller joins back by lat and lon. Each ring is searched only for the points that the ones before left without a hit, so few
+    pairs are made beyond those that show.
+    """
+    rest, found = users.select("lat", "lon").distinct(), None
+    for step in steps:
+        hits = checkpointed(within(rest, partners, step).withColumn("matched_radius_km", F.lit(step)))
+        found = hits if found is None else found.unionByName(hits)
+        rest = rest.join(hits.select("lat", "lon").distinct(), ["lat", "lon"], "left_anti")
+        if step == steps[-1] or rest.isEmpty():
+            return found
+        rest = checkpointed(rest)
+
+
 def mapped_partners(partners: DataFrame, mapping: DataFrame, scheme_id: int) -> DataFrame:
     """Partners mapped to a scheme; all active ones, marked unmapped, if the scheme has no mapping."""
     ours = mapping.where((F.col("scheme_id") == scheme_id) & F.col("eligibility_status").isin(MAPPED)).select("partner_id").distinct()
