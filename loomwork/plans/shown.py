@@ -9,6 +9,7 @@ from loomwork.functions import values
 from loomwork.operators import extract, gate, geo, ranking, reasons, rules, runs, shaping
 from loomwork.plans import matching, views
 from loomwork.plans.views import view
+from loomwork.session import spread
 from loomwork.sources import robots, schemas
 
 
@@ -208,7 +209,7 @@ _NUMBERED_TEXT = (
 def numbered_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schemes of numbered headings: what the beneficiary pays, the largest loan, the term."""
     docs = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("http://nsfdc.example.com/schemes").alias("url"), F.expr(_NUMBERED_TEXT.replace("\n", "\\n")).alias("text"))
-    return extract.numbered_schemes(docs).select("doc_id", "name", "max_loan", "interest_rate", "tenure", "purpose", "scheme_type")
+    return extract.numbered_schemes(spread(docs)).select("doc_id", "name", "max_loan", "interest_rate", "tenure", "purpose", "scheme_type")
 
 
 def shared_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
