@@ -31,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The documents with these columns; larger tables keep their splits."""
-    return spread(table(spark, sf_dir, "documents").select(*columns), SPREAD_ROWS)
+    """The documents with these columns; larger tables keep their splits, as their texts would be shuffled whole."""
+    return spread(table(spark, sf_dir, "documents").select(*columns), SPREAD_ROWS, larger=False)
 
 
 def shared_folder(spark: SparkSession) -> str:
