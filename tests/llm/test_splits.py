@@ -2,11 +2,11 @@
 
 import pytest
 
-from loomwork.llm import common, langid, suffixes
+from loomwork.llm import common, langid, quality, suffixes
 from tests.llm.data import documents, saved
 
 
-@pytest.mark.parametrize("query", [langid.op1_langid, suffixes.op6_suffixes])
+@pytest.mark.parametrize("query", [langid.op1_langid, quality.op4_quality, suffixes.op6_suffixes])
 def test_larger_tables_are_not_dealt_out(spark, tmp_path, monkeypatch, query):
     d = saved(spark, tmp_path, documents=documents(spark).coalesce(1), labels=spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int"))
     plans, out = {}, {}
