@@ -1,5 +1,8 @@
 """Near-duplicate removal of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
+Texts whose SimHashes (64 bits, as `op10_simhash` has them) the BK-trees of `simhash` link within three bits are paired first (`tree_pairs`); their whole
+sets decide. That finds only some of the pairs at this similarity, so the rest follows exactly, from the sets themselves:
+
 Words are as in `simhash`. A text's set holds the 64-bit hashes of its five-word shingles; a shorter text is one shingle.
 Two sets as similar as that share one of the first fifth of their hashes, in whatever order all texts follow (the prefix filter), so every
 set is sent to each of those, its keys. The order is that of the hashes, but shingles that a sample finds in many texts
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import discard, partitions, small, text_batches, unused, written
 from loomwork.llm.components import stars
+from loomwork.llm.simhash import fingerprint, links
 
 WORDS, SEED = 5, 42
 ALL_PAIRS, NEAREST, RADIUS, LEAST = 16, 3, 40, 32
@@ -45,7 +49,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Bits of a key for the level of its shingle: two levels for each doubling of what the sample has of it.
 LEVELS = 5
-_KINDS = "s binary, n int, fp long, fq long, keys array<long>, odd binary, wide binary"
+_KINDS = "s binary, n int, sim long, fp long, fq long, keys array<long>, odd binary, wide binary"
 _KEYED = ("k", "i", "n", "rid", "fp", "fq")
 
 
@@ -167,25 +171,26 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Of docs: doc_id, hash t of the text, rid (unique once written), and identity s, size n, fingerprint, keys and odd sketch of the shingle set."""
+    """Of docs: doc_id, hash t of the text, rid (unique once written), and SimHash sim of `simhash`, and identity s, size n, 128 bits fp and fq, keys and odd sketches of the shingle set."""
     text_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def describe(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            s, n, fp, fq, keys, odd, wide = [], [], [], [], [], [], []
+            s, n, sim, fp, fq, keys, odd, wide = [], [], [], [], [], [], [], []
             for text in part.to_pylist():
                 own = shingle_set(text)
                 s.append(xxhash.xxh3_128_digest(own.tobytes()))
                 n.append(len(own))
+                sim.append(fingerprint(text))
                 fp.append(simhash64(own, _MIX[0]))
                 fq.append(simhash64(own, _MIX[1]))
                 keys.append(keys_of(own, share.value))
                 odd.append(odd_sketch(own))
                 wide.append(wide_sketch(own))
             yield pa.StructArray.from_arrays(
-                [pa.array(s, pa.binary()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(fq, pa.int64()), _longs(keys), pa.array(odd, pa.binary()), pa.array(wide, pa.binary())],
-                ["s", "n", "fp", "fq", "keys", "odd", "wide"],
+                [pa.array(s, pa.binary()), pa.array(n, pa.int32()), pa.array(sim, pa.int64()), pa.array(fp, pa.int64()), pa.array(fq, pa.int64()), _longs(keys), pa.array(odd, pa.binary()), pa.array(wide, pa.binary())],
+                ["s", "n", "sim", "fp", "fq", "keys", "odd", "wide"],
             )
 
     own = F.arrow_udf(describe, _KINDS)("text").alias("own")
@@ -325,6 +330,19 @@ def _buckets(sets: DataFrame, counted: DataFrame) -> int:
     return max(partitions(sets.sparkSession), rows // ROWS_A_BUCKET)
 
 
+def tree_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets(rid, sim) by SimHash: every set with the first one of its fingerprint, and those with the one that their BK-tree hangs them on.
+
+    Links, not all pairs: at most one for each set, and one for each fingerprint and shard.
+    """
+    first = written(sets.groupBy("sim").agg(F.min("rid").alias("rid")), "prints")
+    same = sets.select("sim", F.col("rid").alias("b")).join(first.withColumnRenamed("rid", "a"), "sim").where("a <> b").select("a", "b")
+    hung = links(first.select(F.col("sim").alias("fp")), first.count())
+    for side, end in (("a", "u"), ("b", "v")):
+        hung = hung.join(first.select(F.col("sim").alias(end), F.col("rid").alias(side)), end)
+    return same.unionByName(hung.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def candidates(sets: DataFrame, counted: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of sets(rid, n, fp, fq, keys) that may be similar, and large keys (k, null); counted holds at least their keys."""
     keyed = sets.select("rid", "n", "fp", "fq", F.posexplode("keys").alias("i", "k")).select(*_KEYED)
@@ -383,9 +401,9 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
     near = pairs
     for side in ("a", "b"):
         near = near.join(texts.select(F.col("rid").alias(side), F.col("text").alias(f"t{side}")), side)
-    links = written(near.where(F.arrow_udf(_similar, "boolean")("ta", "tb")).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+    out = written(near.where(F.arrow_udf(_similar, "boolean")("ta", "tb")).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
     discard(texts)
-    return links
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -394,11 +412,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     base = written(described(docs), "described")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "rid").alias("first")
     firsts = written(base.select("s", first).groupBy("s").agg(F.min("first").alias("first")), "firsts")
-    sets = base.select("rid", "n", "fp", "fq", "keys", "odd", "wide").join(firsts.select("first.rid"), "rid", "left_semi")
+    sets = base.select("rid", "n", "sim", "fp", "fq", "keys", "odd", "wide").join(firsts.select("first.rid"), "rid", "left_semi")
+    trees = written(tree_pairs(sets), "trees")
     found = written(candidates(sets, base), "pairs")
-    near = written(sketched(found.where("b is not null"), sets), "near")
-    links = verified(near, docs, firsts)
-    hung = stars(links)
+    near = written(sketched(trees.unionByName(found.where("b is not null")).distinct(), sets), "near")
+    linked = verified(near, docs, firsts)
+    hung = stars(linked)
     large = found.where("b is null").select(F.col("a").alias("k"))
     if large.take(1):
         rest = written(sketched(across(sets, base, large, hung), sets), "rest")
@@ -406,9 +425,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         if more.take(1):
             hung = stars(hung.unionByName(more))
         discard(rest)
-    discard(found)
-    discard(near)
-    discard(links)
+    for table in (trees, found, near, linked):
+        discard(table)
     repeated = bool(base.groupBy("doc_id", "t").count().where("count > 1").take(1))
     named = firsts.select("first.rid", "first").join(hung.select(F.col("u").alias("rid"), "v"), "rid", "left")
     least = named.groupBy(F.coalesce("v", "rid").alias("root")).agg(F.min("first").alias("first"))

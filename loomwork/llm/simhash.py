@@ -26,7 +26,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import neardup
 from loomwork.llm.common import documents, partitions, text_batches, written
 from loomwork.llm.components import stars
 
@@ -170,5 +169,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage, by whole similarity instead of this module's three bits: see `neardup`."""
+    """The pipeline's stage: this module's links, held against whole sets, and all others of that similarity: see `neardup`."""
+    from loomwork.llm import neardup  # it builds on this module
+
     return neardup.one_of_each(docs)

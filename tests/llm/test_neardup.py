@@ -149,3 +149,16 @@ def test_one_doc_id_or_null_over_several_texts_loses_no_component(spark):
     values.append((9, "one TEXT of its own with  some more words", "en", "s", 1))
     got = neardup.one_of_each(documents(spark, values)).collect()
     assert sorted((r.doc_id or 0, r.text.split()[0]) for r in got) == [(0, "two"), (7, "four"), (7, "three"), (9, "one")]
+
+
+def test_simhash_trees_pair_texts_and_whole_sets_decide(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    copies = (" ".join([*base[:at], "other", *base[at + 1 :]]) for at in range(600))
+    own = simhash.fingerprint(" ".join(base))
+    near = next(x for x in copies if 1 <= ((own ^ simhash.fingerprint(x)) & (1 << 64) - 1).bit_count() <= 3)
+    alike = ["zz " * 100 + f"{x}1 {x}2 {x}3 {x}4 {x}5" for x in "pq"]  # of one SimHash, but not similar
+    assert simhash.fingerprint(alike[0]) == simhash.fingerprint(alike[1]) and jaccard(*alike) < 0.8
+    values = [(i, t, "en", "s", 1) for i, t in enumerate([" ".join(base), near, *alike])]
+    monkeypatch.setattr(neardup, "candidates", lambda sets, counted: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, values)).collect()) == [0, 2, 3]
