@@ -207,6 +207,8 @@ def compacted(graph: DataFrame) -> DataFrame:
     at = graph.where("doc is not null").join(cut_, ["run", "run_low"]).select("doc", "k", "start", "source_doc", (F.col("start") - F.col("source_start")).alias("line"), F.explode("pieces").alias("p"))
     at = at.select("doc", "k", "source_doc", "line", (F.col("start") + p.a).alias("start"), (F.col("start") + p.z).alias("end"), p.branches.alias("branches"), p.digest.alias("digest"))
     line = Window.partitionBy("doc", "k", "source_doc", "line").orderBy("start", "end")
+    again = (F.lag("start").over(line) == F.col("start")) & (F.lag("end").over(line) == F.col("end"))
+    at = at.withColumn("again", again).where("again is not true")  # rows that repeat a doc_id and a text send their places twice; twice a digest is none
     fresh = F.col("branches") | F.coalesce(F.lag("end").over(line) != F.col("start"), F.lit(True))
     path = F.count_if("fresh").over(line)
     return (

@@ -171,6 +171,15 @@ def test_words_that_are_not_the_sources_stop_the_job():
             debruijn.verified(words_, [*spans, odd])
 
 
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_places_of_repeated_rows_count_once(spark, times):
+    graph = [{"run": 1, "run_low": 2, "nodes": [10, 11, 12], "sums": [3, 6, 10]}, {"run": 4, "run_low": 2, "nodes": [12, 13], "sums": [10, 8]}]
+    graph += [{"doc": 7, "k": 0, "start": 2 + at, "source_doc": 5, "source_start": 1 + at, "run": run, "run_low": 2} for at, run in ((0, 1), (2, 4))] * times
+    got = debruijn.compacted(spark.createDataFrame(graph, debruijn.GRAPH)).collect()
+    spans = {(r.start, r.end): r.digest for r in got}
+    assert spans == {(2, 5): (3 ^ 10) ^ (10 ^ 8)} and {(r.doc, r.source_doc, r.source_start) for r in got} == {(7, 5, 1)}
+
+
 def low_phrase():
     """Six words whose hash is lower than any other's here: the minimizer of all windows that hold them."""
     found = [[f"q{k}a{j}".encode() for j in range(6)] for k in range(20_000)]
