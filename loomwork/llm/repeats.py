@@ -46,6 +46,7 @@ HOT = 50_000
 SAMPLE, COMMON = 10_000, 100
 #: Bits of a place that hold its window; above them is the number of the text among those of its document.
 PLACE = 32
+WINDOWS = (1 << PLACE) - 1
 #: Parts in which the texts of one doc_id are numbered; a null doc_id may have very many.
 PARTS = 1024
 
@@ -256,9 +257,11 @@ class _Slices:
         if (doc, place) == (own[1], own[2]):  # a repeated row
             return
         name = run_name(body) if self.named else ()
-        if doc == own[1] and not self.again:
+        # Windows start by document and, if again, by where they start, whichever text of the document it is; equal ones stay.
+        mine, its = ((doc, place & WINDOWS), (own[1], own[2] & WINDOWS)) if self.again else (doc, own[1])
+        if mine == its:
             own += (doc, place)
-        elif (doc, place) < (own[1], own[2]):
+        elif mine < its:
             for d, p in zip(own[1::2], own[2::2], strict=True):
                 self.later += (d, p, windows, doc, place, *name)
             own[0] += len(own) // 2
@@ -377,7 +380,7 @@ def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again:
 class Bucket:
     """The distinct slices of a bucket, all their places in order, and what goes whole.
 
-    texts: the slices. of, doc, k, at: for each place its slice, document, text number and first window, ascending.
+    texts: the slices. of, doc, k, at: for each place its slice, document, text number and first window, ascending by slice, document, window and text.
     begin: where the places of each slice begin, one more at the end. times: how many places of each slice went as gone elsewhere.
     gone: rows doc, k, window, number of windows, document and window of an earlier place of the same slice, and two numbers of its name if named.
     """
@@ -394,16 +397,15 @@ class Bucket:
                 times.append(size[:, 2])
                 places.append(own)
                 gone.append(later)
-        low = (1 << PLACE) - 1
         g = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 7 if named else 5)
-        self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & low, g[:, 2], g[:, 3], g[:, 4] & low, g[:, 5:]])
+        self.gone = np.column_stack([g[:, 0], g[:, 1] >> PLACE, g[:, 1] & WINDOWS, g[:, 2], g[:, 3], g[:, 4] & WINDOWS, g[:, 5:]])
         self.texts = list(number)
         self.times = np.bincount(np.array(ids, np.int64), np.concatenate(times) if times else None, len(number)).astype(np.int64)
         of = np.repeat(np.array(ids, np.int64), np.concatenate(many) if many else 0)
         p = np.frombuffer(b"".join(places), np.int64).reshape(-1, 2)
-        order = np.lexsort((p[:, 1] & low, p[:, 1] >> PLACE, p[:, 0], of))
+        order = np.lexsort((p[:, 1] >> PLACE, p[:, 1] & WINDOWS, p[:, 0], of))
         self.of, p = of[order], p[order]
-        self.doc, self.k, self.at = p[:, 0], p[:, 1] >> PLACE, p[:, 1] & low
+        self.doc, self.k, self.at = p[:, 0], p[:, 1] >> PLACE, p[:, 1] & WINDOWS
         self.begin = np.searchsorted(self.of, np.arange(len(self.texts) + 1))
 
     def places_of(self, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -180,6 +180,16 @@ def test_places_of_repeated_rows_count_once(spark, times):
     assert spans == {(2, 5): (3 ^ 10) ^ (10 ^ 8)} and {(r.doc, r.source_doc, r.source_start) for r in got} == {(7, 5, 1)}
 
 
+def test_slices_of_several_texts_of_a_document_start_by_window():
+    found = R._Slices(1, True, True)
+    for k, at in ((0, 5), (1, 5), (2, 3), (3, 3), (4, 9)):
+        found.add(0, b"slice", 2, 7, k << R.PLACE | at)
+    places = [(k << R.PLACE | at) for k, at in ((0, 5), (1, 5), (4, 9))]
+    later = np.array(found.later, np.int64).reshape(-1, 7)
+    assert later[:, 1].tolist() == places and (later[:, 4] & R.WINDOWS == 3).all()
+    assert found.found[0, b"slice"] == [3, 7, 2 << R.PLACE | 3, 7, 3 << R.PLACE | 3]
+
+
 def low_phrase():
     """Six words whose hash is lower than any other's here: the minimizer of all windows that hold them."""
     found = [[f"q{k}a{j}".encode() for j in range(6)] for k in range(20_000)]
