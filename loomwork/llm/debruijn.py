@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,77 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 GRAPH = "doc long, k long, start long, source_doc long, source_start long, run long, run_low long, nodes array<long>, sums array<long>, node long, outs int, ins int"
 
 
+#: Longer words are hashed and compared one by one.
+LONG = 64
+#: Bytes of texts that are cut into words at a time, so that arrays stay small; a longer text is alone.
+TOGETHER = 1 << 20
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+class Words:
+    """The words of texts that follow each other.
+
+    data: the texts, joined by blanks. start, end: bytes of each word. begin: the first word of each text, one more at the end. hashes: of the words.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b" ".join(texts)
+        self._bytes = np.frombuffer(self.data + b" " * 8, np.uint8)
+        edge = np.flatnonzero(np.diff(_BLANK[self._bytes], prepend=True))
+        self.start, self.end = edge[::2], edge[1::2]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.begin = np.searchsorted(self.start, np.append(0, np.cumsum(sizes)))
+        size = self.end - self.start
+        self.hashes = R.mixed(size.astype(np.uint64))
+        for one, part in self._eights(np.arange(len(size))):
+            self.hashes[one] = R.mixed(self.hashes[one] * R._M1 + part)
+        for i in np.flatnonzero(size > LONG).tolist():
+            self.hashes[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]])
+
+    def _eights(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Step by step eight bytes of each of these words, as one number, with the places in the list of the words that have them."""
+        eight = np.ndarray(len(self._bytes) - 7, "<u8", self._bytes, strides=(1,))
+        one, begin, left = np.arange(len(at)), self.start[at], (self.end - self.start)[at]
+        for done in range(0, LONG, 8):
+            if not len(one):
+                return
+            yield one, eight[begin + done] & _LOW[np.minimum(left, 8)]
+            more = left > 8
+            one, begin, left = one[more], begin[more], left[more] - 8
+
+    def text(self, a: int, z: int) -> bytes:
+        """Words a to z, z left out, with what stands between them."""
+        return self.data[self.start[a] : self.end[z - 1]]
+
+    def numbers(self) -> np.ndarray:
+        """Equal words have equal numbers, others have not: hashes number them, the words themselves decide."""
+        _, first, ids = np.unique(self.hashes, return_index=True, return_inverse=True)
+        other = first[ids]
+        size = self.end - self.start
+        same = (size == size[other]).all()
+        same = same and all((a == b).all() for (_, a), (_, b) in zip(self._eights(np.arange(len(ids))), self._eights(other), strict=True))
+        if same and all(self.text(i, i + 1) == self.text(o, o + 1) for i, o in ((i, other[i]) for i in np.flatnonzero(size > LONG).tolist())):
+            return ids
+        number: dict[bytes, int] = {}
+        return np.fromiter((number.setdefault(w, len(number)) for w in self.data.split()), np.int64, len(ids))
+
+
+def in_parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, about TOGETHER bytes at a time."""
+    part, held = [], 0
+    for text in texts:
+        if part and held + len(text) > TOGETHER:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
+
+
 def hashed_words(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    return Words(found).hashes
 
 
 def window_sums(h: np.ndarray) -> np.ndarray:
@@ -53,15 +123,32 @@ def window_sums(h: np.ndarray) -> np.ndarray:
 
 
 def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found = data.split()
-    if len(found) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = hashed_words(found)
-    keys = R.least_of(R.rolled(h, INNER), WINDOW - INNER + 1)
+    return next(cut_together([data]))
+
+
+def cut_together(texts: list[bytes], again: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The keys of each text, and those of windows that it has twice. The words of many texts are hashed at once, which costs a third of one text after the other."""
+    none = np.empty(0, np.uint64)
+    for part in in_parts(texts):
+        w = Words(part)
+        if len(w.hashes) < WINDOW:
+            yield from ((none, none) for _ in part)
+            continue
+        inner = R.rolled(w.hashes, INNER)
+        keys = R.least_of(inner, WINDOW - INNER + 1)
+        for a, z in pairwise(w.begin.tolist()):
+            own = keys[a : max(a, z - WINDOW + 1)]
+            yield own, _recurring(w.hashes[a:z], inner[a : z - INNER + 1], own) if again and len(own) else none
+
+
+def _recurring(h: np.ndarray, inner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The keys of windows that recur, in a text of words with hashes h. Their inner strings recur as well, which most texts have none of."""
+    inner = np.sort(inner)
+    if (inner[1:] != inner[:-1]).all():
+        return np.empty(0, np.uint64)
     whole = R.rolled(h, WINDOW)
     order = np.argsort(whole, kind="stable")
-    same = whole[order[1:]] == whole[order[:-1]]
-    return keys, keys[order[1:][same]]
+    return keys[order[1:][whole[order[1:]] == whole[order[:-1]]]]
 
 
 def body(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -69,16 +156,13 @@ def body(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [b" ".join(found[s : e + WINDOW - 1]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def edges(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every window of every slice: its slice, its place there, an identity that equal word sequences share, and its word among all.
 
-    The last result holds the hashes of all words. Identities are exact: words are numbered, and a pair of numbers of neighbouring stretches gets a number of its own.
+    Identities are exact: words are numbered, and a pair of numbers of neighbouring stretches gets a number of its own.
     """
-    number: dict[bytes, int] = {}
-    split = [x.split(b" ") for x in texts]
-    size = np.array([len(x) for x in split])
-    ids = np.fromiter((number.setdefault(w, len(number)) for x in split for w in x), np.int64, int(size.sum()))
-    ids = np.append(ids, np.full(WINDOW, -1))  # so that every stretch has its length
+    size = np.diff(w.begin)
+    ids = np.append(w.numbers(), np.full(WINDOW, -1))  # so that every stretch has its length
 
     def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         m = min(len(left), len(right))
@@ -91,10 +175,10 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sixteen = pair(eight, eight[8:])
     twenty = pair(sixteen, four[16:])
     windows = size - WINDOW + 1
-    owner = np.repeat(np.arange(len(texts)), windows)
+    owner = np.repeat(np.arange(len(size)), windows)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = np.repeat(np.cumsum(size) - size, windows) + place
-    return owner, place, twenty[at], at, hashed_words(list(number))[ids[:-WINDOW]]
+    return owner, place, twenty[at], at
 
 
 def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +211,8 @@ def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
 
 def _compared(b: R.Bucket) -> tuple[np.ndarray, list[tuple], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of a bucket's slices: places (doc, k, start, source_doc, source_start, run, run_low), runs (name, nodes, sums), and nodes (node, outs, ins)."""
-    owner, place, edge, word, hashes = edges(b.texts)
+    w = Words(b.texts)
+    owner, place, edge, word = edges(w)
     # Slices are met with the earliest of their places; the others follow it window by window.
     first = b.begin[:-1][owner]
     doc, at = b.doc[first], b.at[first] + place
@@ -139,20 +224,18 @@ def _compared(b: R.Bucket) -> tuple[np.ndarray, list[tuple], tuple[np.ndarray, n
     cuts = np.append(True, (owner[1:] != owner[:-1]) | (source_doc[1:] != source_doc[:-1]) | (source_at[1:] != source_at[:-1] + 1))
     head = np.flatnonzero(cuts)
     tail = np.append(head[1:], len(cuts)) - 1
-    node = R.rolled(hashes, WINDOW - 1)
+    node = R.rolled(w.hashes, WINDOW - 1)
     entry, p = b.places_of(owner[head])
     start, sd, sa = b.at[p] + place[head][entry], source_doc[head][entry], source_at[head][entry]
     own = (b.doc[p] != sd) | (start != sa)  # the source itself stays
 
     # What the runs are: those that some place refers to, and slices of which tasks sent only the earliest. Their names hold all their words.
-    sums = window_sums(hashes)
+    sums = window_sums(w.hashes)
     signed, total = node.view(np.int64), sums.view(np.int64)
     names, runs = np.zeros((len(head), 2), np.int64), {}
     for i in np.unique(entry[own]).tolist():
-        text, a, z = b.texts[owner[head[i]]], int(word[head[i]]), int(word[tail[i]]) + 1
-        if z - a != text.count(b" ") + 2 - WINDOW:  # not the whole slice
-            text = b" ".join(text.split(b" ")[place[head[i]] : place[tail[i]] + WINDOW])
-        name = R.run_name(text)
+        a, z = int(word[head[i]]), int(word[tail[i]]) + 1
+        name = R.run_name(w.text(a, z + WINDOW - 1))  # a slice has single blanks
         names[i] = name
         runs[name] = (name, signed[a : z + 1], total[a : z + 1])
     if len(whole := np.flatnonzero(b.times)):
@@ -222,8 +305,11 @@ def compacted(graph: DataFrame) -> DataFrame:
 
 def verified(found: list[bytes], spans: list[tuple[int, int, int]]) -> np.ndarray:
     """The spans (start, end) of windows, ordered by start. All must have the digest of their source."""
+    return _verified(window_sums(hashed_words(found)), spans)
+
+
+def _verified(sums: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
     pairs = np.array([(a, z) for a, z, _ in spans], np.int64).reshape(-1, 2)
-    sums = window_sums(hashed_words(found))
     own = (sums[np.minimum(pairs[:, 0], len(sums) - 1)] ^ sums[np.minimum(pairs[:, 1], len(sums) - 1)]).view(np.int64)
     odd = (own != np.array([d for *_, d in spans], np.int64)) | (pairs[:, 1] >= len(sums))
     if odd.any():
@@ -231,13 +317,22 @@ def verified(found: list[bytes], spans: list[tuple[int, int, int]]) -> np.ndarra
     return pairs[np.argsort(pairs[:, 0], kind="stable")]
 
 
+def _sums_together(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """window_sums of each text; all but for one number, which goes in the xor of two."""
+    for part in in_parts(texts):
+        w = Words(part)
+        sums = window_sums(w.hashes)
+        yield from (sums[a : max(a + 1, z - WINDOW + 2)] for a, z in pairwise(w.begin.tolist()))
+
+
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, rest = [], []
-        for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-            found = text.encode("utf-8", "replace").split()
-            pairs = verified(found, [(s["start"], s["end"], s["digest"]) for s in spans])
+        texts = [x.encode("utf-8", "replace") for x in batch["text"].to_pylist()]
+        for text, sums, spans in zip(texts, _sums_together(texts), batch["spans"].to_pylist(), strict=True):
+            pairs = _verified(sums, [(s["start"], s["end"], s["digest"]) for s in spans])
             start, end = R.united(pairs[:, 0], pairs[:, 1] + WINDOW - 1)
+            found = text.split()
             cuts = [0, *np.column_stack([start, end]).ravel().tolist(), len(found)]
             kept = [w for a, z in zip(cuts[::2], cuts[1::2], strict=True) for w in found[a:z]]
             removed.append(len(found) - len(kept))
@@ -248,7 +343,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:
     """The compacted paths of the first copies of texts, with their source coordinates; starts and ends count windows."""
     text_batches(docs.sparkSession)
-    return compacted(written(R.slices(R.texts(docs), first, cut, body, again=True, hot=hot, named=True).mapInArrow(_graph, GRAPH), "graph"))
+    return compacted(written(R.slices(R.texts(docs), first, cut, body, again=True, hot=hot, named=True, together=cut_together).mapInArrow(_graph, GRAPH), "graph"))
 
 
 def first_copies_cut(docs: DataFrame, first: DataFrame, hot: int = R.HOT) -> DataFrame:

@@ -20,7 +20,7 @@ as it remembers them (`SEEN`). There are spark.sql.shuffle.partitions buckets, a
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,28 +123,47 @@ def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> np.uint64(SIX - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which ascend."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 #: text -> the key of each window; the keys of windows that occur again in the same text.
 Cut = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
+#: The same for each text of a list, at once; without the second result if the flag is false.
+Together = Callable[[list[bytes], bool], Iterable[tuple[np.ndarray, np.ndarray]]]
+
+
+def one_by_one(cut: Cut) -> Together:
+    return lambda texts, again: map(cut, texts)
+
+
 KEYS = "bucket int, vals binary, ts binary, counts binary, common boolean"
 
 
-def common_keys(texts: DataFrame, cut: Cut) -> np.ndarray:
+def common_keys(texts: DataFrame, cut: Cut, together: Together | None = None) -> np.ndarray:
     """Keys, as sent, that at least COMMON of a sample of about SAMPLE distinct texts have: at most SAMPLE / COMMON times a text's keys."""
     text_batches(texts.sparkSession)
     rows = texts.select("text", F.xxhash64("text").alias("h"))
     every = max(1, rows.count() // SAMPLE)
+    cuts = together or one_by_one(cut)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                own = np.unique(sent(cut((text or "").encode("utf-8", "replace"))[0])).astype(np.int64)
+            found = cuts([(x or "").encode("utf-8", "replace") for x in batch["text"].to_pylist()], False)
+            for h, (own, _) in zip(batch["h"].to_pylist(), found, strict=True):
+                own = np.unique(sent(own)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), h))], ["x", "h"])
 
     found = rows.where(F.pmod("h", F.lit(every)) == 0).mapInArrow(keys, "x long, h long").distinct().groupBy("x").count()
     return np.sort(np.array([r.x for r in found.where(F.col("count") >= COMMON).collect()], np.uint64))
 
 
-def _send_keys(cut: Cut, n: int, common: np.ndarray = np.zeros(0, np.uint64)) -> Callable:  # noqa: B008
+def _send_keys(cut: Cut, n: int, common: np.ndarray = np.zeros(0, np.uint64), together: Together | None = None) -> Callable:  # noqa: B008
+    cuts = together or one_by_one(cut)
+
     def flush(vals: list, of: list, ts: list, common: bool) -> pa.RecordBatch:
         v, t = np.concatenate(vals), np.repeat(np.arange(len(of)), of)
         # Common keys need no meeting: their texts are dealt by their own number.
@@ -166,19 +185,21 @@ def _send_keys(cut: Cut, n: int, common: np.ndarray = np.zeros(0, np.uint64)) ->
         rare, many, held = ([], [], []), ([], [], []), 0
         seen: set[int] = set()
         for batch in batches:
+            new: dict[int, bytes] = {}
             for t, text in zip(batch["t"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if t in seen:
                     continue
                 if len(seen) == SEEN:
                     seen.clear()
                 seen.add(t)
-                keys, again = cut((text or "").encode("utf-8", "replace"))
+                new[t] = (text or "").encode("utf-8", "replace")
+            for t, (keys, again) in zip(new, cuts(list(new.values()), True), strict=True):
                 if not len(keys):
                     continue
-                keys, again = np.unique(sent(keys[runs(keys)[0]])), np.unique(sent(again))
+                keys, again = np.unique(sent(keys[runs(keys)[0]])), np.unique(sent(again)) if len(again) else again
                 if len(common):
-                    known = np.isin(keys, common)
-                    keys, usual, again = keys[~known], keys[known], again[~np.isin(again, common)]
+                    known = among(keys, common)
+                    keys, usual, again = keys[~known], keys[known], again[~among(again, common)]
                     if len(usual):
                         for to, x in zip(many, (usual, len(usual), t), strict=True):
                             to.append(x)
@@ -299,25 +320,27 @@ def run_name(body: bytes) -> tuple[int, int]:
     return _TWO.unpack(xxhash.xxh3_128_digest(body))
 
 
-def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int, again: bool, named: bool) -> Callable:
+def _send_slices(cut: Cut, body: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], n: int, again: bool, named: bool, together: Together | None = None) -> Callable:
+    cuts = together or one_by_one(cut)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Slices(n, again, named)
         for batch in batches:
             texts = batch["text"] if "text" in batch.schema.names else batch["rec"].field("text")
-            columns = (batch["doc"], batch["k"], texts, batch["vals"], batch["hot"])
-            for doc, k, text, vals, hot in zip(*(c.to_pylist() for c in columns), strict=True):
-                data = (text or "").encode("utf-8", "replace")
-                keys = sent(cut(data)[0])
+            texts = [(x or "").encode("utf-8", "replace") for x in texts.to_pylist()]
+            columns = (batch[c].to_pylist() for c in ("doc", "k", "vals", "hot"))
+            for data, (keys, _), doc, k, vals, hot in zip(texts, cuts(texts, False), *columns, strict=True):
                 starts, ends = runs(keys)
-                mine = np.isin(keys[starts], from_six(b"".join(vals)))
-                starts, ends = starts[mine], ends[mine]
-                many = np.isin(keys[starts], from_six(b"".join(hot)))
+                keys = sent(keys[starts])  # of each run
+                mine = among(keys, np.sort(from_six(b"".join(vals))))
+                starts, ends, keys = starts[mine], ends[mine], keys[mine]
+                many = among(keys, np.sort(from_six(b"".join(hot))))
                 if many.any():  # each window by itself, to a bucket of its own
                     single = np.concatenate([np.arange(a, z) for a, z in zip(starts[many], ends[many], strict=True)])
                     for s, at in zip(body(data, single, single + 1), single.tolist(), strict=True):
                         out.add(xxhash.xxh3_64_intdigest(s) % n, s, 1, doc, k << PLACE | at)
-                    starts, ends = starts[~many], ends[~many]
-                buckets = bucket_of(keys[starts], n).tolist()
+                    starts, ends, keys = starts[~many], ends[~many], keys[~many]
+                buckets = bucket_of(keys, n).tolist()
                 for b, s, at, end in zip(buckets, body(data, starts, ends), starts.tolist(), ends.tolist(), strict=True):
                     out.add(b, s, end - at, doc, k << PLACE | at)
             if out.held > FLUSH:
@@ -357,22 +380,23 @@ def buckets(first: DataFrame) -> int:
     return max(partitions(first.sparkSession), min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
 
 
-def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text", named: bool = False) -> DataFrame:
+def slices(texts: DataFrame, first: DataFrame, cut: Cut, body: Callable, again: bool, hot: int = HOT, carried: str = "text", named: bool = False, together: Together | None = None) -> DataFrame:
     """texts(doc, t, text), first(first, t, k, n_bytes) -> packed rows of slices and their places (see `Bucket`), dealt by bucket.
 
     carried: the column that is shuffled to meet the shared keys, the text or `rec`, a struct with a field text. A later join that
     carries the same columns by doc and t uses the same shuffle.
 
     again: a later place in the same document counts as later, too. named: places that go whole carry the name of their run.
+    together: cut for many texts at once, if that is cheaper than one by one.
     """
     text_batches(texts.sparkSession)
     n = buckets(first)
-    keys = texts.select("t", "text").mapInArrow(_send_keys(cut, n, common_keys(texts, cut)), KEYS)
+    keys = texts.select("t", "text").mapInArrow(_send_keys(cut, n, common_keys(texts, cut, together), together), KEYS)
     shared = keys.repartitionById(n, "bucket").mapInArrow(_shared_keys(hot), "t long, vals binary, hot binary")
     wanted = shared.groupBy("t").agg(F.collect_list("vals").alias("vals"), F.collect_list("hot").alias("hot"))
     wanted = first.select(F.col("first").alias("doc"), "t", "k").join(wanted, "t")
     found = texts.select("doc", "t", carried).join(wanted, ["doc", "t"]).mapInArrow(
-        _send_slices(cut, body, FINER * n, again, named), "bucket int, bodies binary, sizes binary, places binary, gone binary"
+        _send_slices(cut, body, FINER * n, again, named, together), "bucket int, bodies binary, sizes binary, places binary, gone binary"
     )
     return found.repartitionById(FINER * n, "bucket")
 

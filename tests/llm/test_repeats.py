@@ -303,3 +303,64 @@ def test_a_task_sends_the_keys_of_equal_texts_once():
     out = [t for b in R._send_keys(suffixes.cut, 3)(iter([batch, batch])) for c in b["ts"].to_pylist() for t in np.frombuffer(c, np.int64).tolist()]
     counts = Counter(out)
     assert set(counts) == {8, 10} and max(counts.values()) <= 3  # once in each of the three buckets
+
+
+def hard_texts():
+    rng = random.Random(8)
+    long = ["x" * n for n in (7, 8, 9, 16, 17, 63, 64, 65, 200)] + ["x" * 199 + "y", "a\0", "a", "é\u00a0ü\u2028", "\x1c"]
+    out = ["", " \t\n", "one", " \x0b".join(long), "a b " * 30, "q " * 19, "q " * 20]
+    out += ["".join(rng.choice(["w%d" % rng.randrange(9), *long]) + rng.choice(" \t\n\x0b\f\r") * rng.randint(1, 3) for _ in range(n)) for n in (18, 19, 20, 21, 22, 150, 400)]
+    return [x.encode() for x in out]
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 20])
+def test_texts_are_cut_together_as_one_by_one(monkeypatch, size):
+    texts = hard_texts()
+    monkeypatch.setattr(debruijn, "TOGETHER", size)
+    found = list(debruijn.cut_together(texts))
+    assert len(found) == len(texts)
+    for text, (keys, again) in zip(texts, found, strict=True):
+        split = text.split()
+        h = np.concatenate([np.empty(0, np.uint64), *(debruijn.hashed_words([w]) for w in split)])
+        windows = [tuple(split[j : j + 20]) for j in range(len(split) - 19)]
+        inner = [R.rolled(h[j : j + 6], 6)[0] for j in range(len(split) - 5)]
+        assert keys.tolist() == [min(inner[j : j + 15]) for j in range(len(windows))]
+        n = Counter(windows)
+        assert set(again.tolist()) == {k for k, w in zip(keys.tolist(), windows, strict=True) if n[w] > 1}
+    assert any(len(again) for _, again in found)
+    assert all(not len(again) for _, again in debruijn.cut_together(texts, False))
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_words_have_equal_numbers_only_if_equal(clashing):
+    texts = hard_texts()
+    w = debruijn.Words(texts)
+    split = [x for text in texts for x in text.split()]
+    assert [w.text(i, i + 1) for i in range(len(split))] == split
+    assert np.diff(w.begin).tolist() == [len(x.split()) for x in texts]
+    assert len(set(w.hashes.tolist())) == len(set(split))
+    if clashing:
+        w.hashes %= np.uint64(5)
+    numbers = w.numbers().tolist()
+    assert len(set(zip(split, numbers, strict=True))) == len(set(split)) == len(set(numbers))
+
+
+def test_words_of_a_batch_are_hashed_once_a_pass(monkeypatch):
+    """Keys and slices of 200 texts cost one pass over their words each, and slices no search for windows that recur."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(200)]
+    made, searched = [], []
+    class Counted(debruijn.Words):
+        def __init__(self, texts):
+            made.append(len(texts))
+            super().__init__(texts)
+    recurring = debruijn._recurring
+    monkeypatch.setattr(debruijn, "Words", Counted)
+    monkeypatch.setattr(debruijn, "_recurring", lambda *a: searched.append(1) or recurring(*a))
+    ids, none = pa.array(range(200), pa.int64()), pa.array([[b""]] * 200, pa.list_(pa.binary()))
+    keys = pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["t", "text"])
+    assert list(R._send_keys(debruijn.cut, 3, together=debruijn.cut_together)(iter([keys])))
+    assert made == [200] and len(searched) == 200
+    rows_ = pa.RecordBatch.from_arrays([ids, pa.array([0] * 200, pa.int64()), pa.array(texts), none, none], ["doc", "k", "text", "vals", "hot"])
+    list(R._send_slices(debruijn.cut, debruijn.body, 3, True, True, debruijn.cut_together)(iter([rows_])))
+    assert made == [200, 200] and len(searched) == 200
